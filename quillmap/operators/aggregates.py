@@ -17,6 +17,11 @@ def r9(c: Column) -> Column:
     return F.round(c, 9)
 
 
+def corr(a: str, b: str) -> Column:
+    """Pearson's, null where a side is constant."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), lit(0))
+
+
 def summary(df: DataFrame, value: str, ties: str | None = None, id_col: str = "id") -> DataFrame:
     v = F.col(value)
     out = [F.count("*").alias("n"), F.count_distinct(id_col).alias("n_ids"), F.min(v).alias("min"), F.max(v).alias("max"), r9(F.avg(v)).alias("mean"), F.percentile(v, 0.5).alias("median"), F.count_if(v == 0).alias("n_zero")]
@@ -52,12 +57,12 @@ def spearman(df: DataFrame, a: str, b: str, *by: str) -> DataFrame:
     keys = [F.col(k) for k in by]
     ranked = df.withColumns({"ra": rank_average(F.col(a), *keys), "rb": rank_average(F.col(b), *keys)})
     varied = (F.min(a) != F.max(a)) & (F.min(b) != F.max(b))
-    return ranked.groupBy(*by).agg(F.when(varied, r9(F.corr("ra", "rb"))).alias("rho"), F.count("*").alias("n"))
+    return ranked.groupBy(*by).agg(F.when(varied, r9(corr("ra", "rb"))).alias("rho"), F.count("*").alias("n"))
 
 
 def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     ranked = df.select(*[rank_average(F.col(c)).alias(c) for c in columns])
-    one = ranked.agg(*[r9(F.corr(a, b)).alias(f"{a}|{b}") for a, b in combinations(columns, 2)])
+    one = ranked.agg(*[r9(corr(a, b)).alias(f"{a}|{b}") for a, b in combinations(columns, 2)])
     return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}|{b}").alias("rho")) for a, b in combinations(columns, 2)])).alias("x")).select("x.*")
 
 
@@ -65,7 +70,7 @@ def variance_share(df: DataFrame, weights: dict[str, float], index: str) -> Data
     """cov(w C, I) / var(I), the spread of C and of w C, and the rank correlation, a row a component."""
     ranked = df.select("*", rank_average(F.col(index)).alias("__ri"), *[rank_average(F.col(c)).alias(f"__r_{c}") for c in weights])
     var = F.nullif(F.var_samp(index), lit(0))
-    parts = [F.struct(F.lit(c).alias("component"), r9(F.covar_samp(lit(w) * F.col(c), index) / var).alias("share"), r9(F.stddev_samp(c)).alias("std"), r9(F.stddev_samp(lit(w) * F.col(c))).alias("weighted_std"), r9(F.corr(f"__r_{c}", "__ri")).alias("rho")) for c, w in weights.items()]
+    parts = [F.struct(F.lit(c).alias("component"), r9(F.covar_samp(lit(w) * F.col(c), index) / var).alias("share"), r9(F.stddev_samp(c)).alias("std"), r9(F.stddev_samp(lit(w) * F.col(c))).alias("weighted_std"), r9(corr(f"__r_{c}", "__ri")).alias("rho")) for c, w in weights.items()]
     return ranked.agg(F.array(*parts).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
@@ -96,7 +101,7 @@ def scenario_compare(scored: DataFrame, baseline: str = "baseline", tail: float
     b = scored.where(F.col("scenario") == baseline).select(id_col, F.col("percentile").alias("base"))
     j = scored.join(b, id_col).withColumns({"shift": F.abs(F.col("percentile") - F.col("base")), "in_a": F.col("percentile") > tail, "in_b": F.col("base") > tail})
     return j.groupBy("scenario").agg(
-        F.when((F.min("percentile") != F.max("percentile")) & (F.min("base") != F.max("base")), r9(F.corr("percentile", "base"))).alias("rho"),
+        F.when((F.min("percentile") != F.max("percentile")) & (F.min("base") != F.max("base")), r9(corr("percentile", "base"))).alias("rho"),
         r9(F.percentile("shift", 0.5)).alias("median_shift"), r9(F.avg("shift")).alias("mean_shift"), r9(F.percentile("shift", 0.95)).alias("p95_shift"), r9(F.max("shift")).alias("max_shift"),
         F.count_if(F.col("shift") > 10).alias("over_10"), F.count_if(F.col("shift") > 25).alias("over_25"),
         r9(F.count_if(F.col("in_a") & F.col("in_b")) / F.nullif(F.count_if(F.col("in_a") | F.col("in_b")), F.lit(0))).alias("tail_jaccard"),

@@ -47,10 +47,10 @@ def exponential_fit(lags, gamma, counts, rounds: int = 200) -> tuple[float, floa
     for _ in range(rounds):
         e = np.exp(-h / theta[2])
         r = theta[0] + theta[1] * (1 - e) - g
-        jac = np.stack([np.ones_like(h), 1 - e, -theta[1] * e * h / theta[2] ** 2], axis=1)
+        jac = np.stack([np.ones_like(h), 1 - e, -theta[1] * e * h / theta[2]], axis=1)  # the range by its logarithm
         a = jac.T @ (jac * w[:, None])
         step = np.linalg.solve(a + damp * np.diag(np.maximum(np.diag(a), 1e-12)), jac.T @ (w * r))
-        new = np.maximum(theta - step, [0.0, 1e-12, 1e-9])
+        new = np.array([max(theta[0] - step[0], 0.0), max(theta[1] - step[1], 1e-12), theta[2] * np.exp(-np.clip(step[2], -1, 1))])
         if cost(new) < cost(theta):
             if np.abs(new - theta).max() <= 1e-12 * np.abs(theta).max():
                 break
