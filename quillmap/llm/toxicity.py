@@ -127,6 +127,17 @@ class Model:
             np.maximum.at(out, (owner[row], mark), np.where((own > 0) & (value >= LEAST), value, 0.0))
         return out
 
+    def alike(self, words: list[bytes], block: int = 5_000) -> tuple[list[bytes], np.ndarray]:
+        """The words that are like some landmark, and their kernel values; in blocks, so memory follows what is found."""
+        kept, rows = [], [np.zeros((0, len(self.landmarks)), dtype=np.float32)]
+        for at in range(0, len(words), block):
+            part = words[at : at + block]
+            like = self.likeness(part).astype(np.float32)
+            on = np.flatnonzero(like.any(axis=1))
+            kept += [part[k] for k in on]
+            rows.append(like[on])
+        return kept, np.concatenate(rows)
+
     def margin(self, like: np.ndarray) -> np.ndarray:
         return like @ self.weights + self.bias if len(self.landmarks) else np.full(len(like), self.bias)
 
@@ -195,22 +206,18 @@ def train(texts: list[str], labels: list[int]) -> Model:
     bad = choose_landmarks(a, na, b, nb)
     if not bad:
         return Model()
-    words = sorted(b)
-    close = Model(bad).likeness(words).max(axis=1)
-    like = dict(zip(words, close))
-    model = Model(bad + sorted((words[k] for k in np.flatnonzero(close)), key=lambda u: (-b[u] * like[u] ** 10, u))[:CLEAN_LANDMARKS])
+    near, close = Model(bad).alike(sorted(b))
+    close = dict(zip(near, close.max(axis=1).astype(float)))
+    model = Model(bad + sorted(near, key=lambda u: (-b[u] * close[u] ** 10, u))[:CLEAN_LANDMARKS])
     n = len(model.landmarks)
-    i, j = np.divmod(np.arange(n * n), n)
-    gram = (kernel(model.rows[i], model.rows[j]) / np.sqrt(model.norms[i] * model.norms[j])).reshape(n, n)
+    gram = np.stack([kernel(model.rows, np.repeat(r[None, :], n, axis=0)) for r in model.rows]) / np.sqrt(model.norms[:, None] * model.norms[None, :])
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     whiten = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
 
-    bags = [sorted({u for s in d for u in units(s)}) for d in toxic]
-    vocabulary = sorted(set(b).union(*bags))
-    like = model.likeness(vocabulary)
-    row = {u: k for k, u in enumerate(vocabulary) if like[k].any()}
-    bags = [[row[u] for u in bag if u in row] for bag in bags]
-    clean_rows = np.array(sorted({row[u] for u in b if u in row}), dtype=np.int64)
+    vocabulary, like = model.alike(sorted(set(b).union(*(units(s) for d in toxic for s in d))))
+    row = {u: k for k, u in enumerate(vocabulary)}
+    bags = [sorted({row[u] for s in d for u in units(s) if u in row}) for d in toxic]
+    clean_rows = np.array(sorted(row[u] for u in b if u in row), dtype=np.int64)
     cost = np.array([b[vocabulary[k]] for k in clean_rows], dtype=float)
     zero = np.zeros((1, n))
     marks = {row[u] for u in bad if u in row}
