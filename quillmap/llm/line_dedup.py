@@ -126,7 +126,14 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield cut()
 
 
+def _distinct(line: bytes) -> np.ndarray:
+    """The sorted distinct shingle hashes of a line."""
+    return np.unique(shingle_hashes([line])[0])
+
+
 def _sets(wanted):
+    """(id, n, line) of the lines whose id the filter lets pass: the line is an eighth of its hashes' size."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -137,8 +144,7 @@ def _sets(wanted):
                 for k in np.flatnonzero(may_hold(wanted.value, np.array(ids, dtype=np.int64))):
                     if ids[k] not in seen:
                         seen.add(ids[k])
-                        h = np.unique(shingle_hashes([lines[k]])[0])
-                        out.append((ids[k], len(h), h.tobytes()))
+                        out.append((ids[k], len(_distinct(lines[k])), lines[k]))
                 if len(out) >= 2000:
                     yield _set_batch(out)
                     out = []
@@ -165,7 +171,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sigs = lines.df.select(F.explode("keys").alias("sig"), "id")
     shared = sigs.withColumns({"leader": F.min("id").over(by_key), "last": F.max("id").over(by_key)}).where("leader < last").select("sig", "id", "leader")
     shared = written(shared.distinct(), "shared")
-    links = connect(lambda wanted: base.select("text").mapInArrow(_sets(wanted), "id long, n long, h binary"), shared, RULE)
+    links = connect(lambda wanted: base.select("text").mapInArrow(_sets(wanted), "id long, n long, h binary"), shared, RULE, _distinct)
     comp = components(links)
     shared.drop()
     first = lines.df.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))

@@ -188,7 +188,7 @@ def _arrays(rule: Jaccard, wanted):
     return run
 
 
-def _star(rule: Jaccard):
+def _star(rule: Jaccard, decode: Callable):
     """Rows sorted by (leader, part, role): the leader's set first, then its members', one at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +196,7 @@ def _star(rule: Jaccard):
         for batch in batches:
             a, b = [], []
             for leader, part, role, i, raw in zip(*(batch.column(c).to_pylist() for c in ("leader", "part", "role", "id", "h"))):
-                h = np.frombuffer(raw, dtype=U64)
+                h = decode(raw)
                 if role == 0:
                     held, group, bits = h, (leader, part), 0
                     bits = max(64, 1 << (4 * max(1, _parts(max(1, len(h) * rule.den // rule.num), rule)[0])).bit_length())
@@ -212,7 +212,7 @@ def _star(rule: Jaccard):
     return run
 
 
-def _tile(rule: Jaccard):
+def _tile(rule: Jaccard, decode: Callable):
     """All pairs of one tile that aren't connected yet, largest overlap bound first; emits a forest of links."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -220,7 +220,7 @@ def _tile(rule: Jaccard):
         ids, comp, block, n = (table.column(c).to_numpy() for c in ("id", "comp", "block", "n"))
         order = np.lexsort((ids, n))
         raw = table.column("h").to_pylist()
-        sets = [np.frombuffer(raw[x], dtype=U64) for x in order]
+        sets = [decode(raw[x]) for x in order]
         ids, comp, block, n = ids[order], comp[order], block[order], n[order]
         parent: dict[int, int] = {int(c): int(c) for c in comp}
 
@@ -288,6 +288,10 @@ def jaccard_components(docs: DataFrame, rule: Jaccard, id_col: str = "doc_id", t
     return full.unionByName(none)
 
 
+def _as_hashes(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype=U64)
+
+
 def one_of_each(docs: DataFrame, rule: Jaccard, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component, that of the least id. Documents without words stay, rows without an id too."""
     found = written(jaccard_components(docs, rule, id_col, text_col).select("id", "component_id"), "found")
@@ -298,11 +302,11 @@ def one_of_each(docs: DataFrame, rule: Jaccard, id_col: str = "doc_id", text_col
     return without_ids(docs, gone.df, id_col, twice.df)
 
 
-def connect(sets_of: Callable, shared: Table, rule: Jaccard) -> DataFrame:
+def connect(sets_of: Callable, shared: Table, rule: Jaccard, decode: Callable = _as_hashes) -> DataFrame:
     """Links (a, b) that connect all that is linked, from the table (sig, id, leader) of shared signatures.
 
-    ``sets_of`` takes a broadcast id filter and gives (id, n, h), h the sorted distinct 64-bit shingle hashes, at least
-    for the ids that pass; it may repeat a row.
+    ``sets_of`` takes a broadcast id filter and gives (id, n, h), at least for the ids that pass; it may repeat a row.
+    n is the size of the set, ``decode`` makes its sorted distinct 64-bit shingle hashes of the bytes h.
     """
     ids = shared.df.select("id").distinct()
     sets = written(sets_of(id_filter(ids)).join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
@@ -315,7 +319,7 @@ def connect(sets_of: Callable, shared: Table, rule: Jaccard) -> DataFrame:
     leaders = sizes.select(F.col("leader"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(sets.df.withColumnRenamed("id", "leader"), "leader")
     leaders = leaders.select("leader", F.col("part").cast("int"), F.lit(0).alias("role"), F.col("leader").alias("id"), "h")
     star = leaders.unionByName(members).repartition("leader", "part").sortWithinPartitions("leader", "part", "role")
-    near = written(star.mapInArrow(_star(rule), "a long, b long"), "near")
+    near = written(star.mapInArrow(_star(rule, decode), "a long, b long"), "near")
 
     # Then whatever shares a signature and isn't connected.
     comp = components(near.df)
@@ -332,7 +336,7 @@ def connect(sets_of: Callable, shared: Table, rule: Jaccard) -> DataFrame:
     other = span.select("around", F.col("block").alias("j"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     tiles = span.withColumnRenamed("block", "i").join(other, "around").where("i <= j and (low < high or low2 < high2 or low <> low2)").select("around", "i", "j")
     placed = tiles.select("around", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")).join(blocks.df, ["around", "block"]).join(sets.df.select("id", "h"), "id")
-    more = written(placed.select("around", "i", "j", "block", "id", "comp", "n", "h").groupBy("around", "i", "j").applyInArrow(_tile(rule), "a long, b long"), "more")
+    more = written(placed.select("around", "i", "j", "block", "id", "comp", "n", "h").groupBy("around", "i", "j").applyInArrow(_tile(rule, decode), "a long, b long"), "more")
     for table in (sets, left, blocks):
         table.drop()
     return near.df.unionByName(more.df)
