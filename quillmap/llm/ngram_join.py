@@ -283,6 +283,8 @@ def jaccard_components(docs: DataFrame, rule: Jaccard, id_col: str = "doc_id", t
     comp = components(links)
     shared.drop()
     member = classes.join(comp.df.withColumnRenamed("id", "class_id"), "class_id", "left").select("k1", "k2", "n", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    # Written first, so that a class with very many rows is split between tasks where both sides are dealt anew.
+    member = written(member, "member").df
     full = profile.df.where("n > 0").drop("sigs").join(member, ["k1", "k2", "n"], "left").select("id", F.col("n").alias("n_shingles"), "class_id", "component_id")
     none = profile.df.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("class_id"), F.col("id").alias("component_id"))
     return full.unionByName(none)
