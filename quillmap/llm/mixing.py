@@ -14,6 +14,8 @@ from .store import written
 
 #: Words: maximal runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Sources up to which the per-source table, some 60 bytes a row, is broadcast.
+FEW_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -57,6 +59,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: floa
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = plan.withColumn("whole", whole.cast("long")).withColumn("want", F.col("target") - F.col("whole") * F.col("source_size"))
     plan = written(plan.select("source", "source_size", "target", "whole", "want"), "plan").df
+    # A source may hold a third of all rows: what has a row a source is broadcast as long as that is few rows.
+    near = F.broadcast if plan.count() <= FEW_SOURCES else (lambda df: df)
 
     def same(a: DataFrame, b: DataFrame) -> Column:
         return a["source"].eqNullSafe(b["source"])
@@ -67,15 +71,17 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: floa
     coarse = coarse.withColumn("before", F.sum("mass").over(run) - F.col("mass"))
     hit = coarse.join(plan, same(coarse, plan)).where("want > 0 and before <= want").groupBy(plan["source"].alias("source")).agg(F.max(F.struct("bin", "before")).alias("m"), F.max("want").alias("want"))
     hit = hit.select("source", "want", "m.bin", "m.before")
+    hit = near(hit)
     fine = narrow.join(hit, same(narrow, hit) & (F.shiftright(narrow["key"], 16) == hit["bin"])).groupBy(narrow["source"], "key").agg(F.sum("size").alias("mass"), F.max("before").alias("before"), F.max("want").alias("want"), F.max("bin").alias("bin"))
     at = F.col("before") + F.sum("mass").over(Window.partitionBy("source").orderBy("key")) - F.col("mass")
     fine = fine.withColumn("middle", at + F.col("mass") / 2)
     # Where no key of the bin is in, all keys of the bins before it are.
     cuts = fine.groupBy("source").agg(F.coalesce(F.max(F.when(F.col("middle") <= F.col("want"), F.col("key"))), F.max("bin") * 65536 - 1).alias("cut"))
-    plan = plan.join(cuts, same(plan, cuts), "left").select(plan["source"].alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "whole", F.coalesce("cut", F.lit(-1)).alias("cut"))
+    plan = plan.join(cuts, same(plan, cuts), "left").select(plan["source"].alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), F.coalesce("cut", F.lit(-1)).alias("__cut"))
+    plan = near(written(plan, "cuts").df)
     out = sized.join(plan, sized[source_col].eqNullSafe(plan["__source"]))
-    reps = F.col("whole") + F.when(F.col("__key") <= F.col("cut"), 1).otherwise(0)
-    return out.withColumn("__reps", F.when(F.col("__source_size") > 0, reps).otherwise(0).cast("long")).drop("__key", "__source", "whole", "cut")
+    reps = F.col("__whole") + F.when(F.col("__key") <= F.col("__cut"), 1).otherwise(0)
+    return out.withColumn("__reps", F.when(F.col("__source_size") > 0, reps).otherwise(0).cast("long")).drop("__key", "__source", "__whole", "__cut")
 
 
 def materialised(mixed: DataFrame) -> DataFrame:
