@@ -247,3 +247,8 @@ def fourier(x: Column, y: Column, rows: list[tuple[float, float]]) -> Column:
     """[x, y, cos(2 pi B p)..., sin(2 pi B p)...] for the rows of B."""
     angles = [lit(2 * pi) * (lit(a) * x + lit(b) * y) for a, b in rows]
     return F.array(x, y, *[F.cos(t) for t in angles], *[F.sin(t) for t in angles])
+
+
+def on_segment(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column, tolerance: float = 1e-9) -> Column:
+    """Whether the point lies on the segment, within the tolerance."""
+    return point_segment_dist2(px, py, ax, ay, bx, by) <= lit(tolerance * tolerance)

@@ -94,3 +94,23 @@ def equi_depth_leaves(pos: DataFrame, leaves: int) -> DataFrame:
     n = pos.count()
     rank = F.floor(F.col("pos") * leaves / F.lit(max(n, 1)))
     return pos.withColumn("leaf", F.least(rank, F.lit(leaves - 1)).cast("int")).groupBy("leaf").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count("*").alias("keys"))
+
+
+def leaf_boundaries(root: DataFrame, leaves: int) -> list[int]:
+    """The first key of each leaf by bisection over the root's line; keys from the last boundary on belong to the last leaf."""
+    r = root.first()
+    if r is None or r["kmin"] is None:
+        return []
+    span, out = r["kmax"] - r["kmin"], []
+
+    def leaf(key: int) -> int:
+        t = (float(key) - float(r["kmin"])) * (1.0 / span) if span else 0.0
+        return min(max(int((r["a"] * t + r["b"]) * leaves // r["n"]), 0), leaves - 1)
+
+    for k in range(leaves):
+        low, high = r["kmin"], r["kmax"] + 1
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (mid + 1, high) if leaf(mid) < k else (low, mid)
+        out.append(low)
+    return out

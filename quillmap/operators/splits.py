@@ -93,3 +93,9 @@ def dropped_mask(folded: DataFrame, folds: int, buffer: float) -> DataFrame:
 
 def blocks_per_fold(folded: DataFrame) -> DataFrame:
     return folded.groupBy("fold").agg(F.count_distinct("block_i", "block_j").alias("blocks"), F.count("*").alias("rows"))
+
+
+def derived_seed(seed: int, *parts) -> int:
+    """A seed for a part of a run: half of the blake2b-64 number of 'seed:part:...'."""
+    text = ":".join(map(str, (seed, *parts)))
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big") >> 1

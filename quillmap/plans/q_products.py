@@ -136,7 +136,10 @@ def _(t):
     return s.groupBy("split").agg(F.count("*").alias("n"), F.min("px").alias("minx"), F.max("px").alias("maxx"))
 
 
-@query("P9_audit", f"""SELECT 'FAIL' AS status, CAST(3 AS BIGINT) AS n UNION ALL SELECT 'x', 0 WHERE false""")
+_OFF = f"SELECT property_id, exposure_index + CASE WHEN property_id = 9 THEN 120 ELSE 0 END AS v, exposure_index AS again FROM ({_INDEX}) WHERE property_id <> 5"
+
+
+@query("P9_audit", f"WITH i AS ({_OFF}) SELECT 'FAIL' AS status, count(*) AS n FROM (SELECT count(*) AS bad FROM i WHERE v NOT BETWEEN 0 AND 100 UNION ALL SELECT count(*) FROM i WHERE abs(v - again) > 1e-6 UNION ALL SELECT count(*) FROM fx_scoring WHERE property_id NOT IN (SELECT property_id FROM i) UNION ALL SELECT count(*) FROM i WHERE property_id NOT IN (SELECT property_id FROM fx_scoring)) WHERE bad > 0")
 def _(t):
     """An index with a lost row and a stored value off: two derivation or population checks fail, and the plausibility one warns or passes."""
     index = E.exposure_index(t("fx_scoring"), validate=False).where("property_id <> 5").withColumn("exposure_index", col("exposure_index") + F.when(col("property_id") == 9, 120.0).otherwise(0.0))
