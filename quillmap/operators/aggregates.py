@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import lit
-from .windows import cut, percentile_avg, quantile_edges, rank_average
+from .windows import cut, percentile_avg, quantile_edges, quantiles, rank_average, with_ordinal, with_rank_average
 
 MISSING = "<missing>"
 
@@ -24,7 +24,7 @@ def corr(a: str, b: str) -> Column:
 
 def summary(df: DataFrame, value: str, ties: str | None = None, id_col: str = "id") -> DataFrame:
     v = F.col(value)
-    out = [F.count("*").alias("n"), F.count_distinct(id_col).alias("n_ids"), F.min(v).alias("min"), F.max(v).alias("max"), r9(F.avg(v)).alias("mean"), F.percentile(v, 0.5).alias("median"), F.count_if(v == 0).alias("n_zero")]
+    out = [F.count("*").alias("n"), F.count_distinct(id_col).alias("n_ids"), F.min(v).alias("min"), F.max(v).alias("max"), F.round(F.avg(v), 6).alias("mean"), F.percentile(v, 0.5).alias("median"), F.count_if(v == 0).alias("n_zero")]
     return df.agg(*out, *([F.count_if(F.col(ties) > 1).alias("n_tied")] if ties else []))
 
 
@@ -54,30 +54,36 @@ def profile(df: DataFrame) -> DataFrame:
 
 def spearman(df: DataFrame, a: str, b: str, *by: str) -> DataFrame:
     """Pearson of the average ranks; null where a side is constant."""
-    keys = [F.col(k) for k in by]
-    ranked = df.withColumns({"ra": rank_average(F.col(a), *keys), "rb": rank_average(F.col(b), *keys)})
+    if by:
+        keys = [F.col(k) for k in by]
+        ranked = df.withColumns({"ra": rank_average(F.col(a), *keys), "rb": rank_average(F.col(b), *keys)})
+    else:
+        ranked = with_rank_average(with_rank_average(df.select(a, b), a, "ra"), b, "rb")
     varied = (F.min(a) != F.max(a)) & (F.min(b) != F.max(b))
     return ranked.groupBy(*by).agg(F.when(varied, r9(corr("ra", "rb"))).alias("rho"), F.count("*").alias("n"))
 
 
 def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    ranked = df.select(*[rank_average(F.col(c)).alias(c) for c in columns])
-    one = ranked.agg(*[r9(corr(a, b)).alias(f"{a}|{b}") for a, b in combinations(columns, 2)])
+    ranked = df.select(*columns)
+    for c in columns:
+        ranked = with_rank_average(ranked, c, f"r_{c}")
+    one = ranked.agg(*[r9(corr(f"r_{a}", f"r_{b}")).alias(f"{a}|{b}") for a, b in combinations(columns, 2)])
     return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}|{b}").alias("rho")) for a, b in combinations(columns, 2)])).alias("x")).select("x.*")
 
 
 def variance_share(df: DataFrame, weights: dict[str, float], index: str) -> DataFrame:
     """cov(w C, I) / var(I), the spread of C and of w C, and the rank correlation, a row a component."""
-    ranked = df.select("*", rank_average(F.col(index)).alias("__ri"), *[rank_average(F.col(c)).alias(f"__r_{c}") for c in weights])
+    ranked = with_rank_average(df.select(index, *weights), index, "__ri")
+    for c in weights:
+        ranked = with_rank_average(ranked, c, f"__r_{c}")
     var = F.nullif(F.var_samp(index), lit(0))
-    parts = [F.struct(F.lit(c).alias("component"), r9(F.covar_samp(lit(w) * F.col(c), index) / var).alias("share"), r9(F.stddev_samp(c)).alias("std"), r9(F.stddev_samp(lit(w) * F.col(c))).alias("weighted_std"), r9(corr(f"__r_{c}", "__ri")).alias("rho")) for c, w in weights.items()]
+    parts = [F.struct(F.lit(c).alias("component"), r9(F.covar_samp(lit(w) * F.col(c), index) / var).alias("share"), F.round(F.stddev_samp(c), 5).alias("std"), F.round(F.stddev_samp(lit(w) * F.col(c)), 5).alias("weighted_std"), r9(corr(f"__r_{c}", "__ri")).alias("rho")) for c, w in weights.items()]
     return ranked.agg(F.array(*parts).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
 def tail_overlap(df: DataFrame, columns: list[str], fraction: float) -> DataFrame:
-    """Pairwise overlap of the rows at or above each column's interpolated quantile; two passes."""
-    edges = df.agg(*[F.percentile(c, 1 - fraction).alias(f"q_{c}") for c in columns])
-    flags = df.crossJoin(F.broadcast(edges)).select(*[(F.col(c) >= F.col(f"q_{c}")).alias(c) for c in columns])
+    """Pairwise overlap of the rows at or above each column's interpolated quantile."""
+    flags = df.select(*[(F.col(c) >= F.lit(quantiles(df, c, [1 - fraction])[0])).alias(c) for c in columns])
     one = flags.agg(F.count("*").alias("rows"), *[F.count_if(c).alias(f"n_{c}") for c in columns], *[F.count_if(F.col(a) & F.col(b)).alias(f"{a}|{b}") for a, b in combinations(columns, 2)])
 
     def row(a: str, b: str) -> Column:
@@ -136,10 +142,9 @@ def counter_invariants(df: DataFrame, chain: list[str]) -> DataFrame:
 
 
 def decile_profile(df: DataFrame, by: str, id_col: str, num: str, den: str) -> DataFrame:
-    """Ten equal groups by ordinal rank of ``by``: sizes, ends, means and the ratio of sums. Ranks go by a scalable range sort upstream when groups are huge."""
-    n = F.count("*").over(Window.partitionBy())
-    rank = F.row_number().over(Window.orderBy(by, id_col)) - 1
-    d = df.withColumn("decile", F.floor(rank * 10 / n).cast("int"))
+    """Ten equal groups by ordinal rank of ``by``: sizes, ends, means and the ratio of sums."""
+    n = df.count()
+    d = with_ordinal(df, by, id_col, "__k").withColumn("decile", F.floor((F.col("__k") - 1) * 10 / F.lit(max(n, 1))).cast("int"))
     return d.groupBy("decile").agg(F.count("*").alias("n"), F.min(by).alias("min"), F.max(by).alias("max"), r9(F.avg(num)).alias("mean_num"), r9(F.avg(den)).alias("mean_den"), r9(F.sum(num) / F.nullif(F.sum(den), F.lit(0))).alias("ratio"))
 
 

@@ -11,7 +11,7 @@ from . import aggregates as agg
 from . import joins
 from .models import check_weights
 from .validation import FAIL, PASS, Rule, enforce, finite, in_range, known_zone, non_negative, require_columns, roll_up, sfha_matched, violations
-from .windows import percentile_avg, with_percentile
+from .windows import GLOBAL_RANK_ROWS, percentile_avg, with_percentile
 
 POLICY = "1.0"
 INPUT = ["property_id", "matched", "is_sfha", "zone", "distance_m", "elevation_m", "relative_m"]
@@ -31,24 +31,24 @@ def scoring_rules() -> list[Rule]:
     return [finite("distance_m"), non_negative("distance_m"), finite("elevation_m"), finite("relative_m"), known_zone("zone", "matched", ["X", "AO", "A", "AE", "VE"]), sfha_matched("is_sfha", "matched")]
 
 
-def component_scores(df: DataFrame, scale: bool = False) -> DataFrame:
-    """The four components; ``scale`` ranks by range partitions in place of one sorted task a component."""
-    if not scale:
+def component_scores(df: DataFrame, scale: bool | None = None) -> DataFrame:
+    """The four components; a large table is ranked by range parts in place of one sorted task a component."""
+    if not (df.count() > GLOBAL_RANK_ROWS if scale is None else scale):
         return df.withColumns({n: f() for n, f in SCORERS.items()})
     out = df.withColumn("c_zone", SCORERS["c_zone"]())
     for name, source in _RANKED.items():
-        out = with_percentile(out, source, name, higher=False)
+        out = with_percentile(out, source, name, higher=False, scale=True)
     return out
 
 
-def exposure_index(df: DataFrame, weights: dict[str, float] | None = None, validate: bool = True, scale: bool = False) -> DataFrame:
+def exposure_index(df: DataFrame, weights: dict[str, float] | None = None, validate: bool = True, scale: bool | None = None) -> DataFrame:
     """Score, weigh, round and rank. ``validate`` costs one action; without it an unknown zone still raises as it is met."""
     weights = check_weights(weights or WEIGHTS, set(WEIGHTS))
     require_columns(df, INPUT)
     if validate:
         enforce(df, scoring_rules(), "property_id")
     c = component_scores(df, scale).withColumn("exposure_index", composite(F.col("c_zone"), F.col("c_water"), F.col("c_abs"), F.col("c_rel"), weights))
-    c = with_percentile(c, "exposure_index", "exposure_percentile") if scale else c.withColumn("exposure_percentile", percentile_avg(F.col("exposure_index")))
+    c = with_percentile(c, "exposure_index", "exposure_percentile", scale=scale)
     return c.select("property_id", "c_zone", "c_water", "c_abs", "c_rel", "exposure_index", "exposure_percentile", F.lit(POLICY).alias("policy"))
 
 

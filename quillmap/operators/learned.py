@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import grid_normalize, hilbert_key, key_normalize, lit
+from .windows import placed
 
 
 def curve_keys(points: DataFrame, bits: int, x: str = "px", y: str = "py") -> DataFrame:
@@ -35,16 +36,8 @@ def square_key_range(cx, cy, bits: int, k: int):
 
 
 def positions(keyed: DataFrame, key: str = "key") -> DataFrame:
-    """(key, pos, run): each distinct key, how many rows have a smaller one, and how many have it.
-
-    Counts per range partition and their offsets in place of one global sort.
-    """
-    counts = keyed.groupBy(key).agg(F.count("*").alias("run"))
-    ranged = counts.repartitionByRange(key).withColumn("__p", F.spark_partition_id())
-    sizes = ranged.groupBy("__p").agg(F.sum("run").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.sum("run").over(Window.partitionBy("__p").orderBy(key)) - F.col("run")
-    return ranged.withColumn("__i", inside).join(F.broadcast(sizes.select("__p", before.alias("__b"))), "__p").select(key, (F.col("__b") + F.col("__i")).alias("pos"), "run")
+    """(key, pos, run): each distinct key, how many rows have a smaller one, and how many have it."""
+    return placed(keyed.select(key), key).select(key, "pos", "run")
 
 
 def train_rmi(pos: DataFrame, leaves: int) -> tuple[DataFrame, DataFrame]:

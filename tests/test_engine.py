@@ -163,14 +163,25 @@ def test_percentiles(spark):
     want = {1: 62.5, 2: 25.0, 3: 62.5, 4: 100.0}
     assert {r["id"]: r["p"] for r in df.withColumn("p", W.percentile_avg(F.col("v"))).collect()} == want
     for n in (1, 3):
-        assert {r["id"]: r["p"] for r in W.with_percentile(df.repartition(n), "v", "p").collect()} == want
+        assert {r["id"]: r["p"] for r in W.with_percentile(df.repartition(n), "v", "p", scale=True).collect()} == want
     flat = df.withColumn("v", F.lit(3.0))
-    assert {r["p"] for r in W.with_percentile(flat, "v", "p").collect()} == {50.0}
+    assert {r["p"] for r in W.with_percentile(flat, "v", "p", scale=True).collect()} == {50.0}
     assert {r["p"] for r in flat.withColumn("p", W.percentile_avg(F.col("v"))).collect()} == {50.0}
-    down = {r["id"]: r["p"] for r in W.with_percentile(df, "v", "p", higher=False).collect()}
+    down = {r["id"]: r["p"] for r in W.with_percentile(df, "v", "p", higher=False, scale=True).collect()}
     assert down == {r["id"]: r["p"] for r in df.withColumn("p", W.percentile_avg(F.col("v"), higher=False)).collect()}
 
 
+def test_global_ranks_by_parts_match_windows(spark):
+    r = random.Random(3)
+    df = spark.createDataFrame([(i, float(r.randrange(60)) if r.random() < 0.7 else r.random()) for i in range(1000)], "id long, v double")
+    for f, args in ((W.with_rank_average, ("v", "r")), (W.with_ordinal, ("v", "id", "r"))):
+        a, b = ({x["id"]: x["r"] for x in f(df.repartition(5), *args, scale=s).collect()} for s in (True, False))
+        assert a == b
+    qs = [0.0, 0.001, 0.25, 0.5, 0.9, 0.999, 1.0]
+    assert W.quantiles(df, "v", qs, scale=True) == pytest.approx(W.quantiles(df, "v", qs, scale=False), abs=1e-12)
+    assert W.quantiles(df.limit(0), "v", [0.5], scale=True) == W.quantiles(df.limit(0), "v", [0.5], scale=False) == [None]
+
+
 def scoring(spark, **change):
     rows = [(i, True, z != "X", z, d, e, r) for i, z, d, e, r in (("A", "X", 1000.0, 200.0, 10.0), ("B", "AO", 500.0, 150.0, 5.0), ("C", "A", 250.0, 125.0, 0.0), ("D", "AE", 100.0, 100.0, -5.0), ("E", "VE", 0.0, 75.0, -10.0))]
     df = spark.createDataFrame(rows, "property_id string, matched boolean, is_sfha boolean, zone string, distance_m double, elevation_m double, relative_m double")
