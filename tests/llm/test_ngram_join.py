@@ -87,7 +87,11 @@ def test_linked_sets_share_a_signature(rule):
             one = Jaccard(1, rule.num, rule.den)
             h, g = shingle_sets([" ".join(base).encode(), " ".join(other).encode()], 1)
             if set(h.tolist()) != set(g.tolist()):
-                assert set(signatures(h, one).tolist()) & set(signatures(g, one).tolist()), (n, len(h), len(g))
+                a, b = ({(x, c) for _, c, found in signatures(s, one) for x in found.tolist()} for s in (h, g))
+                both = {x for x, _ in a} & {x for x, _ in b}
+                # In the tile that both are in they share as many as either promises.
+                promised = [max(c for x, c in own if x in both) for own in (a, b) if both]
+                assert both and len(both) >= max(promised), (n, len(h), len(g), promised)
 
 
 def test_bitmap_bounds_the_overlap_from_above():
