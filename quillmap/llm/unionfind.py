@@ -18,26 +18,50 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> Table:
     edges = written(
         links.where(u.isNotNull() & v.isNotNull() & (u != v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "links"
     )
-    while True:
-        new = written(_small_star(_large_star(edges.df)), "star")
-        changed = not new.df.exceptAll(edges.df).isEmpty() or not edges.df.exceptAll(new.df).isEmpty()
+    before = _mark(edges.df)
+    while before[0]:
+        large = _large_star(edges)
+        new = _small_star(large)
+        after = _mark(new.df)
         edges.drop()
+        large.drop()
         edges = new
-        if not changed:
+        if after == before:
             break
+        before = after
     roots = edges.df.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     out = written(edges.df.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots), "components")
     edges.drop()
     return out
 
 
-def _large_star(e: DataFrame) -> DataFrame:
-    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+def _mark(e: DataFrame) -> tuple:
+    """The number of rows and a sum of their hashes: the same for the same table."""
+    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    low = e.groupBy("u").agg(F.min("v").alias("m"))
-    moved = e.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(low.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
+def _with_least(e: DataFrame) -> tuple[DataFrame, Table]:
+    """``e`` (u, v) with m, the least v of its u.
+
+    The minima are written first: both sides of the join are then dealt anew, and a u with very many rows is split.
+    """
+    low = written(e.groupBy("u").agg(F.min("v").alias("m")), "least")
+    return e.join(low.df, "u"), low
+
+
+def _large_star(edges: Table) -> Table:
+    """Neighbours above a node move to the least of the node and its neighbours."""
+    e = edges.df
+    both, low = _with_least(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    out = written(both.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), "large")
+    low.drop()
+    return out
+
+
+def _small_star(edges: Table) -> Table:
+    """Neighbours below a node, and the node itself, move to the least of them."""
+    below, low = _with_least(edges.df)
+    moved = below.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = written(moved.unionByName(low.df.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct(), "small")
+    low.drop()
+    return out
