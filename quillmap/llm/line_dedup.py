@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .ngram_join import Jaccard, _lists, connect
 from .store import may_hold, written
-from .textkit import CHUNK, U64, mix, prefix_hash, span_hashes
+from .textkit import CHUNK, U64, mix
 from .unionfind import components
 
 SHINGLE = 7
@@ -25,6 +25,7 @@ BANDS, ROWS = 8, 4
 RULE = Jaccard(width=1, num=80, den=100)
 #: Under FEW shingles independent minima; from MANY on binned ones.
 FEW, MANY = 160, 102
+#: Odd numbers: multiplied by one, the mixed hashes take another order.
 _salts = mix(np.arange(BANDS * ROWS, dtype=U64), 61) | U64(1)
 
 
@@ -36,16 +37,21 @@ def normal(text: str) -> list[bytes]:
 def shingle_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first): a hash for each run of SHINGLE bytes, line after line, and where each line's begin, with the end.
 
-    A line of fewer bytes is one shingle; the lines aren't empty.
+    A line of fewer bytes is one shingle; the lines aren't empty. Seven bytes fit a 64-bit number, so different shingles
+    have different hashes.
     """
-    data = np.frombuffer(b"".join(lines), dtype=np.uint8)
     size = np.array([len(x) for x in lines], dtype=np.int64)
-    at = np.cumsum(size) - size
-    width = np.minimum(size, SHINGLE)
-    n = size - width + 1
-    first = np.concatenate([[0], np.cumsum(n)])
-    start = np.arange(first[-1]) + np.repeat(at - first[:-1], n)
-    return span_hashes(prefix_hash(data), start, start + np.repeat(width, n)), first
+    data = np.frombuffer(b"".join(lines) + bytes(8), dtype=np.uint8)
+    value = np.ndarray((len(data) - 8,), dtype="<u8", buffer=data, strides=(1,)) & U64((1 << 8 * SHINGLE) - 1)
+    end = np.cumsum(size)
+    keep = np.ones(len(value), dtype=bool)
+    long = size >= SHINGLE
+    keep[(end[long][:, None] - np.arange(1, SHINGLE)[None, :]).ravel()] = False
+    for k in np.flatnonzero(~long):  # the whole line, told from longer ones by its length
+        at, n = int(end[k] - size[k]), int(size[k])
+        value[at] = (int(value[at]) & (1 << 8 * n) - 1) | n << 8 * SHINGLE
+        keep[at + 1 : at + n] = False
+    return mix(value[keep], 67), np.concatenate([[0], np.cumsum(np.where(long, size - SHINGLE + 1, 1))])
 
 
 def _bands(minima: np.ndarray, kind: int) -> np.ndarray:
@@ -66,7 +72,7 @@ def band_keys(lines: list[bytes]) -> list[np.ndarray]:
         size = n[few]
         at = np.cumsum(size) - size
         mine = h[np.arange(size.sum()) + np.repeat(first[few] - at, size)]
-        minima = np.stack([np.minimum.reduceat(mix(mine ^ s), at) for s in _salts], axis=1)
+        minima = np.stack([np.minimum.reduceat(mine * s, at) for s in _salts], axis=1)
         for x, keys in zip(few, _bands(minima, 1)):
             out[x].append(keys)
     if len(many):
@@ -126,13 +132,14 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield cut()
 
 
-def _distinct(line: bytes) -> np.ndarray:
-    """The sorted distinct shingle hashes of a line."""
-    return np.unique(shingle_hashes([line])[0])
+def _distinct(lines: list[bytes]) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each line."""
+    h, first = shingle_hashes(lines)
+    return [np.unique(h[a:b]) for a, b in zip(first[:-1], first[1:])]
 
 
 def _sets(wanted):
-    """(id, n, line) of the lines whose id the filter lets pass: the line is an eighth of its hashes' size."""
+    """(id, weight, line) of the lines whose id the filter lets pass: the line is an eighth of its hashes' size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -144,7 +151,7 @@ def _sets(wanted):
                 for k in np.flatnonzero(may_hold(wanted.value, np.array(ids, dtype=np.int64))):
                     if ids[k] not in seen:
                         seen.add(ids[k])
-                        out.append((ids[k], len(_distinct(lines[k])), lines[k]))
+                        out.append((ids[k], len(lines[k]), lines[k]))
                 if len(out) >= 2000:
                     yield _set_batch(out)
                     out = []
@@ -156,7 +163,7 @@ def _sets(wanted):
 
 def _set_batch(rows: list) -> pa.RecordBatch:
     i, n, h = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(n, pa.int64()), pa.array(h, pa.binary())], ["id", "n", "h"])
+    return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(n, pa.int64()), pa.array(h, pa.binary())], ["id", "weight", "h"])
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,13 +178,15 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sigs = lines.df.select(F.explode("keys").alias("sig"), "id")
     shared = sigs.withColumns({"leader": F.min("id").over(by_key), "last": F.max("id").over(by_key)}).where("leader < last").select("sig", "id", "leader")
     shared = written(shared.distinct(), "shared")
-    links = connect(lambda wanted: base.select("text").mapInArrow(_sets(wanted), "id long, n long, h binary"), shared, RULE, _distinct)
+    links = connect(lambda wanted: base.select("text").mapInArrow(_sets(wanted), "id long, weight long, h binary"), shared, RULE, _distinct)
     comp = components(links)
     shared.drop()
+    # Only lines that occur twice or are like another can go; the rest is left out before anything joins.
     first = lines.df.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
-    first = first.join(comp.df, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    keep = first.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")
-    keep = first.select("id", "component").join(keep, "component").select("id", "keep")
+    first = first.join(comp.df, "id", "left").where("n > 1 or component is not null").select("id", "first", F.coalesce("component", "id").alias("component"))
+    first = written(first, "first").df
+    keep = first.groupBy("component").agg(F.min("first").alias("keep"))
+    keep = written(first.select("id", "component").join(keep, "component").select("id", "keep"), "keep").df
     gone = lines.df.select("doc_id", "line", "id").join(keep, "id").where(F.struct("doc_id", "line") != F.col("keep"))
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
 
@@ -193,7 +202,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_lines, n_dropped, dropped) for each row: the numbers of the lines that go, in order."""
     gone = dropped_lines(docs, id_col, text_col).withColumnRenamed("doc_id", "__id")
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.regexp_count(text_col, F.lit("\n")) + 1, F.lit(0)).cast("long").alias("n_lines"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"))
     out = base.join(gone, F.col("doc_id") == F.col("__id"), "left").drop("__id")
     none = F.array().cast("array<int>")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("dropped", none).alias("dropped"))

@@ -7,10 +7,14 @@ How a link can't be lost, for sets of distinct word shingles and a threshold g =
   whose largest size gives the bound k on their symmetric difference.
 * A tile cuts the hash space into m > k parts of equal width. Two linked sets agree on at least m - k parts. A part with
   fewer than two shingles says little, so it gives no signature - unless the set has m - k or more of such parts, then
-  all of its parts give one. Linked sets therefore share a signature.
-* Sets with a signature in common are candidates. Each is first compared with the least id among those it shares most
-  signatures with; what stays apart is then compared in full, in tiles of bounded size: the parity bitmap's differing
-  bits bound the overlap from above, and pairs that pass are intersected as sorted arrays, unless already connected.
+  all of its parts give one. Linked sets therefore share at least c = m - k - weak parts signatures, and at least one.
+* So a set that shares fewer than c with any others drops out, and the c - 1 most shared ones of the rest aren't needed:
+  the rarest one that two linked sets share is among what both keep. That rids the search of common passages.
+* Sets with a kept signature in common are candidates. Each is first compared with the leader (the least id of a
+  signature's sets) that it shares most signatures with. What stays apart meets at the leaders as parity bitmaps, in
+  tiles of bounded size: differing bits bound the overlap from above. The few pairs that pass are intersected as
+  sorted arrays. If two components have very many such pairs, some are verified first and the rest, if the components
+  are still apart, in further rounds.
 
 Only connection is asked for, so a group of thousands of copies costs about one comparison a member, never all pairs.
 Sets are compared by 64-bit shingle hashes.
@@ -18,21 +22,25 @@ Sets are compared by 64-bit shingle hashes.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, partial
 from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .store import Table, id_filter, may_hold, without_ids, written
 from .textkit import U64, mix, shingle_sets
 from .unionfind import components
 
-#: Shingles of one block of a tile: 8 bytes each, two blocks at a time in a task.
-BLOCK_SHINGLES = 1_000_000
+#: Members of one block of a tile, of about 100 bytes each; two blocks at a time in a task.
+BLOCK_ROWS = 8_192
+#: Pairs of two components that a tile gives in the first round; what it cuts comes in later rounds.
+LIMIT = 256
 #: Members that one copy of a leader's set is compared with.
 STAR_ROWS = 5_000
 
@@ -91,22 +99,22 @@ def _cuts(m: int) -> np.ndarray:
     return np.array([(p << 64) // m for p in range(1, m)], dtype=U64)
 
 
-def signatures(h: np.ndarray, rule: Jaccard) -> np.ndarray:
-    """Signatures of a sorted set of shingle hashes."""
-    if not len(h):
-        return np.zeros(0, dtype=U64)
-    with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, dtype=U64), np.cumsum(mix(h, 3))])
-        out = []
-        for tile, k, m in _tiles(len(h), rule):
-            if not k:
-                continue  # only equal sets link, and those are one class
-            at = np.concatenate([[0], np.searchsorted(h, _cuts(m)), [len(h)]])
-            sums, counts = total[at[1:]] - total[at[:-1]], np.diff(at)
-            sig = mix(sums * U64(3) + counts.astype(U64), 11) ^ mix(np.arange(m, dtype=U64) * U64(1 << 20) + U64(tile), 13)
-            strong = counts >= 2
-            out.append(mix(sig if m - np.count_nonzero(strong) >= m - k else sig[strong], 17))
-        return np.concatenate(out) if out else np.zeros(0, dtype=U64)
+def signatures(h: np.ndarray, rule: Jaccard) -> list[tuple[int, int, np.ndarray]]:
+    """(0 for its own tile or 1 for the next, c, signatures) of a sorted set of shingle hashes."""
+    out = []
+    if len(h):
+        with np.errstate(over="ignore"):
+            total = np.concatenate([np.zeros(1, dtype=U64), np.cumsum(mix(h, 3))])
+            for t, (tile, k, m) in enumerate(_tiles(len(h), rule)):
+                if not k:
+                    continue  # only equal sets link, and those are one class
+                at = np.concatenate([[0], np.searchsorted(h, _cuts(m)), [len(h)]])
+                sums, counts = total[at[1:]] - total[at[:-1]], np.diff(at)
+                sig = mix(sums * U64(3) + counts.astype(U64), 11) ^ mix(np.arange(m, dtype=U64) * U64(1 << 20) + U64(tile), 13)
+                strong = counts >= 2
+                c = m - k - (m - int(np.count_nonzero(strong)))
+                out.append((t, max(1, c), mix(sig if c < 1 else sig[strong], 17)))
+    return out
 
 
 def set_keys(h: np.ndarray) -> tuple[int, int]:
@@ -157,104 +165,182 @@ def _slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iterator
 
 
 def _profile(rule: Jaccard):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
+    """(id, n, k1, k2) of every text."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _slices(whole, "text"):
                 sets = shingle_sets(_texts(batch.column("text")), rule.width)
                 keys = [set_keys(h) for h in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array([len(h) for h in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), _lists([signatures(h, rule) for h in sets])],
-                    ["id", "n", "k1", "k2", "sigs"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(h) for h in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], ["id", "n", "k1", "k2"])
 
     return run
 
 
-def _arrays(rule: Jaccard, wanted):
-    """(id, n, h) of the texts whose id the filter lets pass."""
+def _passing(whole: pa.RecordBatch, filter_, want: bool) -> pa.RecordBatch:
+    ids = whole.column("id")
+    valid = ids.is_valid().to_numpy(zero_copy_only=False)
+    on = may_hold(filter_.value, ids.fill_null(0).to_numpy(zero_copy_only=False))
+    return whole.filter(pa.array((on if want else ~on) & valid))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
 
+def _signed(rule: Jaccard, filter_, want: bool):
+    """(id, t, c, sigs), a row a tile, of the texts whose id the filter lets pass, or of the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            ids = whole.column("id")
-            on = may_hold(wanted.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
-            for batch in _slices(whole.filter(pa.array(on)), "text"):
+            for batch in _slices(_passing(whole, filter_, want), "text"):
                 sets = shingle_sets(_texts(batch.column("text")), rule.width)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["id", "n", "h"])
+                rows = [(i, *x) for i, h in zip(batch.column("id").to_pylist(), sets) for x in signatures(h, rule)]
+                kinds = (pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([*(pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)), _lists([r[3] for r in rows])], ["id", "t", "c", "sigs"])
 
     return run
 
 
+def _packed(filter_):
+    """(id, weight, h) of the texts whose id the filter lets pass; h is the packed text, a third of its hashes' size, weight about their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in _slices(_passing(whole, filter_, True), "text"):
+                texts = _texts(batch.column("text"))
+                weight = [len(t or b"") // 6 + 1 for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(weight, pa.int64()), pa.array([zlib.compress(t or b"", 1) for t in texts], pa.binary())], ["id", "weight", "h"])
+
+    return run
+
+
+def _unpacked(width: int, packed: list[bytes]) -> list[np.ndarray]:
+    return shingle_sets([zlib.decompress(raw) for raw in packed], width)
+
+
+def _decoded(packed: list[bytes], decode: Callable, most: int = 1 << 20) -> Iterator[np.ndarray]:
+    """The sets of packed texts, decoded a megabyte at a time."""
+    at = 0
+    while at < len(packed):
+        end, size = at, 0
+        while end < len(packed) and (end == at or size < most):
+            size += len(packed[end])
+            end += 1
+        yield from decode(packed[at:end])
+        at = end
+
+
 def _star(rule: Jaccard, decode: Callable):
-    """Rows sorted by (leader, part, role): the leader's set first, then its members', one at a time."""
+    """Rows sorted by (leader, part, role): the leader's set first, then its members', one at a time. Says of each pair whether it links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, group, of = None, None, 0
+        held, group = None, None
         for batch in batches:
-            a, b = [], []
-            for leader, part, role, i, raw in zip(*(batch.column(c).to_pylist() for c in ("leader", "part", "role", "id", "h"))):
-                h = decode(raw)
+            found = []
+            sets = _decoded(batch.column("h").to_pylist(), decode)
+            for leader, part, role, i, h in zip(*(batch.column(c).to_pylist() for c in ("leader", "part", "role", "id")), sets):
                 if role == 0:
-                    held, group, bits = h, (leader, part), 0
-                    bits = max(64, 1 << (4 * max(1, _parts(max(1, len(h) * rule.den // rule.num), rule)[0])).bit_length())
-                    of = bitmap(h, bits)
+                    held, group = h, (leader, part)
                     continue
                 assert group == (leader, part)
                 need = rule.least_overlap(len(h), len(held))
-                if min(len(h), len(held)) >= need and overlap_bound(of, len(held), bitmap(h, bits)[None, :], np.array([len(h)]))[0] >= need and rule.linked(intersection(h, held), len(h), len(held)):
-                    a.append(i)
-                    b.append(leader)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                found.append((i, leader, min(len(h), len(held)) >= need and intersection(h, held) >= need))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["a", "b", "linked"])
 
     return run
 
 
-def _tile(rule: Jaccard, decode: Callable):
-    """All pairs of one tile that aren't connected yet, largest overlap bound first; emits a forest of links."""
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
-        ids, comp, block, n = (table.column(c).to_numpy() for c in ("id", "comp", "block", "n"))
-        order = np.lexsort((ids, n))
-        raw = table.column("h").to_pylist()
-        sets = [decode(raw[x]) for x in order]
-        ids, comp, block, n = ids[order], comp[order], block[order], n[order]
-        parent: dict[int, int] = {int(c): int(c) for c in comp}
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        a, b = [], []
-        maps, low, width = np.zeros((0, 1), U64), 0, 0
-        for x in range(len(ids)):
-            # The sets that size lets link, not smaller ones: those have met x before.
+def width_of(n: int, rule: Jaccard) -> int:
+    """Bits of the bitmap of n shingles: four for each that a linked set may differ in, a power of two."""
+    return max(64, 1 << (4 * max(1, _parts(max(1, n * rule.den // rule.num), rule)[0])).bit_length())
+
+
+def folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Parity bitmaps narrowed to so many 64-bit words: halves laid over each other."""
+    while maps.shape[1] > words:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
+
+
+def _mapped(rule: Jaccard, decode: Callable):
+    """(id, n, bits) of packed sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, bits = [], []
+            for h in _decoded(batch.column("h").to_pylist(), decode):
+                n.append(len(h))
+                bits.append(bitmap(h, width_of(len(h), rule)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(bits, pa.binary())], ["id", "n", "bits"])
+
+    return run
+
+
+def _tile(rule: Jaccard, ids: np.ndarray, comp: np.ndarray, block: np.ndarray, n: np.ndarray, bits: list[np.ndarray], between: bool, refuted: set, limit: int) -> list[tuple[int, int, bool]]:
+    """(a, b, cut) of the pairs whose bitmaps and sizes let them link, of components not connected yet.
+
+    ``between``: only pairs of the tile's two blocks with each other. Of two components' pairs at most ``limit``, marked
+    as cut where there are more; refuted pairs are left out.
+    """
+    order = np.lexsort((ids, n))
+    ids, comp, block, n, bits = ids[order], comp[order], block[order], n[order], [bits[x] for x in order]
+    words = np.array([len(b) for b in bits])
+    out: list[tuple[int, int, bool]] = []
+    per: dict[tuple[int, int], int] = {}
+    for w in np.unique(words):
+        xs = np.flatnonzero(words == w)
+        top = int(np.searchsorted(n, n[xs[-1]] * rule.den // rule.num, side="right"))
+        # Wider bitmaps belong to larger sets; all that a set of this width can link with, at this width.
+        maps = np.concatenate([folded(bits[y][None, :], w) for y in range(xs[0], top)])
+        for x in xs:
             high = int(np.searchsorted(n, n[x] * rule.den // rule.num, side="right"))
             if high <= x + 1:
                 continue
-            bits = max(64, 1 << (4 * max(1, _parts(int(n[high - 1]), rule)[0])).bit_length())
-            if bits != width or high > low + len(maps) or x < low:
-                low, width = x, bits
-                top = min(len(ids), max(high, x + 512))
-                while top > high and n[top - 1] > 2 * n[high - 1]:
-                    top -= 1
-                maps = np.stack([bitmap(h, bits) for h in sets[low:top]])
-            near = slice(x + 1 - low, high - low)
-            bound = overlap_bound(maps[x - low], int(n[x]), maps[near], n[x + 1 : high])
-            need = -(-rule.num * (n[x] + n[x + 1 : high]) // (rule.num + rule.den))
-            apart = (block[x + 1 : high] != block[x]) if i != j else np.ones(high - x - 1, dtype=bool)
-            for y in np.flatnonzero((bound >= need) & apart & (comp[x + 1 : high] != comp[x])) + x + 1:
-                r, s = root(int(comp[x])), root(int(comp[y]))
-                if r != s and rule.linked(intersection(sets[x], sets[y]), int(n[x]), int(n[y])):
-                    parent[max(r, s)] = min(r, s)
-                    a.append(int(ids[x]))
-                    b.append(int(ids[y]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            apart = comp[x + 1 : high] != comp[x]
+            if between:
+                apart &= block[x + 1 : high] != block[x]
+            ys = np.flatnonzero(apart)
+            if not len(ys):
+                continue
+            bound = overlap_bound(maps[x - xs[0]], int(n[x]), maps[x + 1 - xs[0] + ys], n[x + 1 + ys])
+            for y in ys[bound >= -(-rule.num * (n[x] + n[x + 1 + ys]) // (rule.num + rule.den))] + x + 1:
+                a, b = sorted((int(ids[x]), int(ids[y])))
+                if (a, b) in refuted:
+                    continue
+                pair = min(comp[x], comp[y]), max(comp[x], comp[y])
+                per[pair] = per.get(pair, 0) + 1
+                if per[pair] <= limit:
+                    out.append((b, a, False))
+                elif per[pair] == limit + 1:
+                    out[-1] = (*out[-1][:2], True) if out else out
+    return out
+
+
+def _tiled(rule: Jaccard, limit: int):
+    """Rows sorted by (leader, i, j, other): a tile's members and refuted pairs are gathered, which are bounded, and compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, refuted = None, [], set()
+
+        def done() -> list[tuple[int, int, bool]]:
+            if len(rows) < 2:
+                return []
+            ids, comp, block, n = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
+            return _tile(rule, ids, comp, block, n, [np.frombuffer(r[4], dtype=U64) for r in rows], key[1] != key[2], refuted, limit)
+
+        def batch_of(found: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["id", "leader", "cut"])
+
+        for batch in batches:
+            found = []
+            for leader, i, j, other, *row in zip(*(batch.column(c).to_pylist() for c in ("leader", "i", "j", "other", "id", "comp", "block", "n", "bits"))):
+                if key != (leader, i, j):
+                    found += done() if key else []
+                    key, rows, refuted = (leader, i, j), [], set()
+                if other is None:
+                    rows.append(row)
+                else:
+                    refuted.add((min(row[0], other), max(row[0], other)))
+            yield batch_of(found)
+        yield batch_of(done() if key else [])
 
     return run
 
@@ -269,31 +355,34 @@ def jaccard_components(docs: DataFrame, rule: Jaccard, id_col: str = "doc_id", t
     ``docs`` aren't read. An empty table gives an empty result.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    profile = written(base.mapInArrow(_profile(rule), "id long, n long, k1 long, k2 long, sigs array<long>"), "profile")
+    profile = written(base.mapInArrow(_profile(rule), "id long, n long, k1 long, k2 long"), "profile")
     keyed = profile.df.where("n > 0")
-    classes = keyed.groupBy("k1", "k2", "n").agg(F.min("id").alias("class_id"))
-    # Each class once, by the row of its least id (that row may itself be repeated).
-    lead = classes.where("class_id is not null").select(F.col("class_id").alias("id"))
-    sigs = keyed.join(lead, "id", "left_semi").dropDuplicates(["id", "k1", "k2"]).select("id", F.explode("sigs").alias("sig"))
+    classes = written(keyed.groupBy("k1", "k2", "n").agg(F.min("id").alias("class_id")), "classes")
+    # Both sides are read from files, so a class with very many rows is split between tasks as they are dealt.
+    classed = written(keyed.join(classes.df, ["k1", "k2", "n"]).select("id", "n", "class_id"), "classed")
+    # Each class is signed once, by the row of its least id. Ids that the filter denies are such rows for sure; only the
+    # others are looked up, so no signature moves before it is dealt by its value.
+    copies = written(classed.df.where("id <> class_id").select("id").union(keyed.groupBy("id").count().where("count > 1").select("id")), "copies")
+    filter_ = id_filter(copies.df)
+    kind = "id long, t int, c int, sigs array<long>"
+    sure = base.mapInArrow(_signed(rule, filter_, False), kind)
+    some = base.mapInArrow(_signed(rule, filter_, True), kind).join(classed.df.where("id = class_id").select("id"), "id", "left_semi").dropDuplicates(["id", "t"])
+    sigs = sure.unionByName(some).select("id", "t", "c", F.explode("sigs").alias("sig"))
+    often = sigs.withColumn("often", F.count("*").over(Window.partitionBy("sig"))).where("often > 1")
+    own = Window.partitionBy("id", "t")
+    kept = often.withColumns({"found": F.count("*").over(own), "place": F.row_number().over(own.orderBy(F.desc("often"), "sig"))}).where("found >= c and place >= c")
     by_sig = Window.partitionBy("sig")
-    shared = written(
-        sigs.select("sig", "id", F.min("id").over(by_sig).alias("leader"), F.max("id").over(by_sig).alias("last")).where("leader < last").select("sig", "id", "leader"), "shared"
-    )
-    links = connect(lambda wanted: base.mapInArrow(_arrays(rule, wanted), "id long, n long, h binary"), shared, rule)
+    shared = kept.select("sig", "id", F.min("id").over(by_sig).alias("leader"), F.max("id").over(by_sig).alias("last"))
+    shared = written(shared.where("leader < last").select("sig", "id", "leader"), "shared")
+    links = connect(lambda wanted: base.mapInArrow(_packed(wanted), "id long, weight long, h binary"), shared, rule, partial(_unpacked, rule.width))
     comp = components(links)
-    shared.drop()
-    member = classes.join(comp.df.withColumnRenamed("id", "class_id"), "class_id", "left").select("k1", "k2", "n", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    # Written first, so that a class with very many rows is split between tasks where both sides are dealt anew.
-    member = written(member, "member").df
-    full = profile.df.where("n > 0").drop("sigs").join(member, ["k1", "k2", "n"], "left").select("id", F.col("n").alias("n_shingles"), "class_id", "component_id")
+    for table in (shared, classes, copies):
+        table.drop()
+    full = classed.df.join(comp.df.withColumnRenamed("id", "class_id"), "class_id", "left").select("id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
     none = profile.df.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("class_id"), F.col("id").alias("component_id"))
     return full.unionByName(none)
 
 
-def _as_hashes(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, dtype=U64)
-
-
 def one_of_each(docs: DataFrame, rule: Jaccard, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component, that of the least id. Documents without words stay, rows without an id too."""
     found = written(jaccard_components(docs, rule, id_col, text_col).select("id", "component_id"), "found")
@@ -304,11 +393,12 @@ def one_of_each(docs: DataFrame, rule: Jaccard, id_col: str = "doc_id", text_col
     return without_ids(docs, gone.df, id_col, twice.df)
 
 
-def connect(sets_of: Callable, shared: Table, rule: Jaccard, decode: Callable = _as_hashes) -> DataFrame:
+def connect(sets_of: Callable, shared: Table, rule: Jaccard, decode: Callable) -> DataFrame:
     """Links (a, b) that connect all that is linked, from the table (sig, id, leader) of shared signatures.
 
-    ``sets_of`` takes a broadcast id filter and gives (id, n, h), at least for the ids that pass; it may repeat a row.
-    n is the size of the set, ``decode`` makes its sorted distinct 64-bit shingle hashes of the bytes h.
+    ``sets_of`` takes a broadcast id filter and gives (id, weight, h), at least for the ids that pass; it may repeat a
+    row. ``decode`` makes of a list of such bytes h the sorted distinct 64-bit shingle hashes of each; weight is about how
+    many they are.
     """
     ids = shared.df.select("id").distinct()
     sets = written(sets_of(id_filter(ids)).join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
@@ -316,29 +406,57 @@ def connect(sets_of: Callable, shared: Table, rule: Jaccard, decode: Callable =
     # First against the one leader with most signatures in common.
     pairs = shared.df.where("id > leader").groupBy("id", "leader").count()
     pairs = pairs.groupBy("id").agg(F.min_by("leader", F.struct(-F.col("count"), F.col("leader"))).alias("leader"))
+    links = [_verified(written(pairs, "pairs").df, sets, rule, decode)]
+
+    # Then whatever shares a signature and isn't connected: those with signatures of one leader meet there, as bitmaps.
+    met = written(shared.df.select("leader", "id").distinct(), "met")
+    maps, limit, refuted = None, LIMIT, None
+    while True:
+        comp = components(_links_of(links))
+        known = met.df.join(comp.df, "id", "left").select("leader", "id", F.coalesce("component", "id").alias("comp"))
+        known = written(known, "known")
+        mixed = known.df.groupBy("leader").agg(F.count("*").alias("rows"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+        mixed = written(mixed.select("leader", F.ceil(F.col("rows") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks")), "mixed")
+        member = known.df.join(mixed.df, "leader").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        tiles = member.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("q")).select("leader", F.least("block", "q").alias("i"), F.greatest("block", "q").alias("j"), "id", "comp", "block")
+        tiles = written(tiles, "tiles")
+        if maps is None:
+            maps = written(sets.df.join(tiles.df.select("id").distinct(), "id", "left_semi").select("id", "h").mapInArrow(_mapped(rule, decode), "id long, n long, bits binary"), "maps")
+        none = F.lit(None).cast("long")
+        rows = tiles.df.join(maps.df, "id").select("leader", "i", "j", none.alias("other"), "id", "comp", "block", "n", "bits")
+        if refuted is not None:
+            at = tiles.df.select("leader", "i", "j", "id")
+            known_false = refuted.select(F.col("a").alias("id"), F.col("b").alias("other")).join(at, "id").join(at.withColumnRenamed("id", "other"), ["leader", "i", "j", "other"])
+            rows = rows.unionByName(known_false.select("leader", "i", "j", "other", "id", none.alias("comp"), F.lit(None).cast("int").alias("block"), none.alias("n"), F.lit(None).cast("binary").alias("bits")))
+        rows = rows.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
+        found = written(rows.mapInArrow(_tiled(rule, limit), "id long, leader long, cut boolean"), "found")
+        more = _verified(found.df.select("id", "leader").distinct(), sets, rule, decode)
+        links.append(more)
+        again = not found.df.where("cut").isEmpty()
+        for table in (comp, known, mixed, tiles, found):
+            table.drop()
+        if not again:
+            break
+        false = more.df.where("not linked").select("a", "b")
+        refuted = false if refuted is None else refuted.unionByName(false)
+        limit *= 16
+    for table in (sets, met, maps):
+        table.drop()
+    return _links_of(links)
+
+
+def _links_of(links: list[Table]) -> DataFrame:
+    out = links[0].df
+    for table in links[1:]:
+        out = out.unionByName(table.df)
+    return out.where("linked").select("a", "b")
+
+
+def _verified(pairs: DataFrame, sets: Table, rule: Jaccard, decode: Callable) -> Table:
+    """(a, b, linked) of pairs (id, leader): sets are intersected, a leader's with its members' as they pass by."""
     sizes = pairs.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(STAR_ROWS)).cast("int").alias("parts"))
     members = pairs.join(sizes, "leader").join(sets.df, "id").select("leader", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), "id", "h")
     leaders = sizes.select(F.col("leader"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(sets.df.withColumnRenamed("id", "leader"), "leader")
     leaders = leaders.select("leader", F.col("part").cast("int"), F.lit(0).alias("role"), F.col("leader").alias("id"), "h")
     star = leaders.unionByName(members).repartition("leader", "part").sortWithinPartitions("leader", "part", "role")
-    near = written(star.mapInArrow(_star(rule, decode), "a long, b long"), "near")
-
-    # Then whatever shares a signature and isn't connected.
-    comp = components(near.df)
-    known = shared.df.join(comp.df, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("comp"))
-    by_sig = Window.partitionBy("sig")
-    left = known.withColumns({"low": F.min("comp").over(by_sig), "high": F.max("comp").over(by_sig), "leader": F.min("id").over(by_sig)}).where("low < high")
-    left = written(left.select("id", "comp", "leader").distinct(), "left")
-    around = components(left.df.select(F.col("id").alias("a"), F.col("leader").alias("b")))
-    rows = left.df.select("id", "comp").distinct().join(around.df.withColumnRenamed("component", "around"), "id").join(sets.df, "id")
-    run = Window.partitionBy("around").orderBy("comp", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    blocks = rows.select("id", "comp", "around", "n", F.floor((F.sum("n").over(run) - F.col("n")) / F.lit(BLOCK_SHINGLES)).cast("int").alias("block"))
-    blocks = written(blocks, "blocks")
-    span = blocks.df.groupBy("around", "block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    other = span.select("around", F.col("block").alias("j"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    tiles = span.withColumnRenamed("block", "i").join(other, "around").where("i <= j and (low < high or low2 < high2 or low <> low2)").select("around", "i", "j")
-    placed = tiles.select("around", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")).join(blocks.df, ["around", "block"]).join(sets.df.select("id", "h"), "id")
-    more = written(placed.select("around", "i", "j", "block", "id", "comp", "n", "h").groupBy("around", "i", "j").applyInArrow(_tile(rule, decode), "a long, b long"), "more")
-    for table in (sets, left, blocks):
-        table.drop()
-    return near.df.unionByName(more.df)
+    return written(star.mapInArrow(_star(rule, decode), "a long, b long, linked boolean"), "verified")

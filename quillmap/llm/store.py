@@ -73,7 +73,7 @@ def id_filter(ids: DataFrame, column: str = "id"):
     """
     x = F.col(column)
     slot = x.bitwiseXOR(F.shiftright(x, 23)).bitwiseXOR(F.shiftright(x, 46)).bitwiseAND(FILTER_BITS - 1)
-    rows = ids.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+    rows = ids.where(x.isNotNull()).select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
     words = np.zeros(FILTER_BITS // 8 + 8192, dtype=np.uint8)
     at = ids.sparkSession.range(1).select(F.bitmap_bucket_number(F.lit(0)).alias("zero"), F.bitmap_bit_position(F.lit(0)).alias("at")).first()
     for r in rows.collect():
