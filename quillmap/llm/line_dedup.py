@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .ngram_join import Jaccard, _lists, connect
+from .ngram_join import Jaccard, connect
 from .store import may_hold, written
 from .textkit import CHUNK, U64, mix
 from .unionfind import components
@@ -31,7 +31,10 @@ _salts = mix(np.arange(BANDS * ROWS, dtype=U64), 61) | U64(1)
 
 def normal(text: str) -> list[bytes]:
     """The lines of a text as they are compared."""
-    return [b" ".join(x.split()) for x in text.lower().encode().split(b"\n")]
+    raw = text.lower().encode()
+    if any(c in raw for c in (b"\t", b"\r", b"\x0b", b"\x0c")):
+        return [b" ".join(x.split()) for x in raw.split(b"\n")]
+    return [b" ".join(x.split()) if b"  " in x else x.strip() for x in raw.split(b"\n")]
 
 
 def shingle_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -62,34 +65,35 @@ def _bands(minima: np.ndarray, kind: int) -> np.ndarray:
     return h
 
 
-def band_keys(lines: list[bytes]) -> list[np.ndarray]:
-    """The band keys of each line."""
+def band_keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, count): the band keys of the lines, line after line, and how many each has."""
     h, first = shingle_hashes(lines)
     n, k = np.diff(first), BANDS * ROWS
-    out: list[list[np.ndarray]] = [[] for _ in lines]
-    few, many = np.flatnonzero(n < FEW), np.flatnonzero(n >= MANY)
-    if len(few):
-        size = n[few]
-        at = np.cumsum(size) - size
-        mine = h[np.arange(size.sum()) + np.repeat(first[few] - at, size)]
-        minima = np.stack([np.minimum.reduceat(mine * s, at) for s in _salts], axis=1)
-        for x, keys in zip(few, _bands(minima, 1)):
-            out[x].append(keys)
-    if len(many):
-        size = n[many]
-        at = np.cumsum(size) - size
-        mine = h[np.arange(size.sum()) + np.repeat(first[many] - at, size)]
-        low = np.full(len(many) * k, ~U64(0), dtype=U64)
-        np.minimum.at(low, np.repeat(np.arange(len(many)) * k, size) + (mine >> U64(59)).astype(np.int64), mine & U64((1 << 59) - 1))
-        low = low.reshape(-1, k)
-        for step in range(1, k):
-            empty = low == ~U64(0)
-            if not empty.any():
-                break
-            low = np.where(empty, np.roll(low, -1, axis=1), low)
-        for x, keys in zip(many, _bands(low, 2)):
-            out[x].append(keys)
-    return [np.concatenate(x) for x in out]
+    kinds = (n < FEW).astype(np.int64), (n >= MANY).astype(np.int64)
+    count = BANDS * (kinds[0] + kinds[1])
+    at = np.cumsum(count) - count
+    out = np.empty(int(count.sum()), dtype=U64)
+    for kind, own in enumerate(kinds):
+        rows = np.flatnonzero(own)
+        if not len(rows):
+            continue
+        size = n[rows]
+        begin = np.cumsum(size) - size
+        mine = h[np.arange(size.sum()) + np.repeat(first[rows] - begin, size)]
+        if kind == 0:
+            minima = np.stack([np.minimum.reduceat(mine * s, begin) for s in _salts], axis=1)
+        else:
+            minima = np.full(len(rows) * k, ~U64(0), dtype=U64)
+            np.minimum.at(minima, np.repeat(np.arange(len(rows)) * k, size) + (mine >> U64(59)).astype(np.int64), mine & U64((1 << 59) - 1))
+            minima = minima.reshape(-1, k)
+            for _ in range(1, k):
+                empty = minima == ~U64(0)
+                if not empty.any():
+                    break
+                minima = np.where(empty, np.roll(minima, -1, axis=1), minima)
+        place = at[rows] + (BANDS * kinds[0][rows] if kind else 0)
+        out[place[:, None] + np.arange(BANDS)[None, :]] = _bands(minima, kind + 1)
+    return out, count
 
 
 def _line_ids(lines: list[bytes]) -> list[int]:
@@ -101,20 +105,21 @@ def _line_ids(lines: list[bytes]) -> list[int]:
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, line, id, keys) of the lines that aren't blank; keys only where a partition first meets the line."""
     seen: set[int] = set()
-    none = np.zeros(0, dtype=U64)
     rows: list[tuple[int, int, int]] = []
     fresh: list[tuple[int, bytes]] = []
     size = 0
 
     def cut() -> pa.RecordBatch:
         nonlocal rows, fresh, size
-        keys = [none] * len(rows)
+        size_of = np.zeros(len(rows) + 1, dtype=np.int32)
+        keys = np.zeros(0, dtype=U64)
         if fresh:
-            for (k, _), found in zip(fresh, band_keys([x for _, x in fresh])):
-                keys[k] = found
+            keys, count = band_keys([x for _, x in fresh])
+            size_of[[k + 1 for k, _ in fresh]] = count
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(size_of, dtype=np.int32)), pa.array(keys.view(np.int64)))
         doc, line, i = zip(*rows)
         rows, fresh, size = [], [], 0
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(line, pa.int32()), pa.array(i, pa.int64()), _lists(keys)], ["doc_id", "line", "id", "keys"])
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(line, pa.int32()), pa.array(i, pa.int64()), lists], ["doc_id", "line", "id", "keys"])
 
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -143,20 +148,17 @@ def _sets(wanted):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
-            out = []
-            for text in batch.column(0).to_pylist():
-                lines = [x for x in normal(text) if x]
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1_000):
+                lines = [x for text in whole.column(0).slice(start, 1_000).to_pylist() for x in normal(text) if x]
                 ids = _line_ids(lines)
+                out = []
                 for k in np.flatnonzero(may_hold(wanted.value, np.array(ids, dtype=np.int64))):
                     if ids[k] not in seen:
                         seen.add(ids[k])
                         out.append((ids[k], len(lines[k]), lines[k]))
-                if len(out) >= 2000:
+                if out:
                     yield _set_batch(out)
-                    out = []
-            if out:
-                yield _set_batch(out)
 
     return run
 
@@ -181,13 +183,15 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = connect(lambda wanted: base.select("text").mapInArrow(_sets(wanted), "id long, weight long, h binary"), shared, RULE, _distinct)
     comp = components(links)
     shared.drop()
-    # Only lines that occur twice or are like another can go; the rest is left out before anything joins.
-    first = lines.df.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
-    first = first.join(comp.df, "id", "left").where("n > 1 or component is not null").select("id", "first", F.coalesce("component", "id").alias("component"))
+    # Only lines that occur twice or are like another can go; the rest is left out before their occurrences are compared.
+    several = lines.df.groupBy("id").count().where("count > 1").select("id").union(comp.df.select("id"))
+    some = written(lines.df.select("doc_id", "line", "id").join(several, "id", "left_semi"), "occurrences").df
+    first = some.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"))
+    first = first.join(comp.df, "id", "left").select("id", "first", F.coalesce("component", "id").alias("component"))
     first = written(first, "first").df
     keep = first.groupBy("component").agg(F.min("first").alias("keep"))
     keep = written(first.select("id", "component").join(keep, "component").select("id", "keep"), "keep").df
-    gone = lines.df.select("doc_id", "line", "id").join(keep, "id").where(F.struct("doc_id", "line") != F.col("keep"))
+    gone = some.join(keep, "id").where(F.struct("doc_id", "line") != F.col("keep"))
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
 
 
