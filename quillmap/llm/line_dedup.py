@@ -144,7 +144,7 @@ def _distinct(lines: list[bytes]) -> list[np.ndarray]:
 
 
 def _sets(wanted):
-    """(id, weight, line) of the lines whose id the filter lets pass: the line is an eighth of its hashes' size."""
+    """(id, line) of the lines whose id the filter lets pass: the line is an eighth of its hashes' size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -156,7 +156,7 @@ def _sets(wanted):
                 for k in np.flatnonzero(may_hold(wanted.value, np.array(ids, dtype=np.int64))):
                     if ids[k] not in seen:
                         seen.add(ids[k])
-                        out.append((ids[k], len(lines[k]), lines[k]))
+                        out.append((ids[k], lines[k]))
                 if out:
                     yield _set_batch(out)
 
@@ -164,8 +164,8 @@ def _sets(wanted):
 
 
 def _set_batch(rows: list) -> pa.RecordBatch:
-    i, n, h = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(n, pa.int64()), pa.array(h, pa.binary())], ["id", "weight", "h"])
+    i, h = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(h, pa.binary())], ["id", "h"])
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,7 +180,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sigs = lines.df.select(F.explode("keys").alias("sig"), "id")
     shared = sigs.withColumns({"leader": F.min("id").over(by_key), "last": F.max("id").over(by_key)}).where("leader < last").select("sig", "id", "leader")
     shared = written(shared.distinct(), "shared")
-    links = connect(lambda wanted: base.select("text").mapInArrow(_sets(wanted), "id long, weight long, h binary"), shared, RULE, _distinct)
+    links = connect(lambda wanted: base.select("text").mapInArrow(_sets(wanted), "id long, h binary"), shared, RULE, _distinct, forest=True)
     comp = components(links)
     shared.drop()
     # Only lines that occur twice or are like another can go; the rest is left out before their occurrences are compared.

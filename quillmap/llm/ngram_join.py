@@ -198,15 +198,22 @@ def _signed(rule: Jaccard, filter_, want: bool):
     return run
 
 
-def _packed(filter_):
-    """(id, weight, h) of the texts whose id the filter lets pass; h is the packed text, a third of its hashes' size, weight about their number."""
+def _packed(rule: Jaccard, filter_):
+    """(id, h, n, bits) of the texts whose id the filter lets pass, an id once a task: the packed text, a third of its hashes' size, the size of its set and the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for whole in batches:
-            for batch in _slices(_passing(whole, filter_, True), "text"):
+            whole = _passing(whole, filter_, True)
+            new = []
+            for i in whole.column("id").to_pylist():
+                new.append(i not in seen)
+                seen.add(i)
+            for batch in _slices(whole.filter(pa.array(new, pa.bool_())), "text"):
                 texts = _texts(batch.column("text"))
-                weight = [len(t or b"") // 6 + 1 for t in texts]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(weight, pa.int64()), pa.array([zlib.compress(t or b"", 1) for t in texts], pa.binary())], ["id", "weight", "h"])
+                sets = shingle_sets(texts, rule.width)
+                bits = [bitmap(h, width_of(len(h), rule)).tobytes() for h in sets]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([zlib.compress(t or b"", 1) for t in texts], pa.binary()), pa.array([len(h) for h in sets], pa.int64()), pa.array(bits, pa.binary())], ["id", "h", "n", "bits"])
 
     return run
 
@@ -274,12 +281,21 @@ def _mapped(rule: Jaccard, decode: Callable):
     return run
 
 
-def _tile(rule: Jaccard, ids: np.ndarray, comp: np.ndarray, block: np.ndarray, n: np.ndarray, bits: list[np.ndarray], between: bool, refuted: set, limit: int) -> list[tuple[int, int, bool]]:
+def _tile(rule: Jaccard, ids: np.ndarray, comp: np.ndarray, block: np.ndarray, n: np.ndarray, bits: list[np.ndarray], between: bool, refuted: set, limit: int | None) -> list[tuple[int, int, bool]]:
     """(a, b, cut) of the pairs whose bitmaps and sizes let them link, of components not connected yet.
 
     ``between``: only pairs of the tile's two blocks with each other. Of two components' pairs at most ``limit``, marked
-    as cut where there are more; refuted pairs are left out.
+    as cut where there are more; refuted pairs are left out. Without a limit only a forest of pairs is given, that would
+    connect all that may be connected here if they all linked.
     """
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
     order = np.lexsort((ids, n))
     ids, comp, block, n, bits = ids[order], comp[order], block[order], n[order], [bits[x] for x in order]
     words = np.array([len(b) for b in bits])
@@ -305,6 +321,12 @@ def _tile(rule: Jaccard, ids: np.ndarray, comp: np.ndarray, block: np.ndarray, n
                 a, b = sorted((int(ids[x]), int(ids[y])))
                 if (a, b) in refuted:
                     continue
+                if limit is None:
+                    r, t = root(int(comp[x])), root(int(comp[y]))
+                    if r != t:
+                        parent[max(r, t)] = min(r, t)
+                        out.append((b, a, False))
+                    continue
                 pair = min(comp[x], comp[y]), max(comp[x], comp[y])
                 per[pair] = per.get(pair, 0) + 1
                 if per[pair] <= limit:
@@ -314,7 +336,7 @@ def _tile(rule: Jaccard, ids: np.ndarray, comp: np.ndarray, block: np.ndarray, n
     return out
 
 
-def _tiled(rule: Jaccard, limit: int):
+def _tiled(rule: Jaccard, limit: int | None):
     """Rows sorted by (leader, i, j, other): a tile's members and refuted pairs are gathered, which are bounded, and compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,13 +390,12 @@ def jaccard_components(docs: DataFrame, rule: Jaccard, id_col: str = "doc_id", t
     sure = base.mapInArrow(_signed(rule, filter_, False), kind)
     some = base.mapInArrow(_signed(rule, filter_, True), kind).join(classed.df.where("id = class_id").select("id"), "id", "left_semi").dropDuplicates(["id", "t"])
     sigs = sure.unionByName(some).select("id", "t", "c", F.explode("sigs").alias("sig"))
-    often = sigs.withColumn("often", F.count("*").over(Window.partitionBy("sig"))).where("often > 1")
+    by_sig = Window.partitionBy("sig")
+    often = sigs.withColumns({"often": F.count("*").over(by_sig), "leader": F.min("id").over(by_sig)}).where("often > 1")
     own = Window.partitionBy("id", "t")
     kept = often.withColumns({"found": F.count("*").over(own), "place": F.row_number().over(own.orderBy(F.desc("often"), "sig"))}).where("found >= c and place >= c")
-    by_sig = Window.partitionBy("sig")
-    shared = kept.select("sig", "id", F.min("id").over(by_sig).alias("leader"), F.max("id").over(by_sig).alias("last"))
-    shared = written(shared.where("leader < last").select("sig", "id", "leader"), "shared")
-    links = connect(lambda wanted: base.mapInArrow(_packed(wanted), "id long, weight long, h binary"), shared, rule, partial(_unpacked, rule.width))
+    shared = written(kept.select("sig", "id", "leader"), "shared")
+    links = connect(lambda wanted: base.mapInArrow(_packed(rule, wanted), "id long, h binary, n long, bits binary"), shared, rule, partial(_unpacked, rule.width))
     comp = components(links)
     for table in (shared, classes, copies):
         table.drop()
@@ -393,15 +414,17 @@ def one_of_each(docs: DataFrame, rule: Jaccard, id_col: str = "doc_id", text_col
     return without_ids(docs, gone.df, id_col, twice.df)
 
 
-def connect(sets_of: Callable, shared: Table, rule: Jaccard, decode: Callable) -> DataFrame:
+def connect(sets_of: Callable, shared: Table, rule: Jaccard, decode: Callable, forest: bool = False) -> DataFrame:
     """Links (a, b) that connect all that is linked, from the table (sig, id, leader) of shared signatures.
 
-    ``sets_of`` takes a broadcast id filter and gives (id, weight, h), at least for the ids that pass; it may repeat a
-    row. ``decode`` makes of a list of such bytes h the sorted distinct 64-bit shingle hashes of each; weight is about how
-    many they are.
+    ``sets_of`` takes a broadcast id filter and gives (id, h), at least for the ids that pass; it may repeat a row in
+    another task. It may add (n, bits), the size and bitmap of each set, else they are made of h where they are needed.
+    ``decode`` makes of a list of such bytes h the sorted distinct 64-bit shingle hashes of each. ``forest``: the first
+    round asks for a forest of pairs in each tile, which is best where most pairs that pass do link; only if one of them
+    doesn't, there are further rounds.
     """
-    ids = shared.df.select("id").distinct()
-    sets = written(sets_of(id_filter(ids)).join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
+    ids = shared.df.select("id").union(shared.df.select("leader")).distinct()
+    sets = written(sets_of(id_filter(ids)), "sets")
 
     # First against the one leader with most signatures in common.
     pairs = shared.df.where("id > leader").groupBy("id", "leader").count()
@@ -410,7 +433,7 @@ def connect(sets_of: Callable, shared: Table, rule: Jaccard, decode: Callable) -
 
     # Then whatever shares a signature and isn't connected: those with signatures of one leader meet there, as bitmaps.
     met = written(shared.df.select("leader", "id").distinct(), "met")
-    maps, limit, refuted = None, LIMIT, None
+    maps, limit, refuted = None, None if forest else LIMIT, None
     while True:
         comp = components(_links_of(links))
         known = met.df.join(comp.df, "id", "left").select("leader", "id", F.coalesce("component", "id").alias("comp"))
@@ -421,7 +444,10 @@ def connect(sets_of: Callable, shared: Table, rule: Jaccard, decode: Callable) -
         tiles = member.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("q")).select("leader", F.least("block", "q").alias("i"), F.greatest("block", "q").alias("j"), "id", "comp", "block")
         tiles = written(tiles, "tiles")
         if maps is None:
-            maps = written(sets.df.join(tiles.df.select("id").distinct(), "id", "left_semi").select("id", "h").mapInArrow(_mapped(rule, decode), "id long, n long, bits binary"), "maps")
+            if "bits" in sets.df.columns:
+                maps = written(sets.df.select("id", "n", "bits").dropDuplicates(["id"]), "maps")
+            else:
+                maps = written(sets.df.join(tiles.df.select("id").distinct(), "id", "left_semi").select("id", "h").dropDuplicates(["id"]).mapInArrow(_mapped(rule, decode), "id long, n long, bits binary"), "maps")
         none = F.lit(None).cast("long")
         rows = tiles.df.join(maps.df, "id").select("leader", "i", "j", none.alias("other"), "id", "comp", "block", "n", "bits")
         if refuted is not None:
@@ -432,14 +458,14 @@ def connect(sets_of: Callable, shared: Table, rule: Jaccard, decode: Callable) -
         found = written(rows.mapInArrow(_tiled(rule, limit), "id long, leader long, cut boolean"), "found")
         more = _verified(found.df.select("id", "leader").distinct(), sets, rule, decode)
         links.append(more)
-        again = not found.df.where("cut").isEmpty()
+        again = not (found.df.where("cut") if limit else more.df.where("not linked")).isEmpty()
         for table in (comp, known, mixed, tiles, found):
             table.drop()
         if not again:
             break
         false = more.df.where("not linked").select("a", "b")
         refuted = false if refuted is None else refuted.unionByName(false)
-        limit *= 16
+        limit = limit * 16 if limit else LIMIT
     for table in (sets, met, maps):
         table.drop()
     return _links_of(links)
@@ -455,8 +481,8 @@ def _links_of(links: list[Table]) -> DataFrame:
 def _verified(pairs: DataFrame, sets: Table, rule: Jaccard, decode: Callable) -> Table:
     """(a, b, linked) of pairs (id, leader): sets are intersected, a leader's with its members' as they pass by."""
     sizes = pairs.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(STAR_ROWS)).cast("int").alias("parts"))
-    members = pairs.join(sizes, "leader").join(sets.df, "id").select("leader", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), "id", "h")
-    leaders = sizes.select(F.col("leader"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(sets.df.withColumnRenamed("id", "leader"), "leader")
-    leaders = leaders.select("leader", F.col("part").cast("int"), F.lit(0).alias("role"), F.col("leader").alias("id"), "h")
-    star = leaders.unionByName(members).repartition("leader", "part").sortWithinPartitions("leader", "part", "role")
+    members = pairs.join(sizes, "leader").select("id", "leader", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"))
+    leaders = sizes.select(F.col("leader").alias("id"), "leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
+    # Roles are narrow; the sets move once to their ids and once to their leaders.
+    star = leaders.unionByName(members).join(sets.df.select("id", "h"), "id").repartition("leader", "part").sortWithinPartitions("leader", "part", "role")
     return written(star.mapInArrow(_star(rule, decode), "a long, b long, linked boolean"), "verified")
