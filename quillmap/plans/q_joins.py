@@ -66,7 +66,6 @@ def _nearest_sql(points: str, segments: str) -> str:
 
 
 SITES = "(SELECT sid AS fid, sx AS ax, sy AS ay, sx AS bx, sy AS by FROM fx_sites)"
-FEW = "(SELECT id, x AS px, y AS py FROM fx_points WHERE id < 200)"
 
 
 def _rounded(df):
@@ -83,17 +82,17 @@ def _(t):
     return _rounded(G.nearest(points(t), site_segments(t), "grid"))
 
 
-@query("J3c_join_nearest_segment", _nearest_sql(FEW, LINES))
+@query("J3c_join_nearest_segment", _nearest_sql(POINTS, LINES))
 def _(t):
-    return _rounded(G.nearest(points(t).where("id < 200"), G.split_segments(W.segments(t("fx_line_vertices")), 25.0), "grid"))
+    return _rounded(G.nearest(points(t), G.split_segments(W.segments(t("fx_line_vertices")), 25.0), "grid"))
 
 
-@query("J3d_join_nearest_hilbert", _nearest_sql(FEW, LINES))
+@query("J3d_join_nearest_hilbert", _nearest_sql(POINTS, LINES))
 def _(t):
     """Points in curve order, so that a task's points are near each other and meet the same cells."""
     from ..operators.learned import curve_keys, in_key_order
 
-    near = in_key_order(curve_keys(points(t).where("id < 200"), 10, "px", "py")).select("id", "px", "py")
+    near = in_key_order(curve_keys(points(t), 10, "px", "py")).select("id", "px", "py")
     return _rounded(G.nearest(near, W.segments(t("fx_line_vertices")), "grid"))
 
 

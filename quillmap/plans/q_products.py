@@ -8,7 +8,7 @@ from ..functions import scalars as S
 from ..operators import aggregates as A, evidence as E, geometry as G, joins as J, learned as L, models as M, raster as R, splits as P, validation as V, windows as W
 from .q_aggregates import _BINNED, _CLASSES, GRID, _cells, _rank, binned
 from .q_basic import LINES, POINTS, points
-from .q_joins import FEW, SITES, _nearest_sql, site_segments
+from .q_joins import SITES, _nearest_sql, site_segments
 from .registry import query
 
 col = F.col
