@@ -332,9 +332,9 @@ def _(t):
     return W.not_contiguous(t("fx_line_vertices").where("vertex_index <> 2 or fid % 3 <> 0"))
 
 
-@query("W8_win_duplicate_mask", "SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) > 1 AS dup FROM lineitem WHERE l_orderkey < 2000")
+@query("W8_win_duplicate_mask", "SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) > 1 AS dup FROM lineitem")
 def _(t):
-    return t("lineitem").where("l_orderkey < 2000").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", W.duplicated("l_orderkey", "l_linenumber").alias("dup"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", W.duplicated("l_orderkey", "l_linenumber").alias("dup"))
 
 
 @query("W9_win_group_residual", "SELECT o_orderkey, round(o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_custkey), 6) AS r FROM orders")

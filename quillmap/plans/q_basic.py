@@ -142,10 +142,10 @@ def _(t):
     return G.bounds(t("fx_poly_vertices"), "fid")
 
 
-@query("fn_bbox_dist2", """SELECT id, fid, power(greatest(cx-half-x, 0, x-cx-half), 2) + power(greatest(cy-half-y, 0, y-cy-half), 2) AS d2 FROM fx_points, fx_poly_centres WHERE id < 50""")
+@query("fn_bbox_dist2", """SELECT id, fid, power(greatest(cx-half-x, 0, x-cx-half), 2) + power(greatest(cy-half-y, 0, y-cy-half), 2) AS d2 FROM fx_points, fx_poly_centres""")
 def _(t):
     c = t("fx_poly_centres")
-    j = t("fx_points").where("id < 50").crossJoin(F.broadcast(c))  # at most 100 centres by construction
+    j = t("fx_points").crossJoin(F.broadcast(c))  # at most 100 centres by construction
     return j.select("id", "fid", S.bbox_dist2(col("x"), col("y"), col("cx") - col("half"), col("cy") - col("half"), col("cx") + col("half"), col("cy") + col("half")).alias("d2"))
 
 
@@ -257,10 +257,10 @@ def _(t):
     return t("fx_scoring").select("property_id", S.zone_score(col("zone"), col("matched")).alias("score"))
 
 
-@query("fn_strict_bool", "SELECT l_orderkey, l_linenumber, l_suppkey, l_linestatus = 'F' AS flag FROM lineitem WHERE l_linestatus IN ('F', 'O') AND l_partkey < 50")
+@query("fn_strict_bool", "SELECT l_orderkey, l_linenumber, l_suppkey, l_linestatus = 'F' AS flag FROM lineitem WHERE l_linestatus IN ('F', 'O')")
 def _(t):
     text = F.when(col("l_linestatus") == "F", " Yes ").otherwise("NO")
-    return t("lineitem").where(col("l_linestatus").isin("F", "O") & (col("l_partkey") < 50)).select("l_orderkey", "l_linenumber", "l_suppkey", S.strict_bool(text).alias("flag"))
+    return t("lineitem").where(col("l_linestatus").isin("F", "O")).select("l_orderkey", "l_linenumber", "l_suppkey", S.strict_bool(text).alias("flag"))
 
 
 @query("fn_lenient_bool", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN false END AS lenient, false AS native FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')")

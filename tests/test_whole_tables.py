@@ -26,3 +26,31 @@ def test_nearest_joins_answer_every_point(spark, name, tmp_path):
     assert set(got) == {c[0] for c in customers}
     for i, r in got.items():
         assert r["fid"] == want[i][0] and r["distance"] == pytest.approx(want[i][1], abs=2e-6) and r["ties"] == want[i][2], i
+
+
+@pytest.mark.parametrize(
+    ("name", "rows"),
+    [
+        ("W8_win_duplicate_mask", "SELECT count(*) FROM lineitem"),
+        ("fn_strict_bool", "SELECT count(*) FROM lineitem WHERE l_linestatus IN ('F', 'O')"),
+        ("fn_bbox_dist2", "SELECT (SELECT count(*) FROM fx_points) * (SELECT count(*) FROM fx_poly_centres)"),
+        ("fn_key_values", "SELECT count(*) FROM orders"),
+        ("sink_jsonl", "SELECT count(*) FROM orders"),
+    ],
+)
+def test_no_prefix_of_ids(spark, name, rows):
+    assert QUERIES[name](spark, SF).count() == Tables(spark, SF).sql(rows).first()[0]
+
+
+def test_pending_runs_cover_the_table(spark):
+    """What is planned and has no record: done and pending together are all orders."""
+    keys = {r[0] for r in Tables(spark, SF)("orders").select("o_orderkey").collect()}
+    pending = {r[0] for r in QUERIES["src_pending_runs"](spark, SF).collect()}
+    assert pending == {k for k in keys if k % 2}
+
+
+def test_duplicate_mask_keeps_high_keys(spark, tmp_path):
+    rows = [(1, 1, 0, 0), (1999, 1, 0, 0), (2000, 1, 0, 0), (90_000, 1, 0, 0), (90_000, 1, 1, 1)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber long, l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted((r["l_orderkey"], r["dup"]) for r in QUERIES["W8_win_duplicate_mask"](spark, str(tmp_path)).collect())
+    assert got == [(1, False), (1999, False), (2000, False), (90_000, True), (90_000, True)]
