@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+#: Cells of the raster down and across: about 64 cells a customer.
+SIDE = "SELECT 8*CAST(ceil(sqrt(count(*))) AS BIGINT) FROM customer"
+
 VIEWS = {
     "fx_points": """
 SELECT c_custkey AS id, CAST(c_custkey*7919 % 10007 AS DOUBLE) AS x, CAST(c_custkey*104729 % 10009 AS DOUBLE) AS y,
@@ -25,23 +28,22 @@ FROM supplier""",
 SELECT user_id AS fid, 0 AS part_index, 0 AS ring_index, CAST(rn - 1 AS INT) AS vertex_index,
        CAST(user_id*6151 % 10007 AS DOUBLE) + CAST((rn - 1)*40 AS DOUBLE) AS x,
        CAST(user_id*3571 % 10009 AS DOUBLE) + CAST(event_id % 97 AS DOUBLE) AS y
-FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) t
-WHERE rn <= 8""",
+FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) t""",
     "fx_poly_vertices": """
 SELECT p_partkey AS fid, 0 AS part_index, r.ring_index, c.k AS vertex_index,
-       CAST(500 + 1000*(CAST(floor(p_partkey/20) AS BIGINT) % 10) AS DOUBLE)
+       CAST(500 + 1000*(p_partkey % n.side) AS DOUBLE)
          + dx*CAST((100 + 4*p_size)/(1 + r.ring_index) AS DOUBLE) AS x,
-       CAST(500 + 1000*CAST(floor(p_partkey/200) AS BIGINT) AS DOUBLE)
+       CAST(500 + 1000*CAST(floor(p_partkey/n.side) AS BIGINT) AS DOUBLE)
          + dy*CAST((100 + 4*p_size)/(1 + r.ring_index) AS DOUBLE) AS y,
        CASE p_size % 5 WHEN 0 THEN 'X' WHEN 1 THEN 'AO' WHEN 2 THEN 'A' WHEN 3 THEN 'AE' ELSE 'VE' END AS zone
-FROM (SELECT * FROM part WHERE p_partkey % 20 = 0 AND p_partkey < 2000) p
+FROM part p CROSS JOIN (SELECT CAST(ceil(sqrt(count(*))) AS BIGINT) AS side FROM part) n
 CROSS JOIN (VALUES (0,-1,-1),(1,1,-1),(2,1,1),(3,-1,1),(4,-1,-1)) AS c(k,dx,dy)
 CROSS JOIN (VALUES (0),(1)) AS r(ring_index)
 WHERE r.ring_index = 0 OR p_size % 5 = 0""",
     "fx_poly_centres": """
-SELECT p_partkey AS fid, CAST(500 + 1000*(CAST(floor(p_partkey/20) AS BIGINT) % 10) AS DOUBLE) AS cx,
-       CAST(500 + 1000*CAST(floor(p_partkey/200) AS BIGINT) AS DOUBLE) AS cy, CAST(100 + 4*p_size AS DOUBLE) AS half
-FROM part WHERE p_partkey % 20 = 0 AND p_partkey < 2000""",
+SELECT p_partkey AS fid, CAST(500 + 1000*(p_partkey % n.side) AS DOUBLE) AS cx,
+       CAST(500 + 1000*CAST(floor(p_partkey/n.side) AS BIGINT) AS DOUBLE) AS cy, CAST(100 + 4*p_size AS DOUBLE) AS half
+FROM part CROSS JOIN (SELECT CAST(ceil(sqrt(count(*))) AS BIGINT) AS side FROM part) n""",
     "fx_scoring": """
 SELECT o_orderkey AS property_id, true AS matched, o_orderpriority <> '5-LOW' AS is_sfha,
        CASE o_orderpriority WHEN '5-LOW' THEN 'X' WHEN '4-NOT SPECIFIED' THEN 'AO' WHEN '3-MEDIUM' THEN 'A'
@@ -49,12 +51,12 @@ SELECT o_orderkey AS property_id, true AS matched, o_orderpriority <> '5-LOW' AS
        o_totalprice AS distance_m, CAST(o_custkey AS DOUBLE) AS elevation_m,
        CAST(o_orderkey % 101 - 50 AS DOUBLE) AS relative_m
 FROM orders""",
-    "fx_dem": """
+    "fx_dem": f"""
 SELECT r.c_custkey AS cell_row, c.c_custkey AS cell_col,
        CASE WHEN (r.c_custkey*7 + c.c_custkey) % 997 = 0 THEN CAST(-9999 AS DOUBLE)
             ELSE CAST((r.c_custkey*37 + c.c_custkey*53) % 211 AS DOUBLE) END AS z
-FROM (SELECT c_custkey FROM customer WHERE c_custkey < 101) r
-CROSS JOIN (SELECT c_custkey FROM customer WHERE c_custkey < 101) c""",
+FROM (SELECT c_custkey FROM customer WHERE c_custkey < ({SIDE})) r
+CROSS JOIN (SELECT c_custkey FROM customer WHERE c_custkey < ({SIDE})) c""",
     "fx_candidate": """
 SELECT o_orderkey AS property_id,
        o_totalprice + CASE WHEN o_orderkey % 13 = 0 THEN CAST(0.5 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS distance_m,

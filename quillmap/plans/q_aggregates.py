@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as A, joins as J, raster as R, splits as P, windows as W
 from ..operators.evidence import clean_runs, inflation_gate
+from .fixtures import SIDE
 from .q_basic import POINTS, points
 from .q_joins import _NEAREST_SITE, sites
 from .registry import query
 
 col = F.col
-GRID = R.Grid(0.0, 10100.0, 100.0, 100.0, 101, 101)
+
+
+def grid(t) -> R.Grid:
+    """The placement of fx_dem, whose side follows its table."""
+    side = t.sql(SIDE).first()[0]
+    return R.Grid(0.0, 10100.0, 100.0, 100.0, side, side)
 
 
 @query("agg_summary_stats", "SELECT count(*) AS n, count(DISTINCT o_orderkey) AS n_ids, min(o_totalprice) AS min, max(o_totalprice) AS max, round(avg(o_totalprice), 6) AS mean, median(o_totalprice) AS median, count(*) FILTER (WHERE o_totalprice = 0) AS n_zero FROM orders")
@@ -347,7 +353,7 @@ _Z = "CASE WHEN z <> -9999 THEN z END"
 
 @query("W10_win_focal_mean", f"SELECT a.cell_row, a.cell_col, round(avg({_Z.replace('z', 'b.z')}), 9) AS local_mean FROM fx_dem a JOIN fx_dem b ON b.cell_row BETWEEN a.cell_row - 2 AND a.cell_row + 2 AND b.cell_col BETWEEN a.cell_col - 2 AND a.cell_col + 2 GROUP BY ALL")
 def _(t):
-    return R.focal_mean(t("fx_dem"), GRID, 2).select("cell_row", "cell_col", F.round("local_mean", 9).alias("local_mean"))
+    return R.focal_mean(t("fx_dem"), grid(t), 2).select("cell_row", "cell_col", F.round("local_mean", 9).alias("local_mean"))
 
 
 _N = {(i, j): f"max(CASE WHEN b.cell_row = a.cell_row + {i} AND b.cell_col = a.cell_col + {j} THEN b.z END)" for i in (-1, 0, 1) for j in (-1, 0, 1)}
@@ -358,7 +364,7 @@ _SLOPE = f"SELECT a.cell_row, a.cell_col, round(CASE WHEN count(*) FILTER (WHERE
 
 @query("W11_win_focal_slope", _SLOPE)
 def _(t):
-    return R.slope(t("fx_dem"), GRID).select("cell_row", "cell_col", F.round("slope", 9).alias("slope"))
+    return R.slope(t("fx_dem"), grid(t)).select("cell_row", "cell_col", F.round("slope", 9).alias("slope"))
 
 
 @query("W12_win_lower_bound", "SELECT o_custkey, min(pos) AS pos, count(*) AS run FROM (SELECT o_custkey, rank() OVER (ORDER BY o_custkey) - 1 AS pos FROM orders) GROUP BY o_custkey")
@@ -376,7 +382,7 @@ def _(t):
 @query("raster_reproject", "SELECT t.r AS cell_row, t.c AS cell_col, coalesce(d.z, -9999) AS z FROM (SELECT a.k AS r, b.k AS c FROM (SELECT unnest(range(50)) AS k) a, (SELECT unnest(range(50)) AS k) b) t LEFT JOIN fx_dem d ON d.cell_row = CAST(floor((10100 - (10000 - (t.r + 0.5) * 150)) / 100) AS BIGINT) AND d.cell_col = CAST(floor((50 + (t.c + 0.5) * 150) / 100) AS BIGINT)")
 def _(t):
     target = R.Grid(50.0, 10000.0, 150.0, 150.0, 50, 50)
-    return R.resample_nearest(t("fx_dem"), GRID, target, lambda x, y: (x, y))
+    return R.resample_nearest(t("fx_dem"), grid(t), target, lambda x, y: (x, y))
 
 
 @query("blocks_per_fold", "SELECT CAST(fold AS INT) AS fold, count(DISTINCT (i, j)) AS blocks, count(*) AS rows FROM (SELECT i, j, CAST('0x' || substr(md5(concat_ws(':', 7, i, j)), 1, 13) AS BIGINT) % 5 AS fold FROM (SELECT CAST(floor(x/800) AS BIGINT) AS i, CAST(floor(y/800) AS BIGINT) AS j FROM fx_points)) GROUP BY fold")

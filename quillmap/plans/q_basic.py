@@ -144,8 +144,7 @@ def _(t):
 
 @query("fn_bbox_dist2", """SELECT id, fid, power(greatest(cx-half-x, 0, x-cx-half), 2) + power(greatest(cy-half-y, 0, y-cy-half), 2) AS d2 FROM fx_points, fx_poly_centres""")
 def _(t):
-    c = t("fx_poly_centres")
-    j = t("fx_points").crossJoin(F.broadcast(c))  # at most 100 centres by construction
+    j = t("fx_points").crossJoin(t("fx_poly_centres"))  # all pairs are the result
     return j.select("id", "fid", S.bbox_dist2(col("x"), col("y"), col("cx") - col("half"), col("cy") - col("half"), col("cx") + col("half"), col("cy") + col("half")).alias("d2"))
 
 

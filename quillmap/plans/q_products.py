@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import aggregates as A, evidence as E, geometry as G, joins as J, learned as L, models as M, raster as R, splits as P, validation as V, windows as W
-from .q_aggregates import _BINNED, _CLASSES, GRID, _cells, _rank, binned
+from .q_aggregates import _BINNED, _CLASSES, _cells, _rank, binned, grid
 from .q_basic import LINES, POINTS, points
 from .q_joins import SITES, _nearest_sql, site_segments
 from .registry import query
@@ -75,7 +75,7 @@ _N9 = {(i, j): f"max(CASE WHEN d.cell_row = p.r + {i} AND d.cell_col = p.c + {j}
 (SELECT p.id, max(CASE WHEN d.cell_row = p.r AND d.cell_col = p.c AND d.z <> -9999 THEN d.z END) AS elevation, avg(CASE WHEN d.z <> -9999 THEN d.z END) AS local_mean FROM {_INSIDE} p JOIN fx_dem d ON d.cell_row BETWEEN p.r - 2 AND p.r + 2 AND d.cell_col BETWEEN p.c - 2 AND p.c + 2 GROUP BY p.id)""")
 def _(t):
     p = points(t).where("px < 10000 and py > 100 and py < 10000")
-    out = R.terrain_evidence(p, t("fx_dem"), GRID, 150.0, check=False)
+    out = R.terrain_evidence(p, t("fx_dem"), grid(t), 150.0, check=False)
     return out.select("id", "elevation", F.round("local_mean", 9).alias("local_mean"), F.round("relative", 9).alias("relative"))
 
 

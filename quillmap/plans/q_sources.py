@@ -51,15 +51,14 @@ def _(t):
 
 @query("src_geojson", "SELECT fid, 0 AS part_index, ring_index, vertex_index, x, y FROM fx_poly_vertices")
 def _(t):
-    """Polygons written as one feature collection (at most 100 features by construction) and read back."""
+    """Polygons written as feature collections, a file for each block of 1,000 keys, and read back."""
     rings = F.transform("parts", lambda p: F.transform(p["rings"], lambda r: F.transform(r["vertices"], lambda v: F.array(v["x"], v["y"]))))[0]
     feature = F.struct(F.lit("Feature").alias("type"), F.create_map(F.lit("fid"), col("fid").cast("string")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), rings.alias("coordinates")).alias("geometry"))
-    whole = G.pack(t("fx_poly_vertices")).agg(F.collect_list(feature).alias("features")).select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value"))
+    whole = G.pack(t("fx_poly_vertices")).groupBy(F.floor(col("fid") / 1000).alias("block")).agg(F.collect_list(feature).alias("features")).select("block", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value"))
     path = folder(t.spark, "geojson")
-    whole.coalesce(1).write.text(path)
+    whole.repartition("block").write.partitionBy("block").text(path)
     f = files.read_geojson(t.spark, path)
-    v = files.geojson_vertices(f).withColumnRenamed("fid", "row")
-    return v.join(f.select(col("fid").alias("row"), col("properties")["fid"].cast("long").alias("fid")), "row").select("fid", "part_index", "ring_index", "vertex_index", "x", "y")
+    return files.geojson_vertices(f.withColumn("fid", col("properties")["fid"].cast("long"))).select("fid", "part_index", "ring_index", "vertex_index", "x", "y")
 
 
 @query("src_rest_layer", "SELECT p_partkey, p_size FROM part WHERE p_size IN (1, 2, 3) AND p_partkey BETWEEN 100 AND 900")

@@ -54,3 +54,30 @@ def test_duplicate_mask_keeps_high_keys(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber long, l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = sorted((r["l_orderkey"], r["dup"]) for r in QUERIES["W8_win_duplicate_mask"](spark, str(tmp_path)).collect())
     assert got == [(1, False), (1999, False), (2000, False), (90_000, True), (90_000, True)]
+
+
+def test_derived_inputs_take_all_rows(spark):
+    t = Tables(spark, SF)
+    n = lambda sql: t.sql(sql).first()[0]
+    assert n("SELECT count(*) FROM fx_line_vertices") == n("SELECT count(*) FROM events")
+    assert n("SELECT count(DISTINCT fid) FROM fx_poly_vertices") == n("SELECT count(*) FROM fx_poly_centres") == n("SELECT count(*) FROM part")
+    # Squares of up to 300 around distinct lattice points 1,000 apart are disjoint.
+    assert n("SELECT count(*) FROM (SELECT DISTINCT cx, cy FROM fx_poly_centres) c") == n("SELECT count(*) FROM part")
+
+
+def test_the_raster_follows_its_table(spark, tmp_path):
+    from quillmap.plans.q_aggregates import grid
+
+    for rows in (400, 1600):
+        folder = f"{tmp_path}/{rows}"
+        spark.range(rows).withColumnRenamed("id", "c_custkey").write.parquet(f"{folder}/customer.parquet")
+        t = Tables(spark, folder)
+        g, side = grid(t), 8 * round(rows**0.5)
+        assert (g.rows, g.cols) == (side, side) and t("fx_dem").count() == side * side
+
+
+def test_feature_collections_come_back_from_several_files(spark):
+    """The parts of sf0.01 fill more than one file; no feature is lost or mistaken for another."""
+    sf = "/root/testdata/sf0.01"
+    assert QUERIES["src_geojson"](spark, sf).exceptAll(Tables(spark, sf).sql("SELECT fid, 0 AS part_index, ring_index, vertex_index, x, y FROM fx_poly_vertices")).isEmpty()
+    assert QUERIES["src_geojson"](spark, sf).count() == Tables(spark, sf)("fx_poly_vertices").count()
