@@ -260,7 +260,7 @@ def read(data: bytes) -> Iterator[dict]:
         yield {"width": width, "height": height, "samples": samples, "bits": bits, "codec": codec, "predictor": predictor, "tiled": tiled, "pixels": image.tobytes()}
 
 
-#: Stored payloads: rows of 576 samples, in pages whose form goes around these.
+#: Stored payloads: rows of 576 samples, in pages whose form goes around these, from one that the payload's checksum picks.
 ROW = 576
 PAGE_ROWS = 256
 FORMS = ((DEFLATE, 2, None, 64), (DEFLATE, 1, (16, 144), 0), (PACKBITS, 1, None, 64), (LZW, 2, None, 64))
@@ -269,7 +269,8 @@ FORMS = ((DEFLATE, 2, None, 64), (DEFLATE, 1, (16, 144), 0), (PACKBITS, 1, None,
 def store(payload: bytes) -> bytes:
     """A file that holds the payload, whose size is a positive multiple of 576, losslessly as 8-bit samples."""
     image = np.frombuffer(payload, dtype=np.uint8).reshape(-1, ROW)
-    return write([(image[y : y + PAGE_ROWS], *FORMS[k % len(FORMS)]) for k, y in enumerate(range(0, len(image), PAGE_ROWS))])
+    first = zlib.crc32(payload)  # short payloads too take each form
+    return write([(image[y : y + PAGE_ROWS], *FORMS[(first + k) % len(FORMS)]) for k, y in enumerate(range(0, len(image), PAGE_ROWS))])
 
 
 def padded(text: bytes) -> bytes:
