@@ -85,14 +85,14 @@ def _assemble(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = len(encoder(path)._mergeable_ranks)
-        conv, began, chunk, level, tokens, marks = None, False, 0, 0, [], []
+        conv, began, chunk, level, held, tokens, marks = None, False, 0, 0, 0, [], []
 
         def cut(last: bool) -> pa.RecordBatch:
-            nonlocal chunk, level, tokens, marks
+            nonlocal chunk, level, held, tokens, marks
             mask = level + np.cumsum(np.concatenate(marks))
             level = int(mask[-1])
             out = _rows([(conv, chunk, last, np.concatenate(tokens).astype(np.int32), mask.astype(np.int8))])
-            chunk, tokens, marks = chunk + 1, [], []
+            chunk, held, tokens, marks = chunk + 1, 0, [], []
             return out
 
         for batch in batches:
@@ -103,9 +103,10 @@ def _assemble(path: str):
                         yield cut(True)
                     conv, began, chunk, level = c, True, 0, 0
                     tokens, marks = [np.array([v + BOS])], [np.array([0])]
-                elif sum(map(len, tokens)) > CHUNK:
+                elif held > CHUNK:
                     yield cut(False)
                 tokens.append(toks[i].values.to_numpy())
+                held += len(tokens[-1])
                 marks.append(deltas[i].values.to_numpy())
         if began:
             yield cut(True)
