@@ -2,9 +2,11 @@
 
 A benchmark item of m characters that occurs in a document with at most e = floor(rate * m) edits shares at least
 m + 1 - q * (e + 1) q-grams with it, all within a band of e + 1 neighbouring diagonals (document position less item
-position). Every document's q-grams are looked up in the items' index and counted in bands of twice the step, a step
-apart, so that each such run of diagonals lies within some band. Bands that meet the count are verified by banded
-alignment of the whole item. Texts are compared in lower case with runs of white space as one blank.
+position). Each item takes the longest q up to the given one for which that is at least 1, so every item has its full
+budget of edits, however short. Every document's q-grams are looked up in the items' indexes, one for each q, and counted
+in bands of twice an item's step e + 1, a step apart, so that each such run of diagonals lies within some band. Bands
+that meet the count are verified by banded alignment of the whole item. Texts are compared in lower case with runs of
+white space as one blank.
 
 Items come to the tasks in blocks of bounded size, one pass over the documents a block, whatever the benchmark's size.
 """
@@ -48,24 +50,26 @@ def _grams(codes: np.ndarray, q: int) -> np.ndarray:
     return mix(h, 41)
 
 
+def indexes(items: list[tuple[int, str]], q: int, rate: float) -> list[Index]:
+    """An index for each length of q-gram that some items take: the longest up to ``q`` that the lemma allows."""
+    by: dict[int, list[tuple[int, np.ndarray, int]]] = {}
+    for i, text in items:
+        codes = _codes(normal(text))
+        e = int(rate * len(codes))
+        if len(codes):
+            by.setdefault(max(1, min(q, len(codes) // (e + 1))), []).append((i, codes, e))
+    return [Index(rows, own) for own, rows in sorted(by.items())]
+
+
 class Index:
-    """The q-grams of a block of items, and what each item asks for."""
-
-    def __init__(self, items: list[tuple[int, str]], q: int, rate: float):
-        self.q, self.ids, self.codes, edits, least = q, [], [], [], []
-        for i, text in items:
-            codes = _codes(normal(text))
-            e = int(rate * len(codes))
-            while e and len(codes) + 1 - q * (e + 1) < 1:
-                e -= 1  # a short item allows as many edits as the lemma can prune
-            if len(codes) >= q:
-                self.ids.append(i)
-                self.codes.append(codes)
-                edits.append(e)
-                least.append(max(1, len(codes) + 1 - q * (e + 1)))
-        self.edits, self.least = np.array(edits, dtype=np.int64), np.array(least, dtype=np.int64)
+    """The q-grams of items that take q-grams of one length, and what each item asks for."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray, int]], q: int):
+        self.q, self.ids, self.codes = q, [i for i, _, _ in items], [c for _, c, _ in items]
+        self.edits = np.array([e for _, _, e in items], dtype=np.int64)
         self.size = np.array([len(c) for c in self.codes], dtype=np.int64)
-        self.step = int(self.edits.max(initial=0)) + 1
+        self.least = np.maximum(1, self.size + 1 - q * (self.edits + 1))
+        self.step = self.edits + 1
         hashes = [_grams(c, q) for c in self.codes]
         h = np.concatenate(hashes) if hashes else np.zeros(0, U64)
         owner = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
@@ -79,7 +83,7 @@ class Index:
         self.filter[(self.keys >> U64(64 - self.bits)).astype(np.int64)] = True
 
     def bands(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, first diagonal) of the bands of 2 * step diagonals that share enough q-grams."""
+        """(item, first diagonal) of the bands of twice the item's step of diagonals that share enough q-grams."""
         none = np.zeros(0, np.int64), np.zeros(0, np.int64)
         h = _grams(codes, self.q)
         at = np.flatnonzero(self.filter[(h >> U64(64 - self.bits)).astype(np.int64)])
@@ -96,7 +100,7 @@ class Index:
         j = self.first[k][row] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
         item, diagonal = self.owner[j], at[row] - self.place[j]
         # Each q-gram place of an item counts once in a band, however often the text repeats it.
-        lane = diagonal // self.step
+        lane = diagonal // self.step[item]
         key = np.concatenate([(item << 40) + lane + (1 << 20), (item << 40) + lane - 1 + (1 << 20)])
         low = int(self.least.min())
         u, back, n = np.unique(key, return_inverse=True, return_counts=True)
@@ -108,12 +112,12 @@ class Index:
         u, n = np.unique(pair[0], return_counts=True)
         item = u >> 40
         good = n >= self.least[item]
-        return item[good], ((u & ((1 << 40) - 1)) - (1 << 20))[good] * self.step
+        return item[good], ((u & ((1 << 40) - 1)) - (1 << 20))[good] * self.step[item[good]]
 
     def align(self, codes: np.ndarray, item: int, diagonal: int) -> tuple[int, int]:
-        """(edits, end) of the item's best alignment with the text on diagonals from ``diagonal`` on, 2 * step of them."""
+        """(edits, end) of the item's best alignment with the text on diagonals from ``diagonal`` on, twice its step of them."""
         pattern, e = self.codes[item], int(self.edits[item])
-        start, width = diagonal - e, 2 * self.step + 2 * e
+        start, width = diagonal - e, 2 * int(self.step[item]) + 2 * e
         far = len(pattern) + width + 1
         lane = np.arange(width)
         text = np.full(len(pattern) + width, -1, dtype=np.int64)
@@ -130,18 +134,35 @@ class Index:
         return int(row[best]), start + len(pattern) + best
 
 
-def find(index: Index, text: str) -> list[tuple[int, int, int]]:
+def find(found_in: list[Index], text: str) -> list[tuple[int, int, int]]:
     """(item id, edits, end in the normal text) of the items that occur; the best place of each."""
     codes = _codes(normal(text))
+    return sorted(hit for index in found_in for hit in _find(index, codes))
+
+
+def _find(index: Index, codes: np.ndarray) -> list[tuple[int, int, int]]:
     found: dict[int, tuple[int, int]] = {}
-    overlap = int((index.size + 2 * index.edits).max(initial=0)) + 2 * index.step + index.q
+    overlap = int((index.size + 2 * index.edits + 2 * index.step).max(initial=0)) + index.q
     for at in range(0, max(1, len(codes) - overlap), PIECE):
         piece = codes[at : at + PIECE + overlap]
         for item, diagonal in zip(*index.bands(piece)):
             edits, end = index.align(piece, int(item), int(diagonal))
             if edits <= index.edits[item] and (int(item) not in found or edits < found[int(item)][0]):
                 found[int(item)] = edits, at + end
-    return [(index.ids[k], *v) for k, v in sorted(found.items())]
+    return [(index.ids[k], *v) for k, v in found.items()]
+
+
+#: The indexes of the blocks that a worker has met, by broadcast: the tasks of one worker share them. At most two are kept.
+_known: dict[int, list[Index]] = {}
+
+
+def _indexes(shared, q: int, rate: float) -> list[Index]:
+    block = shared.value  # one object for each broadcast and worker
+    if id(block) not in _known:
+        while len(_known) > 1:
+            _known.pop(next(iter(_known)))
+        _known[id(block)] = indexes(block, q, rate)
+    return _known[id(block)]
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -161,8 +182,8 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def contaminations(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, q: int = Q, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, edits, end): the items that occur in each document with at most rate * length edits.
 
-    Null and empty texts contain nothing, null and blank items occur nowhere, nor do items under q characters. Repeated
-    rows give repeated results. ``end`` counts characters of the normal text. Empty tables give an empty result.
+    Null and empty texts contain nothing, null and blank items occur nowhere. Items under 1 / rate
+    characters allow no edits, so a very short one occurs in many texts. Repeated rows give repeated results. ``end`` counts characters of the normal text. Empty tables give an empty result.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
@@ -172,7 +193,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, q:
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value, q, rate)
+            index = _indexes(shared, q, rate)
             for batch in batches:
                 rows = [(i, *hit) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for hit in find(index, text)]
                 cols = list(zip(*rows)) or [()] * 4
