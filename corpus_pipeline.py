@@ -36,7 +36,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All that is left, with its shard and its slot there."""
-    dims = [F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"), sharding.text_order(F.col("lang")), sharding.text_order(F.col("source"))]
+    dims = [F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"), "lang", "source"]
     out = sharding.kd_shards(docs, dims, n_shards=SHARDS)
     return out.select(*docs.columns, F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
 

@@ -37,9 +37,9 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", crc.alias("text_crc32"))
-    dims = [F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"), sharding.text_order(F.col("lang")), sharding.text_order(F.col("source"))]
+    dims = [F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"), "lang", "source"]
     out = sharding.kd_shards(docs, dims, n_shards=8)
-    return out.select("doc_id", F.col("__size").alias("size"), "text_crc32", F.lit("bytes").alias("law"), F.col("__shard").alias("shard"), F.col("__slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return out.select("doc_id", F.col("__size").alias("size"), "text_crc32", F.lit("bytes").alias("law"), F.col("__shard").alias("shard"), F.col("__slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("__parts").alias("group_parts"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,16 +12,26 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .store import Table, written
+from .store import Shield, Table, written
 
 HEAVY = 32
+#: Distinct values of a metadata column up to which their ranks are broadcast.
+FEW_VALUES = 100_000
 #: Rows that one task numbers.
 SLOT_ROWS = 100_000
 
 
-def text_order(c: Column) -> Column:
-    """The first six bytes as a number that keeps the order of the strings; null is 0."""
-    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.encode(c.cast("string"), "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("long"), F.lit(0).cast("long"))
+def value_ranks(docs: DataFrame, column: str) -> DataFrame:
+    """(value, rank): the distinct values of a column in order, numbered from 1; null isn't among them.
+
+    They are sorted by range partitions; a row a partition tells where its numbers begin.
+    """
+    values = docs.select(F.col(column).cast("string").alias("value")).where("value is not null").distinct()
+    placed = written(values.orderBy("value").withColumn("at", F.monotonically_increasing_id()), "values").df
+    part = placed.select("value", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("row"))
+    sizes = part.groupBy("part").agg(F.count("*").alias("n"))
+    begin = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("begin"))
+    return written(part.join(F.broadcast(begin), "part").select("value", (F.col("begin") + F.col("row") + 1).cast("long").alias("rank")), "ranks").df
 
 
 def _median(points: DataFrame, nodes: list[dict], digits: list[tuple[str, int]]) -> None:
@@ -47,30 +57,43 @@ def _median(points: DataFrame, nodes: list[dict], digits: list[tuple[str, int]])
             n |= {"before": m["start"], "left": m["start"] + m["mass"] - n["goal"] <= n["goal"] - m["start"]}
 
 
-def kd_shards(docs: DataFrame, dims: list[Column], n_shards: int | None = None, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with __size (UTF-8 bytes plus 1), __shard from 0 and __slot, gapless from 0 in each shard.
+def kd_shards(docs: DataFrame, dims: list[Column | str], n_shards: int | None = None, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", heavy_part: int = HEAVY) -> DataFrame:
+    """``docs`` with __size (UTF-8 bytes plus 1), __shard from 0, __slot, gapless from 0 in each shard, and __parts.
 
-    ``dims`` are columns of non-negative longs under 2**48; a node is split along the dimension whose extent in it, as a
+    ``dims`` are columns of non-negative longs under 2**48, or names of columns that count by the rank of their value as
+    a string, null first. Groups of equal texts heavier than 1/``heavy_part`` of a shard are cut in __parts parts, that
+    may go to different shards; all other groups have __parts 1 and stay whole. A node is split along the dimension whose extent in it, as a
     part of the whole extent, is widest (the first of equals), at the weighted median that gives both sides their share
     of the leaves. Give the number of leaves or the bytes that a leaf is to reach. Null texts weigh 1 and are one
-    group; repeated rows get slots of their own; an empty table gives an empty result. Other columns pass through.
+    group; repeated rows get slots of their own; an empty table gives an empty result. Other columns pass through, whatever their names;
+    those named like the added ones are replaced.
     """
     spark = docs.sparkSession
-    text = F.col(text_col)
+    shield = Shield(docs, ("__gid", "__salt", "__sub", "__start", "__bucket", "value", *(f"__rank{i}" for i in range(len(dims)))), ("__size", "__shard", "__slot", "__parts"))
+    docs, text = shield.df, F.col(text_col)
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
     tagged = docs.withColumns({"__size": size, "__gid": F.xxhash64(F.coalesce(text, F.lit("")), text.isNull()), "__salt": F.xxhash64(F.col(id_col).cast("string"), F.lit(5))})
-    xs = F.array(*[d.cast("long") for d in dims])
-    rows = written(tagged.select(F.col("__gid").alias("gid"), F.col("__salt").alias("salt"), F.col("__size").alias("size"), xs.alias("xs")), "rows")
+    ranked, xs = tagged, []
+    for i, d in enumerate(dims):
+        if isinstance(d, str):  # a value may hold a third of all rows: few values are broadcast
+            ranks = value_ranks(docs, d)
+            ranks = F.broadcast(ranks) if ranks.count() <= FEW_VALUES else ranks
+            ranked = ranked.join(ranks.withColumnRenamed("rank", f"__rank{i}"), F.col(d).cast("string") == ranks["value"], "left").drop(ranks["value"])
+            xs.append(F.coalesce(f"__rank{i}", F.lit(0).cast("long")))
+        else:
+            xs.append(d.cast("long"))
+    xs = F.array(*xs)
+    rows = written(ranked.select(F.col("__gid").alias("gid"), F.col("__salt").alias("salt"), F.col("__size").alias("size"), xs.alias("xs")), "rows")
     total, n_rows = rows.df.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     leaves = n_shards or max(1, ceil(total / (target_bytes or 1)))
-    light = max(1, total / leaves / HEAVY)
-    # At most HEAVY * leaves groups are heavier than light.
+    light = max(1, total / leaves / heavy_part)
+    # At most heavy_part * leaves groups are heavier than light.
     heavy = rows.df.groupBy("gid").agg(F.sum("size").alias("w")).where(F.col("w") > light).select("gid", F.ceil(F.col("w") / F.lit(light)).cast("long").alias("parts"))
     heavy = written(heavy, "heavy").df
 
     def parted(df: DataFrame, gid: str, salt: str, out: str) -> DataFrame:
         h = F.broadcast(heavy.select(F.col("gid").alias(gid), "parts"))
-        return df.join(h, gid, "left").withColumn(out, F.coalesce(F.pmod(F.col(salt), F.col("parts")), F.lit(0)).bitwiseAND(0xFFFF)).drop("parts")
+        return df.join(h, gid, "left").withColumns({out: F.coalesce(F.pmod(F.col(salt), F.col("parts")), F.lit(0)).bitwiseAND(0xFFFF), "parts": F.coalesce("parts", F.lit(1).cast("long"))})
 
     points = parted(rows.df, "gid", "salt", "sub").groupBy("gid", "sub").agg(F.sum("size").alias("w"), F.min("xs").alias("xs"))
     tie = F.shiftrightunsigned("gid", 32) * 65536 + F.col("sub")
@@ -110,14 +133,14 @@ def kd_shards(docs: DataFrame, dims: list[Column], n_shards: int | None = None,
     # The texts are dealt once: rows of one id and text are few and number themselves where the join put them.
     copy = F.row_number().over(Window.partitionBy("__gid", "__salt").orderBy(id_col))
     out = tagged.join(slots.df, ["__gid", "__salt"])
-    return out.withColumn("__slot", F.col("__start") + copy - 1).drop("__gid", "__salt", "__start")
+    return shield.restored(out.withColumn("__slot", F.col("__start") + copy - 1).drop("__gid", "__salt", "__start"))
 
 
 def _slots(keys: DataFrame, n_rows: int) -> DataFrame:
-    """(gid, salt, shard, start): where the numbers of each key's n rows begin in its shard, by hashed buckets and their offsets."""
+    """(gid, salt, shard, parts, start): where the numbers of each key's n rows begin in its shard, by hashed buckets and their offsets."""
     buckets = max(1, n_rows // SLOT_ROWS)
     keys = keys.withColumn("__bucket", F.pmod(F.xxhash64("__salt", "__gid"), F.lit(buckets)))
     sums = keys.groupBy("__shard", "__bucket").agg(F.sum("n").alias("all"))
     offset = sums.select("__shard", "__bucket", (F.sum("all").over(Window.partitionBy("__shard").orderBy("__bucket")) - F.col("all")).alias("__offset"))
     inside = F.sum("n").over(Window.partitionBy("__shard", "__bucket").orderBy("__salt", "__gid")) - F.col("n")
-    return keys.join(offset, ["__shard", "__bucket"]).select("__gid", "__salt", "__shard", (F.col("__offset") + inside).alias("__start"))
+    return keys.join(offset, ["__shard", "__bucket"]).select("__gid", "__salt", "__shard", F.col("parts").alias("__parts"), (F.col("__offset") + inside).alias("__start"))

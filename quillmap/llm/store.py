@@ -12,11 +12,13 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests, local runs)."""
+    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset and Spark runs in one process (tests)."""
     global _own_dir
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="quillmap-")
     return _own_dir
@@ -55,6 +57,21 @@ def written(df: DataFrame, name: str) -> Table:
     return Table(spark, path, df.schema)
 
 
+class Shield:
+    """Columns of ``docs`` whose names an operator needs for itself, renamed while it works.
+
+    ``added`` are the names that it adds: such columns of the input are replaced.
+    """
+
+    def __init__(self, docs: DataFrame, own: tuple[str, ...], added: tuple[str, ...] = ()):
+        docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
+        self.back = {f"{c}_{uuid.uuid4().hex}": c for c in docs.columns if c.lower() in own}
+        self.df = docs.withColumnsRenamed({c: safe for safe, c in self.back.items()})
+
+    def restored(self, df: DataFrame) -> DataFrame:
+        return df.withColumnsRenamed(self.back)
+
+
 #: Bits of an id filter: 1 MB whatever the number of ids.
 FILTER_BITS = 1 << 23
 
