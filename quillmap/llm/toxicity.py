@@ -3,11 +3,11 @@
 A text is cut into sentences and these into units: words in lower case without digits and punctuation (so gaps of dots or
 dashes close), and runs of three and more single letters as one unit (so ``i d i o t`` is one). The kernel of two units is
 the gap-weighted subsequence kernel (Lodhi et al., 2002) of subsequences of three bytes, normalised; inserted letters
-lower it, they don't end it. Landmarks are units that stand out in toxic documents, and the commonest clean units that are
+lower it, they don't end it. Only units that have most of a landmark's letters in order are compared with it. Landmarks are units that stand out in toxic documents, and the commonest clean units that are
 like them. A unit's kernel values with the landmarks are mapped by the inverse square root of the landmarks' own kernel
 matrix (Nyström) and scored by a linear machine. It is trained on labelled sentences: a sentence is as toxic as its
 worst unit, all units of clean documents are clean, and of toxic ones, whose label doesn't say what earned it, the units
-that stand out are taken as toxic. A logistic curve fitted to the documents makes
+that stand out are taken as toxic, in their own spelling and in such as put letters into them. A logistic curve fitted to the documents makes
 the score of a document's worst unit a probability; the whole text is read.
 """
 
@@ -24,9 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Letters in a subsequence, and the decay for each letter it spans.
-LETTERS, DECAY = 3, 0.6
-#: Kernel values below this count as no likeness; pairs with fewer shared byte pairs (as a part of the landmark's) aren't compared.
-LEAST, SCREEN = 0.4, 0.5
+LETTERS, DECAY = 3, 0.7
+#: Kernel values below this count as no likeness.
+LEAST = 0.1
+#: A unit is compared with a landmark if it has this part of the landmark's neighbouring letters in order, up to GAP apart:
+#: up to GAP - 1 letters between each two neighbours lose none of them.
+SCREEN, GAP = 0.6, 3
+#: Letters from which a word is also learnt in spellings that hide it, and what each kind of them counts next to the word.
+STRETCH, HIDDEN = 4, 2.0
 #: Units are compared in windows of so many bytes, half of them shared.
 WINDOW = 24
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 128, 64
@@ -80,10 +85,16 @@ def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (match * inner[:wa, :wb]).sum(axis=(0, 1))
 
 
-def _pairs(data: np.ndarray) -> np.ndarray:
-    """Neighbouring bytes as numbers, 0 past the end."""
+def _pairs(data: np.ndarray, gap: int = 1) -> np.ndarray:
+    """Bytes ``gap`` places apart as numbers, 0 past the end."""
     x = data.astype(np.int64)
-    return np.where(x[:, 1:] > 0, x[:, :-1] * 256 + x[:, 1:], 0)
+    return np.where(x[:, gap:] > 0, x[:, :-gap] * 256 + x[:, gap:], 0)
+
+
+def stretched(word: bytes) -> list[list[bytes]]:
+    """Spellings that hide a word: a letter put in at each place, or doubled; letters after every other one; after each."""
+    one = [word[:k] + c + word[k:] for k in range(1, len(word)) for c in (b"x", b"o", word[k - 1 : k])]
+    return [one, *([c.join(word[k : k + n] for k in range(0, len(word), n)) for c in (b"x", b"q", b"o", b"z")] for n in (2, 1))]
 
 
 @dataclass
@@ -117,7 +128,9 @@ class Model:
             return out
         data, owner = _windows(words)
         has = np.zeros((len(data), len(self.need)), dtype=np.float32)
-        has[np.arange(len(data))[:, None], self.place[_pairs(data)]] = 1
+        for gap in range(1, GAP + 1):
+            has[np.arange(len(data))[:, None], self.place[_pairs(data, gap)]] = 1
+        has[:, 0] = 0
         row, mark = np.nonzero(has @ self.need >= self.least)
         if len(row):
             some, back = np.unique(row, return_inverse=True)
@@ -223,9 +236,12 @@ def train(texts: list[str], labels: list[int]) -> Model:
     marks = {row[u] for u in bad if u in row}
     witness = Counter(k for bag in bags for k in bag if k in marks)
     rows = np.array(sorted(witness), dtype=np.int64)
-    x = np.concatenate([like[rows], like[clean_rows], zero]) @ whiten
-    y = np.concatenate([np.ones(len(rows)), -np.ones(len(clean_rows) + 1)])
-    w, model.bias = _svm(x, y, np.concatenate([[min(witness[k], 100) for k in rows], np.minimum(cost, 100), [100]]))
+    # Spellings that hide a word count as much as the word, shared among them; those that clean documents hold are left out.
+    hidden = [(s, HIDDEN * min(witness[k], 100) / len(kind)) for k in rows if len(vocabulary[k]) >= STRETCH for kind in stretched(vocabulary[k]) for s in kind if s not in b]
+    spelt = model.likeness([s for s, _ in hidden])
+    x = np.concatenate([like[rows], spelt, like[clean_rows], zero]) @ whiten
+    y = np.concatenate([np.ones(len(rows) + len(spelt)), -np.ones(len(clean_rows) + 1)])
+    w, model.bias = _svm(x, y, np.concatenate([[min(witness[k], 100) for k in rows], [c for _, c in hidden], np.minimum(cost, 100), [100]]))
     model.weights = whiten @ w
     # The logistic curve is fitted to what documents score, by Newton's method, with Platt's targets.
     score = model.margin(like)
@@ -285,9 +301,9 @@ def learnable(id_col: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED, max_text: int = MAX_TEXT, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[int]]:
-    """Texts and labels of at most ``max_rows`` learnable rows, those with the least hash of their id and up to ``max_text`` bytes."""
+    """Texts and labels of at most ``max_rows`` learnable rows, those with the least hash of their id and up to ``max_text`` bytes. An id that some label calls toxic is toxic."""
     ids = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & learnable(F.col(id_col))).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y"))
-    ids = ids.dropDuplicates(["__id"]).orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
+    ids = ids.groupBy("__id").agg(F.max("__y").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.octet_length("__text") <= max_text).join(F.broadcast(ids), "__id").select("__id", "__text", "__y")
     got = sorted({(r[0], r[1], r[2]) for r in rows.collect()})
     return [r[1] for r in got], [r[2] for r in got]
