@@ -1,8 +1,10 @@
 """TIFF media columns: walks image directories, decodes PackBits, LZW or deflate strips and tiles, undoes predictors.
 
 ``pages`` gives one row a page. The writer makes the files that the tests and op7 read: 8-bit grey, any of the codecs,
-strips or tiles, with or without horizontal differencing. Baseline tags only; both byte orders are read; 8-bit and 16-bit
-samples, one or more per pixel, in chunky order.
+strips or tiles, with or without horizontal differencing. Read are both byte orders, 1, 4, 8, 16 and 32 bits, whole
+numbers and floats, samples in chunky or planar order, both fill orders, and horizontal and floating-point differencing.
+Not read: BigTIFF, samples of different widths, fax and JPEG compression. Such files, and broken ones, give a row with
+the error.
 """
 
 from __future__ import annotations
@@ -18,9 +20,12 @@ from pyspark.sql import DataFrame, functions as F
 #: Tags and codes of the TIFF 6.0 specification.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_AT, SAMPLES, STRIP_ROWS, STRIP_BYTES, PLANAR, PREDICTOR = 273, 277, 278, 279, 284, 317
-TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_BYTES, SAMPLE_FORMAT = 322, 323, 324, 325, 339
+TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_BYTES, SAMPLE_FORMAT, FILL_ORDER = 322, 323, 324, 325, 339, 266
 RAW, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
-_TYPES = {1: "B", 3: "H", 4: "I", 16: "Q"}
+_TYPES = {1: "B", 3: "H", 4: "I"}
+#: Bytes of a page's samples beyond which it isn't decoded.
+LARGEST_PAGE = 1 << 30
+_mirrored = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 CLEAR, END = 256, 257
 
 
@@ -232,30 +237,63 @@ def _directories(data: bytes) -> Iterator[tuple[dict[int, tuple], str]]:
             raise BadTiff(str(e)) from None
 
 
+def _samples(raw: bytes, rows: int, row_samples: int, bits: int, kind: np.dtype) -> np.ndarray:
+    """The samples of a block by row; rows of under 8 bits a sample begin at a whole byte."""
+    if bits >= 8:
+        return np.frombuffer(raw, dtype=kind).reshape(rows, row_samples)
+    data = np.unpackbits(np.frombuffer(raw, dtype=np.uint8).reshape(rows, -1), axis=1)[:, : row_samples * bits].reshape(rows, row_samples, bits)
+    return (data * (1 << np.arange(bits - 1, -1, -1))).sum(axis=2).astype(np.uint8)
+
+
+def _undone(raw: bytes, rows: int, width: int, samples: int, bits: int, predictor: int, kind: np.dtype) -> np.ndarray:
+    """A block's samples (row, column, sample) in the machine's byte order, differencing undone."""
+    if predictor == 3:  # bytes of a row's numbers, all first bytes first, each as its difference from the one a pixel before
+        size = bits // 8
+        data = np.cumsum(np.frombuffer(raw, dtype=np.uint8).reshape(rows, -1, samples), axis=1, dtype=np.uint8)
+        data = data.reshape(rows, size, width * samples).transpose(0, 2, 1)
+        return np.ascontiguousarray(data).view(f">f{size}").astype(f"f{size}").reshape(rows, width, samples)
+    block = _samples(raw, rows, width * samples, bits, kind).astype(kind.newbyteorder("=")).reshape(rows, width, samples)
+    return np.cumsum(block, axis=1, dtype=block.dtype) if predictor == 2 else block
+
+
 def read(data: bytes) -> Iterator[dict]:
-    """A dict a page: width, height, samples, bits, codec, predictor, tiled, and pixels as bytes in rows."""
+    """A dict a page: width, height, samples, bits, codec, predictor, tiled, and pixels as bytes in rows, samples of a pixel together."""
     for tags, order in _directories(data):
-        try:
-            width, height = tags[WIDTH][0], tags[HEIGHT][0]
-        except KeyError:
-            raise BadTiff("no size") from None
-        samples, bits = tags.get(SAMPLES, (1,))[0], tags.get(BITS, (8,))[0]
-        codec, predictor = tags.get(COMPRESSION, (RAW,))[0], tags.get(PREDICTOR, (1,))[0]
-        if bits not in (8, 16) or predictor not in (1, 2) or tags.get(PLANAR, (1,))[0] != 1:
-            raise BadTiff(f"bits {bits}, predictor {predictor}, planar {tags.get(PLANAR)}")
-        kind = np.dtype(f"{order}u{bits // 8}")
+
+        def tag(name: int, default: int) -> int:
+            return tags.get(name, (default,))[0]
+
+        width, height, samples, codec, predictor = tag(WIDTH, 0), tag(HEIGHT, 0), tag(SAMPLES, 1), tag(COMPRESSION, RAW), tag(PREDICTOR, 1)
+        every = set(tags.get(BITS, (1,)))
+        bits, form, planar = min(every), tag(SAMPLE_FORMAT, 1), tag(PLANAR, 1)
+        if not (width and height and samples) or len(every) > 1:
+            raise BadTiff(f"size {width} x {height}, {samples} samples of {sorted(every)} bits")
+        known = bits in (1, 4, 8, 16, 32) and planar in (1, 2) and form in (1, 2, 3) and (predictor == 1 or predictor == 2 and bits >= 8 and form != 3 or predictor == 3 and form == 3)
+        if not known or form == 3 and bits not in (16, 32):
+            raise BadTiff(f"bits {bits}, predictor {predictor}, planar {planar}, sample format {form}")
+        if width * height * samples * max(bits, 8) // 8 > LARGEST_PAGE:
+            raise BadTiff(f"{width} x {height} pixels of {samples} samples are more than is decoded")
+        kind = np.dtype(f"{order}{'uif'[form - 1]}{max(bits, 8) // 8}")
         tiled = TILE_AT in tags
-        bh, bw = (tags[TILE_HEIGHT][0], tags[TILE_WIDTH][0]) if tiled else (min(tags.get(STRIP_ROWS, (height,))[0], height), width)
-        across = -(-width // bw)
+        bh, bw = (tag(TILE_HEIGHT, 0), tag(TILE_WIDTH, 0)) if tiled else (min(tag(STRIP_ROWS, height) or height, height), width)
+        if not (bh and bw) or bh * bw * samples * max(bits, 8) // 8 > LARGEST_PAGE:
+            raise BadTiff(f"strips or tiles of {bw} x {bh}")
+        across, down = -(-width // bw), -(-height // bh)
+        planes, deep = (samples, 1) if planar == 2 else (1, samples)
+        where, sizes = tags.get(TILE_AT if tiled else STRIP_AT, ()), tags.get(TILE_BYTES if tiled else STRIP_BYTES, ())
+        if len(where) != across * down * planes or len(sizes) != len(where):
+            raise BadTiff(f"{len(where)} strips or tiles and {len(sizes)} sizes, {across * down * planes} are needed")
         image = np.zeros((height, width, samples), dtype=kind.newbyteorder("="))
-        where, sizes = tags[TILE_AT if tiled else STRIP_AT], tags[TILE_BYTES if tiled else STRIP_BYTES]
         for k, (at, size) in enumerate(zip(where, sizes)):
+            plane, k = divmod(k, across * down)
             y, x = k // across * bh, k % across * bw
             rows = bh if tiled else min(bh, height - y)
-            block = np.frombuffer(_unpack(data[at : at + size], codec, rows * bw * samples * bits // 8), dtype=kind).astype(image.dtype).reshape(rows, bw, samples)
-            if predictor == 2:
-                block = np.cumsum(block, axis=1, dtype=image.dtype)
-            part = image[y : y + bh, x : x + bw]
+            packed = data[at : at + size]
+            if tag(FILL_ORDER, 1) == 2:
+                packed = packed.translate(_mirrored)
+            raw = _unpack(packed, codec, rows * -(-bw * deep * bits // 8))
+            block = _undone(raw, rows, bw, deep, bits, predictor, kind)
+            part = image[y : y + bh, x : x + bw, plane : plane + deep]
             part[:] = block[: part.shape[0], : part.shape[1]]
         yield {"width": width, "height": height, "samples": samples, "bits": bits, "codec": codec, "predictor": predictor, "tiled": tiled, "pixels": image.tobytes()}
 
@@ -290,8 +328,8 @@ def page_rows(ids: list, media: list[bytes | None]) -> Iterator[dict]:
             for p in read(data):
                 yield {"id": i, "page": page, **p, "error": None}
                 page += 1
-        except (BadTiff, zlib.error, KeyError, IndexError) as e:
-            yield {"id": i, "page": -1, **dict.fromkeys(("width", "height", "samples", "bits", "codec", "predictor", "tiled", "pixels")), "error": str(e)[:200]}
+        except (ValueError, ArithmeticError, LookupError, struct.error, zlib.error, MemoryError) as e:  # whatever bytes may hold
+            yield {"id": i, "page": -1, **dict.fromkeys(("width", "height", "samples", "bits", "codec", "predictor", "tiled", "pixels")), "error": f"{type(e).__name__}: {e}"[:200]}
 
 
 def _schema() -> pa.Schema:
