@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .store import written
+from .store import Shield, written
 
 #: Words: maximal runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,8 +47,10 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: floa
     at or below the source's cut: the greatest key whose middle, in the order of keys, lies within what is left of the
     target. So each source meets its target to about half a document. Rows with one id (or null ids, that share the
     empty key) are taken alike. A source without words has target 0 and its documents stay out. Other columns pass
-    through; an empty table gives an empty result.
+    through, those named like the added ones are replaced; an empty table gives an empty result.
     """
+    shield = Shield(docs, ("__key", "__source", "__whole", "__cut", "__n"), ("__size", "__source_size", "__target", "__reps"))
+    docs = shield.df
     key = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long")
     sized = docs.withColumns({"__size": word_count(F.col(text_col)), "__key": key})
     narrow = written(sized.select(F.col(source_col).alias("source"), F.col("__key").alias("key"), F.col("__size").alias("size")), "sizes").df
@@ -81,9 +83,11 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: floa
     plan = near(written(plan, "cuts").df)
     out = sized.join(plan, sized[source_col].eqNullSafe(plan["__source"]))
     reps = F.col("__whole") + F.when(F.col("__key") <= F.col("__cut"), 1).otherwise(0)
-    return out.withColumn("__reps", F.when(F.col("__source_size") > 0, reps).otherwise(0).cast("long")).drop("__key", "__source", "__whole", "__cut")
+    out = out.withColumn("__reps", F.when(F.col("__source_size") > 0, reps).otherwise(0).cast("long")).drop("__key", "__source", "__whole", "__cut")
+    return shield.restored(out)
 
 
 def materialised(mixed: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken, without the columns that ``mix_sources`` adds."""
-    return mixed.where("__reps > 0").withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__reps")))).drop("__n", "__size", "__source_size", "__target", "__reps")
+    times = F.explode(F.array_repeat(F.lit(0), F.col("__reps").cast("int"))).alias("__size")
+    return mixed.where("__reps > 0").select(*[c for c in mixed.columns if c not in ("__size", "__source_size", "__target", "__reps")], times).drop("__size")
