@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .secret_scan import COPIED, KINDS, LIVE_CHARS, LIVE_DISTINCT, ORDER
+from .secret_scan import COPIED, COPIED_REPOS, KINDS, LIVE_CHARS, LIVE_DISTINCT, ORDER
 
 _MIXING = r"""
 WITH docs AS (
@@ -37,9 +37,9 @@ FROM docs d JOIN shares s ON d.source IS NOT DISTINCT FROM s.source JOIN middles
 
 def _secrets() -> str:
     pieces = "\nUNION ALL\n".join(
-        f"""SELECT doc_id, th, '{name}' AS kind, i, length(gaps[i]) AS gap, found[i] AS match, regexp_extract(found[i], '{p}', {group}) AS value, {least} AS least
-FROM (SELECT doc_id, th, gaps, found, unnest(generate_series(1, len(found))) AS i
-      FROM (SELECT doc_id, th, regexp_split_to_array(text, '{p}') AS gaps, regexp_extract_all(text, '{p}') AS found FROM (SELECT DISTINCT doc_id, th, text FROM texts)))"""
+        f"""SELECT rid, th, '{name}' AS kind, i, length(gaps[i]) AS gap, found[i] AS match, regexp_extract(found[i], '{p}', {group}) AS value, {least} AS least
+FROM (SELECT rid, th, gaps, found, unnest(generate_series(1, len(found))) AS i
+      FROM (SELECT rid, th, regexp_split_to_array(text, '{p}') AS gaps, regexp_extract_all(text, '{p}') AS found FROM (SELECT DISTINCT rid, th, text FROM texts)))"""
         for name, pattern, group, least in KINDS
         for p in [pattern.replace("'", "''")]
     )
@@ -49,33 +49,33 @@ FROM (SELECT doc_id, th, gaps, found, unnest(generate_series(1, len(found))) AS
     outer = ", ".join(f"coalesce(n_{k[0]}, 0) AS n_{k[0]}" for k in KINDS)
     return f"""
 WITH texts AS (
-  SELECT doc_id, md5(coalesce(text, '')) AS th, coalesce(text, '') AS text, coalesce(source, '') AS owner FROM documents
+  SELECT doc_id, md5(coalesce(text, '')) AS th, coalesce(text, '') AS text, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repo, coalesce('=' || CAST(doc_id AS VARCHAR), '') AS rid FROM documents
 ), pieces AS (
 {pieces}
 ), spans AS (
-  SELECT doc_id, th, kind, value, least, CAST(sum(gap + length(match)) OVER w - length(match) AS BIGINT) AS start, CAST(sum(gap + length(match)) OVER w AS BIGINT) AS stop
-  FROM pieces WINDOW w AS (PARTITION BY doc_id, th, kind ORDER BY i)
+  SELECT rid, th, kind, value, least, CAST(sum(gap + length(match)) OVER w - length(match) AS BIGINT) AS start, CAST(sum(gap + length(match)) OVER w AS BIGINT) AS stop
+  FROM pieces WINDOW w AS (PARTITION BY rid, th, kind ORDER BY i)
 ), kept AS (
   SELECT *, stop - length(value) AS value_start FROM spans WHERE length(value) >= least
 ), owners AS (
-  SELECT k.value, count(DISTINCT t.owner) AS owners FROM kept k JOIN texts t ON k.doc_id = t.doc_id AND k.th = t.th GROUP BY k.value
+  SELECT k.value, count(DISTINCT t.owner) AS owners, count(DISTINCT (t.owner, t.repo)) AS repos FROM kept k JOIN texts t ON k.rid = t.rid AND k.th = t.th GROUP BY k.value
 ), judged AS (
-  SELECT k.*, CASE WHEN owners >= {COPIED} THEN 'copied'
+  SELECT k.*, o.owners, o.repos, CASE WHEN owners >= {COPIED} OR repos >= {COPIED_REPOS} THEN 'copied'
        WHEN owners = 1 AND length(k.value) >= {LIVE_CHARS} AND regexp_matches(k.value, '[0-9]') AND regexp_matches(k.value, '[A-Za-z]')
             AND len(list_distinct(string_split(k.value, ''))) >= {LIVE_DISTINCT} THEN 'live' ELSE 'unclear' END AS verdict
   FROM kept k JOIN owners o ON k.value = o.value
 ), base AS (
-  SELECT doc_id, th, {counts}, sha256({joined}) AS base_sha256, count(*) FILTER (WHERE verdict = 'live') AS n_live, count(*) FILTER (WHERE verdict = 'copied') AS n_copied
-  FROM judged GROUP BY doc_id, th
+  SELECT rid, th, {counts}, sha256({joined}) AS base_sha256, count(*) FILTER (WHERE verdict = 'live') AS n_live, count(*) FILTER (WHERE verdict = 'copied') AS n_copied, max(owners) AS most_owners, max(repos) AS most_repos
+  FROM judged GROUP BY rid, th
 ), every AS (
-  SELECT doc_id, th, {joined} AS spans FROM (
-    SELECT doc_id, th, kind, start, stop FROM judged
+  SELECT rid, th, {joined} AS spans FROM (
+    SELECT rid, th, kind, start, stop FROM judged
     UNION ALL
-    SELECT DISTINCT doc_id, th, verdict AS kind, value_start AS start, stop FROM judged WHERE verdict IN ('live', 'copied')
-  ) GROUP BY doc_id, th
+    SELECT DISTINCT rid, th, verdict AS kind, value_start AS start, stop FROM judged WHERE verdict IN ('live', 'copied')
+  ) GROUP BY rid, th
 )
-SELECT t.doc_id, {outer}, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
-FROM texts t LEFT JOIN base b ON t.doc_id = b.doc_id AND t.th = b.th LEFT JOIN every e ON t.doc_id = e.doc_id AND t.th = e.th
+SELECT t.doc_id, {outer}, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(most_owners, 0) AS most_owners, coalesce(most_repos, 0) AS most_repos
+FROM texts t LEFT JOIN base b ON t.rid = b.rid AND t.th = b.th LEFT JOIN every e ON t.rid = e.rid AND t.th = e.th
 """
 
 

@@ -1,8 +1,8 @@
 """Secret scan with corpus-wide ownership frequency, with DataFrame functions only.
 
 Candidate values are found by pattern in whole texts, then counted over the corpus by distinct owners and repositories:
-a value that many owners hold is a copied example; one that a single owner holds and that looks random is a live-looking
-credential of that owner. Spans count code points, ends exclusive.
+a value that many owners hold, or that stands in many repositories of one or two, is a copied example; one that a single
+owner holds in few repositories and that looks random is a live-looking credential of that owner. Spans count code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -17,10 +17,11 @@ KINDS = (
     ("access", r"AKIA[A-Z0-9]+", 0, 18),
     ("hex", r"[0-9a-f]{16,}", 0, 16),
 )
-#: Added by ownership: live-looking values of one owner, and values that at least COPIED owners hold.
+#: Added by ownership: live-looking values of one owner, and widely copied values.
 ADDED = ("live", "copied")
 ORDER = [k[0] for k in KINDS] + list(ADDED)
-COPIED = 3
+#: Distinct owners, or distinct repositories, from which a value counts as widely copied.
+COPIED, COPIED_REPOS = 3, 4
 LIVE_CHARS = 16
 LIVE_DISTINCT = 8
 
@@ -34,6 +35,11 @@ def _hits(text: Column, kind: tuple) -> Column:
     return F.when(text.rlike(pattern), rows)
 
 
+def _row_key(c: Column) -> Column:
+    """A text for each id that is never null, so that rows without an id join like others."""
+    return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+
+
 def ownership(values: DataFrame) -> DataFrame:
     """(hash, owners, repos) from (hash, owner, repo): distinct counts by two aggregations, so that no hot value meets in one task."""
     each = values.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"))
@@ -47,36 +53,36 @@ def looks_live(value: Column) -> Column:
 
 
 def secret_spans(docs: DataFrame, owner_col: str, repo: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): a row (id, th, n) for each document; spans (id, th, kind, start, end, value_start, value, hash, owners, repos, verdict).
+    """(rows, spans): a row (id, rid, th) for each document; spans (rid, th, kind, start, end, value_start, value, hash, owners, repos, verdict).
 
-    Null texts count as empty. An owner or repo that is null counts as one of its own, the empty name. Rows with one id
+    Null texts count as empty. An owner or repo that is null counts as one of its own, the empty name. Null ids are one id, which ``rid`` names by an empty text. Rows with one id
     and equal text share their spans, found once; th tells texts of one id apart. A match that fails its length is
     dropped after it has taken its place in the text. An empty table gives no rows and no spans.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     scan = docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.coalesce(repo.cast("string"), F.lit("")).alias("repo"),
+        F.col(id_col).alias("id"), _row_key(F.col(id_col)).alias("rid"), F.xxhash64(text).alias("th"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.coalesce(repo.cast("string"), F.lit("")).alias("repo"),
         *[_hits(text, k).alias(k[0]) for k in KINDS],
     )
     table = written(scan, "secrets").df
-    rows = table.select("id", "th")
+    rows = table.select("id", "rid", "th")
     parts = []
     for kind, pattern, group, least in KINDS:
-        hits = table.where(F.col(kind).isNotNull()).dropDuplicates(["id", "th"]).select("id", "th", F.posexplode(kind).alias("i", "hit"))
-        run = Window.partitionBy("id", "th").orderBy("i")
+        hits = table.where(F.col(kind).isNotNull()).dropDuplicates(["rid", "th"]).select("rid", "th", F.posexplode(kind).alias("i", "hit"))
+        run = Window.partitionBy("rid", "th").orderBy("i")
         length = F.char_length("hit.match")
         end = F.sum(F.col("hit.gap") + length).over(run)
         value = F.regexp_extract("hit.match", pattern, group)
-        spans = hits.select("id", "th", F.lit(kind).alias("kind"), (end - length).alias("start"), end.alias("end"), value.alias("value")).where(F.char_length("value") >= least)
+        spans = hits.select("rid", "th", F.lit(kind).alias("kind"), (end - length).alias("start"), end.alias("end"), value.alias("value")).where(F.char_length("value") >= least)
         parts.append(spans)
     spans = parts[0].unionByName(parts[1]).unionByName(parts[2])
     spans = spans.withColumns({"hash": F.sha2("value", 256), "value_start": F.col("end") - F.char_length("value")})
     # Every row holds what its text holds: owners come from all rows, repeated ones included.
-    found = table.where(" or ".join(f"{k[0]} is not null" for k in KINDS)).select("id", "th", "owner", "repo").distinct()
-    held = spans.select("id", "th", "hash").distinct().join(found, ["id", "th"])
+    found = table.where(" or ".join(f"{k[0]} is not null" for k in KINDS)).select("rid", "th", "owner", "repo").distinct()
+    held = spans.select("rid", "th", "hash").distinct().join(found, ["rid", "th"])
     counts = ownership(held)
     spans = spans.join(counts, "hash")
-    verdict = F.when(F.col("owners") >= COPIED, F.lit("copied")).when((F.col("owners") == 1) & looks_live(F.col("value")), F.lit("live")).otherwise(F.lit("unclear"))
+    verdict = F.when((F.col("owners") >= COPIED) | (F.col("repos") >= COPIED_REPOS), F.lit("copied")).when((F.col("owners") == 1) & looks_live(F.col("value")), F.lit("live")).otherwise(F.lit("unclear"))
     return rows, spans.withColumn("verdict", verdict)
 
 
@@ -89,16 +95,16 @@ def _joined() -> Column:
 
 
 def secret_report(docs: DataFrame, owner_col: str, repo: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: counts of the base kinds, the digest of the base spans, all spans, and counts by verdict."""
+    """A row for each document: counts of the base kinds, the digest of the base spans, all spans, counts by verdict, and the most owners and repositories that hold one of its values."""
     rows, spans = secret_spans(docs, owner_col, repo, id_col, text_col)
-    spans = written(spans.select("id", "th", "kind", "start", "end", "value_start", "verdict"), "spans").df
-    added = spans.where(F.col("verdict").isin(*ADDED)).select("id", "th", F.col("verdict").alias("kind"), F.col("value_start").alias("start"), "end").distinct()
-    base = spans.groupBy("id", "th").agg(*[F.count_if(F.col("kind") == k[0]).alias(f"n_{k[0]}") for k in KINDS], F.sha2(_joined(), 256).alias("base_sha256"), *[F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in ADDED])
-    every = spans.select("id", "th", "kind", "start", "end").unionByName(added).groupBy("id", "th").agg(_joined().alias("spans"))
-    out = base.join(every, ["id", "th"])
+    spans = written(spans.select("rid", "th", "kind", "start", "end", "value_start", "verdict", "owners", "repos"), "spans").df
+    added = spans.where(F.col("verdict").isin(*ADDED)).select("rid", "th", F.col("verdict").alias("kind"), F.col("value_start").alias("start"), "end").distinct()
+    base = spans.groupBy("rid", "th").agg(F.max("owners").alias("most_owners"), F.max("repos").alias("most_repos"), *[F.count_if(F.col("kind") == k[0]).alias(f"n_{k[0]}") for k in KINDS], F.sha2(_joined(), 256).alias("base_sha256"), *[F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in ADDED])
+    every = spans.select("rid", "th", "kind", "start", "end").unionByName(added).groupBy("rid", "th").agg(_joined().alias("spans"))
+    out = base.join(every, ["rid", "th"])
     zero = F.lit(0).cast("long")
-    got = rows.join(out, rows["id"].eqNullSafe(out["id"]) & (rows["th"] == out["th"]), "left")
+    got = rows.join(out, ["rid", "th"], "left")
     return got.select(
-        rows["id"].alias(id_col), *[F.coalesce(f"n_{k[0]}", zero).alias(f"n_{k[0]}") for k in KINDS], F.coalesce("base_sha256", F.sha2(F.lit(""), 256)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"),
-        *[F.coalesce(f"n_{v}", zero).alias(f"n_{v}") for v in ADDED],
+        F.col("id").alias(id_col), *[F.coalesce(f"n_{k[0]}", zero).alias(f"n_{k[0]}") for k in KINDS], F.coalesce("base_sha256", F.sha2(F.lit(""), 256)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"),
+        *[F.coalesce(f"n_{v}", zero).alias(f"n_{v}") for v in ADDED], F.coalesce("most_owners", zero).alias("most_owners"), F.coalesce("most_repos", zero).alias("most_repos"),
     )
