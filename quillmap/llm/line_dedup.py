@@ -4,7 +4,7 @@ Lines are compared in lower case, with runs of white space as one blank. A line'
 4, so lines of similarity 0.8 meet in some band with probability 0.985, those of 0.9 with more than 0.9999. Lines of under
 160 shingles take 32 independent minima; those of 102 and more (also) one minimum for each of 32 bins of one hash, empty
 bins filled from the next one; so similar lines always have one kind in common. What meets is verified exactly and
-connected as in the n-gram join, without all pairs of a bucket.
+connected as in the n-gram join, without all pairs of a bucket: lines are short, so they go to the tiles themselves.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .ngram_join import Jaccard, connect
-from .store import may_hold, written
+from .store import Shield, may_hold, written
 from .textkit import CHUNK, U64, mix
 from .unionfind import components
 
@@ -103,9 +103,9 @@ def _line_ids(lines: list[bytes]) -> list[int]:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, line, id, keys) of the lines that aren't blank; keys only where a partition first meets the line."""
+    """(doc_id, line, id, size, keys) of the lines that aren't blank; keys only where a partition first meets the line."""
     seen: set[int] = set()
-    rows: list[tuple[int, int, int]] = []
+    rows: list[tuple[int, int, int, int]] = []
     fresh: list[tuple[int, bytes]] = []
     size = 0
 
@@ -117,9 +117,9 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, count = band_keys([x for _, x in fresh])
             size_of[[k + 1 for k, _ in fresh]] = count
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum(size_of, dtype=np.int32)), pa.array(keys.view(np.int64)))
-        doc, line, i = zip(*rows)
+        doc, line, i, n = zip(*rows)
         rows, fresh, size = [], [], 0
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(line, pa.int32()), pa.array(i, pa.int64()), lists], ["doc_id", "line", "id", "keys"])
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(line, pa.int32()), pa.array(i, pa.int64()), pa.array(n, pa.int32()), lists], ["doc_id", "line", "id", "size", "keys"])
 
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -130,7 +130,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     seen.add(i)
                     fresh.append((len(rows), lines[k]))
                     size += len(lines[k])
-                rows.append((doc, k, i))
+                rows.append((doc, k, i, len(lines[k])))
                 if size > CHUNK or len(rows) > 20_000:
                     yield cut()
     if rows:
@@ -175,12 +175,12 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Blank lines always stay. Null texts have no lines, null ids aren't compared. Rows with one id are one document.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    lines = written(base.mapInArrow(_profile, "doc_id long, line int, id long, keys array<long>"), "lines")
+    lines = written(base.mapInArrow(_profile, "doc_id long, line int, id long, size int, keys array<long>"), "lines")
     by_key = Window.partitionBy("sig")
-    sigs = lines.df.select(F.explode("keys").alias("sig"), "id")
-    shared = sigs.withColumns({"leader": F.min("id").over(by_key), "last": F.max("id").over(by_key)}).where("leader < last").select("sig", "id", "leader")
+    sigs = lines.df.select(F.explode("keys").alias("sig"), "id", "size")
+    shared = sigs.withColumns({"leader": F.min("id").over(by_key), "last": F.max("id").over(by_key)}).where("leader < last").select("sig", "id", "leader", "size")
     shared = written(shared.distinct(), "shared")
-    links = connect(lambda wanted: base.select("text").mapInArrow(_sets(wanted), "id long, h binary"), shared, RULE, _distinct, forest=True)
+    links = connect(lambda wanted: base.select("text").mapInArrow(_sets(wanted), "id long, h binary"), shared, RULE, _distinct, inside=True)
     comp = components(links)
     shared.drop()
     # Only lines that occur twice or are like another can go; the rest is left out before their occurrences are compared.
@@ -197,10 +197,15 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with its text without the lines that go; a document that loses all lines has an empty text."""
-    gone = dropped_lines(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), "dropped")
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("dropped", i))
+    shield = Shield(docs, ("__id", "__dropped"))
+    docs = shield.df
+    gone = dropped_lines(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("dropped").alias("__dropped"))
+    # The lines' numbers less those that go, in order: linear in a long document, where a search a line would not be.
+    lines = F.split(F.col(text_col), "\n", -1)
+    left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__dropped")))
+    kept = F.transform(left, lambda i: F.get(lines, i))
     out = docs.join(gone, F.col(id_col) == F.col("__id"), "left")
-    return out.withColumn(text_col, F.when(F.col("dropped").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).drop("__id", "dropped")
+    return shield.restored(out.withColumn(text_col, F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).drop("__id", "__dropped"))
 
 
 def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,8 +13,8 @@ How a link can't be lost, for sets of distinct word shingles and a threshold g =
 * Sets with a kept signature in common are candidates. Each is first compared with the leader (the least id of a
   signature's sets) that it shares most signatures with. What stays apart meets at the leaders as parity bitmaps, in
   tiles of bounded size: differing bits bound the overlap from above. The few pairs that pass are intersected as
-  sorted arrays. If two components have very many such pairs, some are verified first and the rest, if the components
-  are still apart, in further rounds.
+  sorted arrays. A tile proposes some forests of such pairs, so at most a fixed number for each member; tiles that had
+  more go on in further rounds, unless all proposed pairs linked.
 
 Only connection is asked for, so a group of thousands of copies costs about one comparison a member, never all pairs.
 Sets are compared by 64-bit shingle hashes.
@@ -39,8 +39,10 @@ from .unionfind import components
 
 #: Members of one block of a tile, of about 100 bytes each; two blocks at a time in a task.
 BLOCK_ROWS = 8_192
-#: Pairs of two components that a tile gives in the first round; what it cuts comes in later rounds.
-LIMIT = 256
+#: Bytes of sets that members of one block bring, where they bring them.
+BLOCK_BYTES = 1 << 22
+#: Forests of pairs that a tile proposes in the first round; what it cuts comes in later rounds.
+FORESTS = 16
 #: Members that one copy of a leader's set is compared with.
 STAR_ROWS = 5_000
 
@@ -267,86 +269,115 @@ def folded(maps: np.ndarray, words: int) -> np.ndarray:
     return maps
 
 
-def _mapped(rule: Jaccard, decode: Callable):
-    """(id, n, bits) of packed sets."""
+def _meeting(rule: Jaccard, lab: np.ndarray, n: np.ndarray, bits: list[np.ndarray], block: np.ndarray | None) -> Iterator[tuple[int, np.ndarray]]:
+    """(x, ys): for each member of a tile, in order of size, the later ones whose bitmap and size let them link.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, bits = [], []
-            for h in _decoded(batch.column("h").to_pylist(), decode):
-                n.append(len(h))
-                bits.append(bitmap(h, width_of(len(h), rule)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(bits, pa.binary())], ["id", "n", "bits"])
-
-    return run
+    Only members with another label are given; labels may change while this runs. ``block``: only pairs of two blocks.
+    """
+    words = np.array([len(b) for b in bits])
+    for w in np.unique(words):
+        xs = np.flatnonzero(words == w)
+        top = int(np.searchsorted(n, n[xs[-1]] * rule.den // rule.num, side="right"))
+        # Wider bitmaps belong to larger sets; all that a set of this width can link with, at this width.
+        maps = np.concatenate([folded(bits[y][None, :], w) for y in range(xs[0], top)])
+        for x in xs:
+            high = int(np.searchsorted(n, n[x] * rule.den // rule.num, side="right"))
+            apart = lab[x + 1 : high] != lab[x]
+            if block is not None:
+                apart &= block[x + 1 : high] != block[x]
+            ys = np.flatnonzero(apart) + x + 1
+            if len(ys):
+                bound = overlap_bound(maps[x - xs[0]], int(n[x]), maps[ys - xs[0]], n[ys])
+                ys = ys[bound >= -(-rule.num * (n[x] + n[ys]) // (rule.num + rule.den))]
+                if len(ys):
+                    yield int(x), ys
 
 
-def _tile(rule: Jaccard, ids: np.ndarray, comp: np.ndarray, block: np.ndarray, n: np.ndarray, bits: list[np.ndarray], between: bool, refuted: set, limit: int | None) -> list[tuple[int, int, bool]]:
-    """(a, b, cut) of the pairs whose bitmaps and sizes let them link, of components not connected yet.
+class _Forests:
+    """Edge-disjoint forests: a pair goes to the first one that doesn't connect it yet. What a later forest connects, each before it does."""
 
-    ``between``: only pairs of the tile's two blocks with each other. Of two components' pairs at most ``limit``, marked
-    as cut where there are more; refuted pairs are left out. Without a limit only a forest of pairs is given, that would
-    connect all that may be connected here if they all linked.
-    """
-    parent: dict[int, int] = {}
+    def __init__(self, many: int):
+        self.parents: list[dict[int, int]] = [{} for _ in range(many)]
 
-    def root(x: int) -> int:
+    def _root(self, parent: dict[int, int], x: int) -> int:
         while parent.setdefault(x, x) != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
+    def takes(self, a: int, b: int) -> bool:
+        low, high = 0, len(self.parents)
+        while low < high:
+            mid = (low + high) // 2
+            if self._root(self.parents[mid], a) == self._root(self.parents[mid], b):
+                low = mid + 1
+            else:
+                high = mid
+        if low == len(self.parents):
+            return False
+        r, t = self._root(self.parents[low], a), self._root(self.parents[low], b)
+        self.parents[low][max(r, t)] = min(r, t)
+        return True
+
+
+def _sorted_tile(rows: list) -> tuple[np.ndarray, ...]:
+    ids, comp, block, n = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
     order = np.lexsort((ids, n))
-    ids, comp, block, n, bits = ids[order], comp[order], block[order], n[order], [bits[x] for x in order]
-    words = np.array([len(b) for b in bits])
-    out: list[tuple[int, int, bool]] = []
-    per: dict[tuple[int, int], int] = {}
-    for w in np.unique(words):
-        xs = np.flatnonzero(words == w)
-        top = int(np.searchsorted(n, n[xs[-1]] * rule.den // rule.num, side="right"))
-        # Wider bitmaps belong to larger sets; all that a set of this width can link with, at this width.
-        maps = np.concatenate([folded(bits[y][None, :], w) for y in range(xs[0], top)])
-        for x in xs:
-            high = int(np.searchsorted(n, n[x] * rule.den // rule.num, side="right"))
-            if high <= x + 1:
+    return order, ids[order], comp[order], block[order], n[order]
+
+
+def _proposed(rule: Jaccard, rows: list, between: bool, refuted: set, many: int) -> tuple[list[tuple[int, int]], bool]:
+    """(pairs, cut): of a tile's pairs that may link, ``many`` forests over the components, so at most ``many`` a member.
+
+    If all of the first forest link, all that may link here is connected. ``cut`` says that pairs were left out.
+    """
+    order, ids, comp, block, n = _sorted_tile(rows)
+    forests, out, cut = _Forests(many), [], False
+    for x, ys in _meeting(rule, comp, n, [np.frombuffer(rows[k][4], dtype=U64) for k in order], block if between else None):
+        for y in ys:
+            a, b = sorted((int(ids[x]), int(ids[y])))
+            if (a, b) in refuted:
                 continue
-            apart = comp[x + 1 : high] != comp[x]
-            if between:
-                apart &= block[x + 1 : high] != block[x]
-            ys = np.flatnonzero(apart)
-            if not len(ys):
+            if forests.takes(int(comp[x]), int(comp[y])):
+                out.append((b, a))
+            else:
+                cut = True
+    return out, cut
+
+
+def _proven(rule: Jaccard, rows: list, between: bool) -> list[tuple[int, int]]:
+    """Links that connect all that is linked in a tile: pairs that may link are intersected until their components are one."""
+    order, ids, comp, block, n = _sorted_tile(rows)
+    sets = [rows[k][4] for k in order]
+    lab, out = comp.copy(), []
+    for x, ys in _meeting(rule, lab, n, [bitmap(h, width_of(len(h), rule)) for h in sets], block if between else None):
+        for y in ys:
+            if lab[x] == lab[y]:
                 continue
-            bound = overlap_bound(maps[x - xs[0]], int(n[x]), maps[x + 1 - xs[0] + ys], n[x + 1 + ys])
-            for y in ys[bound >= -(-rule.num * (n[x] + n[x + 1 + ys]) // (rule.num + rule.den))] + x + 1:
-                a, b = sorted((int(ids[x]), int(ids[y])))
-                if (a, b) in refuted:
-                    continue
-                if limit is None:
-                    r, t = root(int(comp[x])), root(int(comp[y]))
-                    if r != t:
-                        parent[max(r, t)] = min(r, t)
-                        out.append((b, a, False))
-                    continue
-                pair = min(comp[x], comp[y]), max(comp[x], comp[y])
-                per[pair] = per.get(pair, 0) + 1
-                if per[pair] <= limit:
-                    out.append((b, a, False))
-                elif per[pair] == limit + 1:
-                    out[-1] = (*out[-1][:2], True) if out else out
+            if intersection(sets[x], sets[y]) >= rule.least_overlap(int(n[x]), int(n[y])):
+                out.append((max(int(ids[x]), int(ids[y])), min(int(ids[x]), int(ids[y]))))
+                lab[lab == max(lab[x], lab[y])] = min(lab[x], lab[y])
     return out
 
 
-def _tiled(rule: Jaccard, limit: int | None):
-    """Rows sorted by (leader, i, j, other): a tile's members and refuted pairs are gathered, which are bounded, and compared."""
+def _tiled(rule: Jaccard, decode: Callable, inside: bool, many: int):
+    """Rows sorted by (leader, i, j, other): a tile's members and refuted pairs are gathered, which are bounded, and compared.
+
+    (id, leader, cut): pairs, and a row with only the tile's leader where some were cut. ``inside``: members bring their
+    sets in place of bitmaps, and the pairs are links.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, refuted = None, [], set()
 
-        def done() -> list[tuple[int, int, bool]]:
+        def done() -> list[tuple[int | None, int, bool]]:
             if len(rows) < 2:
                 return []
-            ids, comp, block, n = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
-            return _tile(rule, ids, comp, block, n, [np.frombuffer(r[4], dtype=U64) for r in rows], key[1] != key[2], refuted, limit)
+            if inside:
+                sets = decode([r[4] for r in rows])
+                return [(a, b, False) for a, b in _proven(rule, [[r[0], r[1], r[2], len(h), h] for r, h in zip(rows, sets)], key[1] != key[2])]
+            pairs, cut = _proposed(rule, rows, key[1] != key[2], refuted, many)
+            return [(a, b, False) for a, b in pairs] + ([(None, key[0], True)] if cut else [])
 
         def batch_of(found: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["id", "leader", "cut"])
@@ -414,61 +445,67 @@ def one_of_each(docs: DataFrame, rule: Jaccard, id_col: str = "doc_id", text_col
     return without_ids(docs, gone.df, id_col, twice.df)
 
 
-def connect(sets_of: Callable, shared: Table, rule: Jaccard, decode: Callable, forest: bool = False) -> DataFrame:
+def connect(sets_of: Callable, shared: Table, rule: Jaccard, decode: Callable, inside: bool = False) -> DataFrame:
     """Links (a, b) that connect all that is linked, from the table (sig, id, leader) of shared signatures.
 
     ``sets_of`` takes a broadcast id filter and gives (id, h), at least for the ids that pass; it may repeat a row in
-    another task. It may add (n, bits), the size and bitmap of each set, else they are made of h where they are needed.
-    ``decode`` makes of a list of such bytes h the sorted distinct 64-bit shingle hashes of each. ``forest``: the first
-    round asks for a forest of pairs in each tile, which is best where most pairs that pass do link; only if one of them
-    doesn't, there are further rounds.
+    another task. It may add (n, bits), the size and bitmap of each set. ``decode`` makes of a list of such bytes h the
+    sorted distinct 64-bit shingle hashes of each. ``inside``: the members of a tile bring h itself and are intersected
+    there, which is best where h is hardly larger than a bitmap; ``shared`` then has a column size, the bytes of h. Else
+    tiles propose pairs from bitmaps, at most FORESTS for each member; the tiles that had more go on in further rounds
+    with more of them, if a proposed pair doesn't link.
     """
     ids = shared.df.select("id").union(shared.df.select("leader")).distinct()
     sets = written(sets_of(id_filter(ids)), "sets")
 
-    # First against the one leader with most signatures in common.
-    pairs = shared.df.where("id > leader").groupBy("id", "leader").count()
+    # First against the one leader with most signatures in common. Dealt by id once, both counts follow.
+    pairs = shared.df.where("id > leader").select("id", "leader").repartition("id").groupBy("id", "leader").count()
     pairs = pairs.groupBy("id").agg(F.min_by("leader", F.struct(-F.col("count"), F.col("leader"))).alias("leader"))
     links = [_verified(written(pairs, "pairs").df, sets, rule, decode)]
 
-    # Then whatever shares a signature and isn't connected: those with signatures of one leader meet there, as bitmaps.
-    met = written(shared.df.select("leader", "id").distinct(), "met")
-    maps, limit, refuted = None, None if forest else LIMIT, None
+    # Then whatever shares a signature and isn't connected: those with signatures of one leader meet there.
+    size = F.col("size") if inside else F.lit(0)
+    met = written(shared.df.select("leader", "id", size.cast("long").alias("size")).distinct(), "met")
+    none = F.lit(None).cast("long")
+    maps, proven, refuted, cut, many = None, None, None, None, FORESTS
     while True:
         comp = components(_links_of(links))
-        known = met.df.join(comp.df, "id", "left").select("leader", "id", F.coalesce("component", "id").alias("comp"))
-        known = written(known, "known")
-        mixed = known.df.groupBy("leader").agg(F.count("*").alias("rows"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-        mixed = written(mixed.select("leader", F.ceil(F.col("rows") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks")), "mixed")
+        known = met.df if cut is None else met.df.join(cut, "leader", "left_semi")
+        known = written(known.join(comp.df, "id", "left").select("leader", "id", "size", F.coalesce("component", "id").alias("comp")), "known")
+        mixed = known.df.groupBy("leader").agg(F.count("*").alias("rows"), F.sum("size").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+        blocks = F.ceil(F.greatest(F.col("rows") / F.lit(BLOCK_ROWS), F.col("size") / F.lit(BLOCK_BYTES))).cast("int")
+        mixed = written(mixed.select("leader", blocks.alias("blocks")), "mixed")
         member = known.df.join(mixed.df, "leader").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         tiles = member.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("q")).select("leader", F.least("block", "q").alias("i"), F.greatest("block", "q").alias("j"), "id", "comp", "block")
         tiles = written(tiles, "tiles")
         if maps is None:
-            if "bits" in sets.df.columns:
-                maps = written(sets.df.select("id", "n", "bits").dropDuplicates(["id"]), "maps")
+            if inside:
+                maps = sets.df.select("id", F.lit(0).cast("long").alias("n"), F.col("h").alias("bits")).dropDuplicates(["id"])
             else:
-                maps = written(sets.df.join(tiles.df.select("id").distinct(), "id", "left_semi").select("id", "h").dropDuplicates(["id"]).mapInArrow(_mapped(rule, decode), "id long, n long, bits binary"), "maps")
-        none = F.lit(None).cast("long")
-        rows = tiles.df.join(maps.df, "id").select("leader", "i", "j", none.alias("other"), "id", "comp", "block", "n", "bits")
+                maps = written(sets.df.select("id", "n", "bits").dropDuplicates(["id"]), "maps").df
+        rows = tiles.df.join(maps, "id").select("leader", "i", "j", none.alias("other"), "id", "comp", "block", "n", "bits")
         if refuted is not None:
             at = tiles.df.select("leader", "i", "j", "id")
             known_false = refuted.select(F.col("a").alias("id"), F.col("b").alias("other")).join(at, "id").join(at.withColumnRenamed("id", "other"), ["leader", "i", "j", "other"])
             rows = rows.unionByName(known_false.select("leader", "i", "j", "other", "id", none.alias("comp"), F.lit(None).cast("int").alias("block"), none.alias("n"), F.lit(None).cast("binary").alias("bits")))
         rows = rows.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
-        found = written(rows.mapInArrow(_tiled(rule, limit), "id long, leader long, cut boolean"), "found")
-        more = _verified(found.df.select("id", "leader").distinct(), sets, rule, decode)
-        links.append(more)
-        again = not (found.df.where("cut") if limit else more.df.where("not linked")).isEmpty()
-        for table in (comp, known, mixed, tiles, found):
+        found = written(rows.mapInArrow(_tiled(rule, decode, inside, many), "id long, leader long, cut boolean"), "found")
+        for table in (comp, known, mixed, tiles):
             table.drop()
-        if not again:
+        if inside:
+            proven = found.df.select(F.col("id").alias("a"), F.col("leader").alias("b"))
+            break
+        links.append(_verified(found.df.where("not cut").select("id", "leader").distinct(), sets, rule, decode))
+        false = links[-1].df.where("not linked").select("a", "b")
+        cut = written(found.df.where("cut").select("leader").distinct(), "cut").df
+        found.drop()
+        if cut.isEmpty() or false.isEmpty():
             break
-        false = more.df.where("not linked").select("a", "b")
         refuted = false if refuted is None else refuted.unionByName(false)
-        limit = limit * 16 if limit else LIMIT
-    for table in (sets, met, maps):
+        many *= 16
+    for table in (sets, met):
         table.drop()
-    return _links_of(links)
+    return _links_of(links) if proven is None else _links_of(links).unionByName(proven)
 
 
 def _links_of(links: list[Table]) -> DataFrame:

@@ -132,10 +132,10 @@ def test_giant_family_of_near_copies(spark):
         rows.append((i, " ".join(t)))
     rule = Jaccard(3, 90, 100)
     want = brute(rows, rule)
-    held = ngram_join.BLOCK_ROWS, ngram_join.LIMIT, ngram_join.STAR_ROWS
-    ngram_join.BLOCK_ROWS, ngram_join.LIMIT, ngram_join.STAR_ROWS = 40, 1, 7
+    held = ngram_join.BLOCK_ROWS, ngram_join.FORESTS, ngram_join.STAR_ROWS
+    ngram_join.BLOCK_ROWS, ngram_join.FORESTS, ngram_join.STAR_ROWS = 40, 1, 7
     try:
         got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), rule)
         assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == want
     finally:
-        ngram_join.BLOCK_ROWS, ngram_join.LIMIT, ngram_join.STAR_ROWS = held
+        ngram_join.BLOCK_ROWS, ngram_join.FORESTS, ngram_join.STAR_ROWS = held
