@@ -44,7 +44,7 @@ BLOCK_BYTES = 1 << 22
 #: Forests of pairs that a tile proposes in the first round; what it cuts comes in later rounds.
 FORESTS = 16
 #: Members that one copy of a leader's set is compared with.
-STAR_ROWS = 5_000
+STAR_ROWS = 1_000
 
 
 @dataclass(frozen=True)
