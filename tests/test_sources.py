@@ -1,11 +1,13 @@
 """The paged source against a local service that fails at first, and files that are written and read again."""
 
 import json
+import struct
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qs, urlparse
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillmap.sources import rest
 
@@ -82,3 +84,60 @@ def test_all_oracles_agree_on_a_sample_of_queries(spark):
         got = sorted(map(repr, (norm(tuple(r)) for r in df.select(cols).collect())))
         want = sorted(map(repr, (norm(tuple(r)) for r in con.sql(f'SELECT {", ".join(chr(34) + c + chr(34) for c in cols)} FROM ({ORACLE_SQL[name]})').fetchall())))
         assert got == want, name
+
+
+def gpkg_bytes():
+    """A GeoPackage by hand: a layer of lines and polygons, one row without a geometry."""
+    import sqlite3
+
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE TABLE gpkg_geometry_columns (table_name TEXT, column_name TEXT, geometry_type_name TEXT, srs_id INT, z INT, m INT)")
+    db.execute("INSERT INTO gpkg_geometry_columns VALUES ('water', 'geom', 'GEOMETRY', 5070, 0, 0)")
+    db.execute("CREATE TABLE water (fid INTEGER PRIMARY KEY, geom BLOB, name TEXT, kind INT)")
+    head = b"GP\0" + bytes([0b0000_0011]) + struct.pack("<i4d", 5070, 0, 9, 0, 9)
+    line = struct.pack("<BII4d", 1, 2, 2, 0, 0, 3, 4)
+    ring = lambda *v: struct.pack(f"<I{len(v)}d", len(v) // 2, *v)
+    polygon = struct.pack("<BII", 1, 3, 2) + ring(0, 0, 9, 0, 9, 9, 0, 9, 0, 0) + ring(1, 1, 2, 1, 2, 2, 1, 1)
+    high = struct.pack(">BII", 0, 1002, 2) + struct.pack(">6d", 1, 2, 77, 3, 4, 77)
+    db.executemany("INSERT INTO water VALUES (?, ?, ?, ?)", [(4, head + line, "a", 1), (7, head + struct.pack("<BII", 1, 6, 1) + polygon, None, 2), (9, None, "none", 3), (11, b"GP\0\1" + struct.pack("<i", 5070) + high, "z", 4)])
+    return db.serialize()
+
+
+def shp_bytes():
+    """A polygon with a hole and a null shape by hand, with attributes."""
+    outer, hole = [(0, 0), (0, 9), (9, 9), (9, 0), (0, 0)], [(1, 1), (2, 1), (2, 2), (1, 1)]
+    body = struct.pack("<I4d2I2I", 5, 0, 0, 9, 9, 2, 9, 0, 5) + b"".join(struct.pack("<2d", *p) for p in outer + hole)
+    records = struct.pack(">2I", 1, len(body) // 2) + body + struct.pack(">2I", 2, 2) + struct.pack("<I", 0)
+    field = lambda n, size: n.ljust(11, b"\0") + b"C" + bytes(4) + bytes([size]) + bytes(15)
+    dbf = struct.pack("<4BIHH", 3, 0, 0, 0, 2, 32 + 64 + 1, 1 + 6 + 2) + bytes(20) + field(b"ZONE", 6) + field(b"SF", 2) + b"\r" + b" AE    T" + b" " + b" X     " + b"  "
+    return struct.pack(">7I", 9994, 0, 0, 0, 0, 0, 50) + struct.pack("<2I8d", 1000, 5, *[0.0] * 8) + records, dbf
+
+
+def test_geopackage(spark, tmp_path):
+    from quillmap.operators import geometry as G
+    from quillmap.sources import vector
+
+    (tmp_path / "a.gpkg").write_bytes(gpkg_bytes())
+    df = vector.read_gpkg(spark, str(tmp_path / "a.gpkg"), "water")
+    got = {r["fid"]: r for r in df.collect()}
+    assert {k: (r["kind"], r["srs"], r["properties"]["name"], r["properties"]["kind"]) for k, r in got.items()} == {4: ("LineString", 5070, "a", "1"), 7: ("MultiPolygon", 5070, None, "2"), 9: (None, 5070, "none", "3"), 11: ("LineString", 5070, "z", "4")}
+    v = sorted(map(tuple, G.flatten(df).collect()))
+    assert len(v) == 2 + 9 + 2 and v[0] == (4, 0, 0, 0, 0.0, 0.0) and v[-1] == (11, 0, 0, 1, 3.0, 4.0) and (7, 0, 1, 1, 2.0, 1.0) in v
+    with pytest.raises(Exception, match="no layer"):
+        vector.read_gpkg(spark, str(tmp_path / "a.gpkg"), "land").collect()
+    with pytest.raises(ValueError, match="coordinate systems"):
+        vector.one_srs(df, df.withColumn("srs", F.lit(4326)))
+    assert vector.one_srs(df, df).count() == 8
+
+
+def test_shapefile(spark, tmp_path):
+    from quillmap.sources import vector
+
+    shp, dbf = shp_bytes()
+    (tmp_path / "z.shp").write_bytes(shp)
+    (tmp_path / "z.dbf").write_bytes(dbf)
+    a, b = sorted(vector.read_shp(spark, str(tmp_path / "z.shp")).collect(), key=lambda r: r["fid"])
+    assert (a["kind"], a["properties"]["ZONE"], [len(r["vertices"]) for r in a["parts"][0]["rings"]]) == ("MultiPolygon", "AE", [5, 4])
+    assert (b["kind"], b["properties"]["ZONE"], b["properties"]["SF"], b["parts"]) == (None, "X", None, [])
+    with pytest.raises(ValueError):
+        list(vector.shp_features(b"nope"))
