@@ -11,11 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import bbox_contains, crosses, interpolate, lit, point_segment_dist2, segment_length, split_pieces
+from ..sources.scratch import round_table
 from .windows import segments
 
 TIE = 1e-6
 #: Point-segment pairs up to which one broadcast join is the better plan.
-BROADCAST_PAIRS = 50_000_000
+BROADCAST_PAIRS = 2_000_000
 #: Rows of a side that may be broadcast.
 BROADCAST_ROWS = 200_000
 BOUNDARY2 = 1e-18
@@ -158,7 +159,7 @@ def nearest(points: DataFrame, s: DataFrame, strategy: str = "auto", cell: float
         got = todo.join(best, point_id, "left")
         border = F.least(F.pmod(F.col("px"), lit(size)) + lit(size), 2 * lit(size) - F.pmod(F.col("px"), lit(size)), F.pmod(F.col("py"), lit(size)) + lit(size), 2 * lit(size) - F.pmod(F.col("py"), lit(size)))
         settled = F.lit(True) if last else F.col("best").isNotNull() & (F.col("best") + TIE < border)
-        got = got.withColumn("__settled", F.coalesce(settled, F.lit(False))).persist()
+        got = round_table(got.withColumn("__settled", F.coalesce(settled, F.lit(False))), "nearest")
         part = got.where("__settled").select(point_id, fid, "distance", "ties")
         done = part if done is None else done.unionByName(part)
         todo = got.where(~F.col("__settled")).select(point_id, "px", "py")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import dist2, lit
+from ..sources.scratch import round_table
 from .geometry import nearest
 
 
@@ -88,31 +89,37 @@ def nearest_point(points: DataFrame, sites: DataFrame, sid: str = "sid", x: str
     return best.join(sites.select(sid, *carry), sid) if carry else best
 
 
-def knn(points: DataFrame, k: int, cell: float, id_col: str = "id", x: str = "px", y: str = "py", max_rounds: int = 12) -> DataFrame:
+def knn(points: DataFrame, k: int, cell: float | None = None, id_col: str = "id", x: str = "px", y: str = "py") -> DataFrame:
     """(id, other, distance, place) of the k nearest rows of the same table, itself included; equal distances by id.
 
-    Grids that coarsen, as for the nearest feature: a point is settled when its k-th neighbour is nearer than the border.
+    Grids that coarsen, as for the nearest feature: a point is settled when its k-th neighbour is nearer than the border of
+    the nine cells around it, or once these hold all rows, as they do in the last round; so a table of fewer than k rows
+    gives all of them. Without a ``cell`` it is such that about two cells hold k rows. Rounds are written, so no lineage grows.
     """
-    todo, done, size = points.select(id_col, x, y), None, cell
+    todo = points.select(id_col, x, y)
+    box = points.agg(F.min(x), F.max(x), F.min(y), F.max(y), F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1))).first()
+    extent = (box[1] - box[0], box[3] - box[2]) if box[4] else (0.0, 0.0)
+    size = float(cell or max((extent[0] * extent[1] * k / max(2 * box[4], 1)) ** 0.5, max(extent) * k / max(2 * box[4], 1), 1e-9))
     o = points.select(F.col(id_col).alias("other"), F.col(x).alias("ox"), F.col(y).alias("oy"))
-    for n in range(max_rounds):
-        last = n == max_rounds - 1
+    done = None
+    while True:
+        last = size > max(extent)  # whatever a cell's origin, all rows are then in the nine cells around each
         i, j = F.floor(F.col(x) / lit(size)).cast("long"), F.floor(F.col(y) / lit(size)).cast("long")
         around = todo.select("*", F.explode(F.sequence(i - 1, i + 1)).alias("ci"), j.alias("__j")).select("*", F.explode(F.sequence(F.col("__j") - 1, F.col("__j") + 1)).alias("cj")).drop("__j")
         cells = o.withColumns({"ci": F.floor(F.col("ox") / lit(size)).cast("long"), "cj": F.floor(F.col("oy") / lit(size)).cast("long")})
-        pairs = around.join(cells, ["ci", "cj"]).withColumn("distance", F.sqrt(dist2(F.col(x), F.col(y), F.col("ox"), F.col("oy"))))
+        pairs = around.join(cells, ["ci", "cj"]).select(id_col, x, y, F.sqrt(dist2(F.col(x), F.col(y), F.col("ox"), F.col("oy"))).alias("distance"), "other")
         ranked = pairs.withColumn("place", F.row_number().over(Window.partitionBy(id_col).orderBy("distance", "other"))).where(F.col("place") <= k)
         mod = lambda c: F.pmod(F.col(c), lit(size))
         border = F.least(mod(x) + lit(size), 2 * lit(size) - mod(x), mod(y) + lit(size), 2 * lit(size) - mod(y))
-        full = (F.max("place").over(Window.partitionBy(id_col)) == k) & (F.max("distance").over(Window.partitionBy(id_col)) < border)
-        ranked = ranked.withColumn("__ok", F.lit(last) | full).persist()
-        part = ranked.where("__ok").select(id_col, "other", "distance", "place")
+        # Only the k kept rows of a point are looked at again, where the ranking put them.
+        kth = F.max(F.when((F.col("place") == k) & (F.col("distance") < border), F.lit(1))).over(Window.partitionBy(id_col))
+        found = round_table(ranked.withColumn("ok", F.lit(last) | kth.isNotNull()), "knn")
+        part = found.where("ok").select(id_col, "other", "distance", "place")
         done = part if done is None else done.unionByName(part)
-        todo = todo.join(ranked.where("__ok").select(id_col).distinct(), id_col, "left_anti")
+        todo = found.where(~F.col("ok") & (F.col("place") == 1)).select(id_col, x, y)
         if last or todo.isEmpty():
             return done
         size *= 2
-    return done
 
 
 def radius_pairs(points: DataFrame, radius: float, id_col: str = "id", x: str = "px", y: str = "py", carry: tuple[str, ...] = ()) -> DataFrame:

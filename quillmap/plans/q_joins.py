@@ -167,13 +167,13 @@ def _(t):
 
 @query("J10_join_knn", f"SELECT id, other, round(d, 6) AS distance, k AS place FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS k FROM (SELECT p.id, q.id AS other, sqrt((p.px-q.px)*(p.px-q.px)+(p.py-q.py)*(p.py-q.py)) AS d FROM {POINTS} p, {POINTS} q)) WHERE k <= 9")
 def _(t):
-    return _rounded(J.knn(points(t), 9, 800.0))
+    return _rounded(J.knn(points(t), 9))
 
 
 @query("J10_local_range", f"SELECT id, round(max(v) - min(v), 9) AS local_range FROM (SELECT p.id, q.v, row_number() OVER (PARTITION BY p.id ORDER BY sqrt((p.px-q.px)*(p.px-q.px)+(p.py-q.py)*(p.py-q.py)), q.id) AS k FROM {POINTS} p, {POINTS} q) WHERE k <= 9 GROUP BY id")
 def _(t):
     v = t("fx_points").select(col("id").alias("other"), "v")
-    return J.knn(points(t), 9, 800.0).join(v, "other").groupBy("id").agg(F.round(F.max("v") - F.min("v"), 9).alias("local_range"))
+    return J.knn(points(t), 9).join(v, "other").groupBy("id").agg(F.round(F.max("v") - F.min("v"), 9).alias("local_range"))
 
 
 _PAIRS = f"SELECT p.id AS a, q.id AS b, sqrt((p.px-q.px)*(p.px-q.px)+(p.py-q.py)*(p.py-q.py)) AS d, p.v AS v1, q.v AS v2 FROM {POINTS} p JOIN {POINTS} q ON p.id < q.id"
