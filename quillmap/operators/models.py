@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -9,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.scratch import round_table
+
 
 def ols_multi(df: DataFrame, xs: list[str], y: str) -> dict[str, float]:
     """Least squares with an intercept: the normal equations' sums come from one aggregation, the small system is solved here."""
@@ -68,6 +71,34 @@ def dirichlet_weights(n: int, center: dict[str, float], concentration: float, se
     return [dict(zip(center, map(float, d))) for d in draws]
 
 
+#: How much a component is emphasised and the reverse, and the cloud of random weights around the baseline.
+EMPHASIS, DEEMPHASIS, DRAWS, CONCENTRATION = 2.0, 0.5, 24, 200.0
+#: Columns of a table of scenarios by component.
+WEIGHT_COLUMNS = {"zone": "w_zone", "water": "w_water", "terrain_absolute": "w_abs", "terrain_relative": "w_rel"}
+
+
+def scaled(weights: dict[str, float], names: list[str], factor: float) -> dict[str, float]:
+    """Some weights multiplied by a factor, all made to add up to 1 again."""
+    new = {k: v * factor if k in names else v for k, v in weights.items()}
+    total = sum(new.values())
+    if set(names) - set(weights) or total <= 0:
+        raise ValueError(f"{names} times {factor} of {weights}")
+    return {k: v / total for k, v in new.items()}
+
+
+def scenarios(baseline: dict[str, float], draws: int = DRAWS, concentration: float = CONCENTRATION, up: float = EMPHASIS, down: float = DEEMPHASIS, seed: int = 20260716) -> list[tuple]:
+    """(scenario, family, weight...) of the baseline, equal weights, each component and the terrain pair up and down, random draws and single components."""
+    names = list(baseline)
+    check_weights(baseline, set(names))
+    terrain = [n for n in names if n.startswith("terrain_")]
+    each = [(n, [n]) for n in names] + ([("terrain_family", terrain)] if terrain else [])
+    rows = [("baseline", "baseline", baseline), ("equal", "structured", dict.fromkeys(names, 1 / len(names)))]
+    rows += [(f"{n}_{word}", "structured", scaled(baseline, which, by)) for n, which in each for word, by in (("emphasized", up), ("deemphasized", down))]
+    rows += [(f"perturbation_{k:03d}", "perturbation", w) for k, w in enumerate(dirichlet_weights(draws, baseline, concentration, seed))]
+    rows += [(f"{n}_only", "reference_corner", {k: float(k == n) for k in names}) for n in names]
+    return [(name, family, *(w[n] for n in names)) for name, family, w in rows]
+
+
 def rescale(weights: dict[str, float], name: str, value: float) -> dict[str, float]:
     """One weight set, the others scaled so that all add up to 1."""
     rest = sum(v for k, v in weights.items() if k != name)
@@ -186,26 +217,46 @@ class Network:
 def train_surrogate(roles: DataFrame, normalizer: Normalizer, hidden: list[int], max_rows: int = 200_000) -> DataFrame:
     """(seed, fold, n_train, rmse, mae, constant_rmse) from (seed, fold, role, px, py, label): a network a (seed, fold), one task each.
 
-    A task gets at most max_rows rows of its group, those with the least md5 of their coordinates: the bound of a training set.
+    A network learns from at most max_rows training rows and stops by as many validation rows, those with the least md5 of
+    their coordinates; the errors are those of all test rows, to which the network goes as a broadcast.
     """
     from pyspark.sql import Window
 
-    w = Window.partitionBy("seed", "fold").orderBy(F.md5(F.concat_ws(":", "px", "py")))
-    bounded = roles.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= max_rows).drop("__k")
+    w = Window.partitionBy("seed", "fold", "role").orderBy(F.md5(F.concat_ws(":", "px", "py")))
+    bounded = roles.where("role <> 'test'").withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= max_rows).drop("__k")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
         x, y = normalizer(group.px.to_numpy(), group.py.to_numpy())
         points, label, role = np.stack([x, y], axis=1), group.label.to_numpy(dtype=float), group.role.to_numpy()
-        train, val, test = (role == r for r in ("train", "validation", "test"))
+        train, val = (role == r for r in ("train", "validation"))
         seed, fold = int(group.seed.iloc[0]), int(group.fold.iloc[0])
-        if not train.any() or not test.any():
-            return pd.DataFrame([(seed, fold, int(train.sum()), np.nan, np.nan, np.nan)], columns=["seed", "fold", "n_train", "rmse", "mae", "constant_rmse"])
+        if not train.any():
+            return pd.DataFrame(columns=["seed", "fold", "n_train", "mean", "std", "net"])
         mean, std = label[train].mean(), label[train].std() or 1.0
         net = Network(2, hidden, seed).fit(points[train], (label[train] - mean) / std, points[val], (label[val] - mean) / std, seed=seed)
-        e = net.predict(points[test]) * std + mean - label[test]
-        return pd.DataFrame([(seed, fold, int(train.sum()), float(np.sqrt((e * e).mean())), float(np.abs(e).mean()), float(np.sqrt(((mean - label[test]) ** 2).mean())))], columns=["seed", "fold", "n_train", "rmse", "mae", "constant_rmse"])
+        return pd.DataFrame([(seed, fold, int(train.sum()), float(mean), float(std), pickle.dumps(net))], columns=["seed", "fold", "n_train", "mean", "std", "net"])
 
-    return bounded.groupBy("seed", "fold").applyInPandas(run, "seed int, fold int, n_train int, rmse double, mae double, constant_rmse double")
+    nets = round_table(bounded.groupBy("seed", "fold").applyInPandas(fit, "seed int, fold int, n_train int, mean double, std double, net binary"), "nets")
+    known: dict[bytes, Network] = {}
+
+    @F.pandas_udf("double")
+    def predicted(px: pd.Series, py: pd.Series, raw: pd.Series) -> pd.Series:
+        x, y = normalizer(px.to_numpy(), py.to_numpy())
+        points, out = np.stack([x, y], axis=1), np.empty(len(px))
+        for blob in raw.unique():
+            if blob not in known:
+                known[blob] = pickle.loads(blob)
+            on = (raw == blob).to_numpy()
+            out[on] = known[blob].predict(points[on])
+        return pd.Series(out)
+
+    # A network a (seed, fold), of some kilobytes each.
+    test = roles.where("role = 'test'").join(F.broadcast(nets), ["seed", "fold"])
+    e = F.col("pred") * F.col("std") + F.col("mean") - F.col("label")
+    c = F.col("mean") - F.col("label")
+    errors = test.withColumn("pred", predicted("px", "py", "net")).groupBy("seed", "fold").agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(c * c)).alias("constant_rmse"))
+    every = roles.groupBy("seed", "fold").agg(F.count_if(F.col("role") == "train").alias("trained"))
+    return every.join(nets.select("seed", "fold", "n_train"), ["seed", "fold"], "left").join(errors, ["seed", "fold"], "left").select("seed", "fold", F.coalesce("n_train", F.lit(0)).alias("n_train"), "rmse", "mae", "constant_rmse")
 
 
 def predict_surrogate(points: DataFrame, net: Network, normalizer: Normalizer, shift: float = 0.0, scale: float = 1.0) -> DataFrame:
