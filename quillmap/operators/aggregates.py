@@ -102,27 +102,48 @@ def score_scenarios(components: DataFrame, weights: DataFrame, id_col: str = "pr
     return long.withColumn("percentile", percentile_avg(F.col("index"), F.col("scenario")))
 
 
-def scenario_compare(scored: DataFrame, baseline: str = "baseline", tail: float = 90.0, id_col: str = "property_id") -> DataFrame:
-    """Each scenario against the baseline: rank correlation, shifts of percentiles, and the overlap of the tails above ``tail``."""
+#: The tails in which rankings are compared, as parts of all rows.
+TAILS = (0.10, 0.05)
+
+
+def _tail_columns(fraction: float) -> list[Column]:
+    """Rows strictly above the threshold: of the baseline, the scenario and both, their Jaccard and the part of the smaller."""
+    edge, name = lit(100.0 * (1.0 - fraction)), f"top_{round(fraction * 100)}pct"
+    a, b = F.col("base") > edge, F.col("percentile") > edge
+    na, nb, both = F.count_if(a), F.count_if(b), F.count_if(a & b)
+    none = F.lit(0)
+    return [na.alias(f"{name}_baseline_count"), nb.alias(f"{name}_scenario_count"), both.alias(f"{name}_retained_count"), r9(both / F.nullif(na + nb - both, none)).alias(f"{name}_jaccard"), r9(both / F.nullif(F.least(na, nb), none)).alias(f"{name}_overlap_of_smaller")]
+
+
+def scenario_compare(scored: DataFrame, baseline: str = "baseline", tails: tuple[float, ...] = TAILS, id_col: str = "property_id") -> DataFrame:
+    """Each scenario against the baseline: rank correlation, shifts of percentiles, and how far the tails agree."""
     b = scored.where(F.col("scenario") == baseline).select(id_col, F.col("percentile").alias("base"))
-    j = scored.join(b, id_col).withColumns({"shift": F.abs(F.col("percentile") - F.col("base")), "in_a": F.col("percentile") > tail, "in_b": F.col("base") > tail})
-    return j.groupBy("scenario").agg(
+    j = scored.join(b, id_col).withColumn("shift", F.abs(F.col("percentile") - F.col("base")))
+    return j.groupBy("scenario", "family").agg(
         F.when((F.min("percentile") != F.max("percentile")) & (F.min("base") != F.max("base")), r9(corr("percentile", "base"))).alias("rho"),
         r9(F.percentile("shift", 0.5)).alias("median_shift"), r9(F.avg("shift")).alias("mean_shift"), r9(F.percentile("shift", 0.95)).alias("p95_shift"), r9(F.max("shift")).alias("max_shift"),
         F.count_if(F.col("shift") > 10).alias("over_10"), F.count_if(F.col("shift") > 25).alias("over_25"),
-        r9(F.count_if(F.col("in_a") & F.col("in_b")) / F.nullif(F.count_if(F.col("in_a") | F.col("in_b")), F.lit(0))).alias("tail_jaccard"),
-        r9(F.count_if(F.col("in_a") & F.col("in_b")) / F.nullif(F.least(F.count_if("in_a"), F.count_if("in_b")), F.lit(0))).alias("tail_overlap"),
+        *[c for f in tails for c in _tail_columns(f)],
     )
 
 
-#: Rank correlation and tail overlap from which an index counts as robust, and as moderately stable.
+#: Rank correlation and tail overlap from which an index counts as stable, and as moderately sensitive; and
+#: the families of scenarios that someone might choose, to which the verdict looks.
 STABLE, MODERATE = (0.95, 0.80), (0.85, 0.60)
+PLAUSIBLE = ("baseline", "structured", "perturbation")
 
 
 def stability_verdict(compared: DataFrame, baseline: str = "baseline") -> DataFrame:
-    worst = compared.where(F.col("scenario") != baseline).agg(F.min("rho").alias("min_rho"), F.min_by("scenario", F.struct("rho", "scenario")).alias("rho_scenario"), F.min("tail_jaccard").alias("min_tail"), F.min_by("scenario", F.struct("tail_jaccard", "scenario")).alias("tail_scenario"))
-    verdict = F.when((F.col("min_rho") >= STABLE[0]) & (F.col("min_tail") >= STABLE[1]), "robust").when((F.col("min_rho") >= MODERATE[0]) & (F.col("min_tail") >= MODERATE[1]), "moderate").otherwise("sensitive")
-    return worst.withColumn("verdict", verdict)
+    """The worst plausible scenario decides, by rank correlation and by the part of the smaller top tenth that is kept."""
+    rho, tail = F.col("rho"), F.col("top_10pct_overlap_of_smaller")
+
+    def least(c: Column) -> Column:
+        return F.min_by("scenario", F.when(c.isNotNull(), F.struct(c, F.col("scenario"))))
+
+    worst = compared.where(F.col("family").isin(*PLAUSIBLE) & (F.col("scenario") != baseline)).agg(F.min(rho).alias("min_rho"), least(rho).alias("rho_scenario"), F.min(tail).alias("min_tail"), least(tail).alias("tail_scenario"))
+    meets = lambda t: (F.col("min_rho") >= t[0]) & (F.col("min_tail") >= t[1])
+    missing = F.col("min_rho").isNull() | F.col("min_tail").isNull()
+    return worst.withColumn("verdict", F.when(missing, F.raise_error(F.lit("no plausible scenario can be measured"))).when(meets(STABLE), "stable").when(meets(MODERATE), "moderately_sensitive").otherwise("highly_sensitive"))
 
 
 def row_variability(scored: DataFrame, id_col: str = "property_id") -> DataFrame:
@@ -136,16 +157,32 @@ def ratio_distribution(df: DataFrame, num: str, den: str) -> DataFrame:
     return one.select("of_sums", "zero_denominators", "mean", *[r9(F.col("p")[i]).alias(n) for i, n in enumerate(("p50", "p90", "p99", "p999"))], "max")
 
 
-def counter_invariants(df: DataFrame, chain: list[str]) -> DataFrame:
-    """How many rows break each step of ``chain`` (nondecreasing counters)."""
-    return df.agg(*[F.count_if(F.col(a) > F.col(b)).alias(f"{a}_over_{b}") for a, b in zip(chain, chain[1:])])
+def counter_invariants(df: DataFrame) -> DataFrame:
+    """How many rows break what holds of each search's counters, and whether none does.
 
+    The disc of the answer's radius admits no more than the true radius does, that at least one, the inflated disc no
+    less than that, and the scan no less than the inflated disc; the uncapped disc, where it was measured at all, no less.
+    """
+    c = F.col
+    broken = {
+        "n_disk_r_gt_n_true_r": c("n_disk_r") > c("n_true_r"), "n_true_r_lt_1": c("n_true_r") < 1, "n_true_r_gt_n_disk_infl": c("n_true_r") > c("n_disk_infl"), "n_disk_infl_gt_n_decomp": c("n_disk_infl") > c("entries_scanned"),
+    }
+    measured = F.max(F.coalesce(c("n_disk_unc"), F.lit(0))) > 0
+    one = df.agg(*[F.count_if(x).alias(n) for n, x in broken.items()], F.when(measured, F.count_if(c("n_disk_unc") < c("n_disk_infl"))).alias("n_disk_unc_lt_n_disk_infl"))
+    total = sum((c(n) for n in broken), F.coalesce("n_disk_unc_lt_n_disk_infl", F.lit(0)))
+    return one.withColumn("ordering_holds", total == 0)
 
-def decile_profile(df: DataFrame, by: str, id_col: str, num: str, den: str) -> DataFrame:
-    """Ten equal groups by ordinal rank of ``by``: sizes, ends, means and the ratio of sums."""
+
+def decile_profile(df: DataFrame, by: str, id_col: str) -> DataFrame:
+    """Deciles 1 to 10 by ordinal rank of ``by``, cut at interpolated quantiles of the ranks: sizes, ends, mean counters and three ratios of sums."""
     n = df.count()
-    d = with_ordinal(df, by, id_col, "__k").withColumn("decile", F.floor((F.col("__k") - 1) * 10 / F.lit(max(n, 1))).cast("int"))
-    return d.groupBy("decile").agg(F.count("*").alias("n"), F.min(by).alias("min"), F.max(by).alias("max"), r9(F.avg(num)).alias("mean_num"), r9(F.avg(den)).alias("mean_den"), r9(F.sum(num) / F.nullif(F.sum(den), F.lit(0))).alias("ratio"))
+    up = F.ceil((F.col("__k") - 1) * 10 / F.lit(max(n - 1, 1)))
+    d = with_ordinal(df, by, id_col, "__k").withColumn("decile", F.greatest(F.lit(1), up).cast("int"))
+    ratio = lambda a, b: r9(F.sum(a) / F.nullif(F.sum(b), F.lit(0)))
+    return d.groupBy("decile").agg(
+        F.count("*").alias("n"), F.min(by).alias("min"), F.max(by).alias("max"), *[r9(F.avg(c)).alias(f"mean_{c}") for c in ("n_true_r", "n_disk_infl", "n_disk_unc")],
+        ratio("n_disk_infl", "n_true_r").alias("inflation_capped"), ratio("n_disk_unc", "n_true_r").alias("inflation_uncapped"), ratio("entries_scanned", "n_disk_infl").alias("box_vs_disk"),
+    )
 
 
 #: Lower ends of the nine distance bins, in metres; the last is open.
@@ -163,8 +200,9 @@ def _residual_stats(prefix: tuple[Column, ...] = ()) -> list[Column]:
 def bin_residuals(df: DataFrame, by: str = "distance_m", edges: list[float] = DISTANCE_BINS) -> DataFrame:
     """Residual statistics of half-open bins; empty bins keep a row with n = 0."""
     bins = df.sparkSession.createDataFrame([(i, float(a)) for i, a in enumerate(edges)], "bin int, lower_m double")
-    binned = df.withColumn("bin", cut(F.col(by), edges))
-    return F.broadcast(bins).join(binned, "bin", "left").groupBy("bin", "lower_m").agg(*_residual_stats())
+    # Rows are aggregated first; what is joined to the few bins has a row a bin.
+    binned = df.withColumn("bin", cut(F.col(by), edges)).where("bin is not null").groupBy("bin").agg(*_residual_stats())
+    return bins.join(F.broadcast(binned), "bin", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
 def class_decomposition(df: DataFrame, cls: str = "cls") -> DataFrame:
@@ -190,16 +228,24 @@ def majority(df: DataFrame, c: str, *by: str) -> DataFrame:
 
 
 def competitor_ranking(df: DataFrame, candidates: list[str], target: str, label: str, strata: int = 10, least: int = 30) -> DataFrame:
-    """Rank correlation of each candidate with the target: overall, and as the mean over label quantiles weighed by their rows; small ones are skipped."""
+    """Rank correlation of each candidate with the target: overall, and as the mean over label quantiles weighed by their rows; small ones are skipped.
+
+    Rows without a finite value of a candidate don't count for it; its five-number spread shows whether it could rank at all.
+    """
     cuts = quantile_edges(df, label, strata)
     stratum = F.greatest(F.size(F.filter("edges", lambda x: x < F.col(label))) - 1, F.lit(0)).cast("int")
     d = df.crossJoin(F.broadcast(cuts)).withColumn("stratum", stratum).drop("edges")
     out = None
+    whole_table = d
     for c in candidates:
+        v = F.col(c).cast("double")
+        d = whole_table.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+        spread = quantiles(d, c, [0.0, 0.25, 0.5, 0.75, 1.0])
+        five = [lit(x).alias(n) if x is not None else F.lit(None).cast("double").alias(n) for n, x in zip(("min", "p25", "median", "p75", "max"), spread)]
         whole = spearman(d, c, target).select(F.col("rho").alias("marginal_rho"))
         inside = spearman(d, c, target, "stratum").where((F.col("n") >= least) & F.col("rho").isNotNull())
         within = inside.agg(r9(F.sum(F.col("rho") * F.col("n")) / F.sum("n")).alias("within_rho"), F.count("*").alias("strata_used"))
-        row = whole.crossJoin(within).select(F.lit(c).alias("candidate"), "marginal_rho", "within_rho", "strata_used")
+        row = whole.crossJoin(within).crossJoin(d.agg(F.count("*").alias("n_finite"))).select(F.lit(c).alias("candidate"), "n_finite", "marginal_rho", "within_rho", "strata_used", *five)
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -219,11 +265,16 @@ def regression_metrics(df: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def gate_report(separations: DataFrame, c: str, criterion: float) -> DataFrame:
-    """Percentiles of separations and whether none is under the criterion."""
+def gate_report(separations: DataFrame, c: str, criterion: float, blocks: str | None = None) -> DataFrame:
+    """Percentiles of separations and whether none is under the criterion; without any, the gate isn't passed.
+
+    ``blocks``: a column of distances in blocks; of those, at most 1 breaks the grid's rule, which is counted beside.
+    """
+    grid = [F.min(blocks).alias("min_blocks"), F.count_if(F.col(blocks) <= 1).alias("grid_violations")] if blocks else []
     p = F.percentile(c, F.array(*[F.lit(x / 100) for x in (0, 1, 5, 25, 50, 75, 95, 100)]))
-    one = separations.agg(F.count("*").alias("n"), F.min(c).alias("min"), p.alias("p"), F.count_if(F.col(c) < criterion).alias("violations"))
-    return one.select("n", r9(F.col("min")).alias("min"), *[r9(F.col("p")[i]).alias(f"p{x}") for i, x in enumerate((0, 1, 5, 25, 50, 75, 95, 100))], "violations", (F.col("violations") == 0).alias("passed"))
+    one = separations.agg(F.count("*").alias("n"), F.min(c).alias("min"), p.alias("p"), F.count_if(F.col(c) < criterion).alias("violations"), *grid)
+    fraction = r9(F.coalesce(F.col("violations") / F.nullif(F.col("n"), F.lit(0)), lit(0))).alias("violation_fraction")
+    return one.select("n", r9(F.col("min")).alias("min"), *[r9(F.col("p")[i]).alias(f"p{x}") for i, x in enumerate((0, 1, 5, 25, 50, 75, 95, 100))], "violations", fraction, *(("min_blocks", "grid_violations") if blocks else ()), ((F.col("n") > 0) & (F.col("violations") == 0)).alias("passed"))
 
 
 def label_ambiguity(df: DataFrame, label: str, *at: str) -> DataFrame:
@@ -266,12 +317,16 @@ def ols_line(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.when(enough, r9(F.regr_slope(y, x))).alias("slope"), F.when(enough, F.round(F.regr_intercept(y, x), 6)).alias("intercept"), F.when(enough, r9(1 - F.regr_r2(y, x))).alias("residual_fraction"), F.count("*").alias("n"))
 
 
+#: Fixed value: the median's standard error next to the mean's, for normal spread.
+MEDIAN_ERROR = 1.253
+
+
 def benchmark_cells(runs: DataFrame, keys: list[str], value: str, constant: list[str] = ()) -> DataFrame:
     """Statistics of each cell of runs; ``constant`` counters must not vary within a cell."""
     v = F.col(value)
     return runs.groupBy(*keys).agg(
         F.count("*").alias("n"), F.min(v).alias("min"), F.percentile(v, 0.5).alias("median"), F.max(v).alias("max"), r9((F.max(v) - F.min(v)) / F.nullif(F.percentile(v, 0.5), lit(0))).alias("spread"), r9(F.stddev_samp(v)).alias("std"),
-        r9(lit(1.2533141373155001) * F.stddev_samp(v) / F.sqrt(F.count("*"))).alias("median_standard_error"), *[(F.count_distinct(c) <= 1).alias(f"{c}_constant") for c in constant],
+        r9(lit(MEDIAN_ERROR) * F.stddev_samp(v) / F.sqrt(F.count("*"))).alias("median_standard_error"), *[(F.count_distinct(c) <= 1).alias(f"{c}_constant") for c in constant],
     )
 
 
@@ -288,11 +343,22 @@ def memory_table(parts: DataFrame, keys: list[str], value: str, kind: str, basel
     return g.join(b, keys, "left").select(*keys, kind, r9(F.col("total")).alias("total"), r9(F.col("total") - F.coalesce("base", lit(0))).alias("over_baseline"))
 
 
-def decomposition(cells: DataFrame, calibration: DataFrame, on: list[str], per_entry: float) -> DataFrame:
-    """Time split into what the entries cost at the calibrated rate and the rest."""
-    c = cells.join(calibration, on)
-    verify = F.col("entries") * lit(per_entry)
-    return c.select(*cells.columns, r9(verify).alias("verification"), r9(F.col("median") - verify).alias("search"))
+#: Fixed value: the part of its time that the calibrating algorithm searches, the rest it verifies.
+SEARCH_FRACTION = 0.006
+
+
+def decomposition(cells: DataFrame, on: list[str], anchor: str, time: str, checks: str, fraction: float = SEARCH_FRACTION) -> DataFrame:
+    """Time split into verification and search: the anchor's cell of each group gives the cost of a check, all cells are split by it.
+
+    A negative search cost means that the cost can't be applied to that cell: it is given, and marked. Groups without
+    the anchor and cells without checks can't be split and are left out. Of two anchors in a group the first by time counts.
+    """
+    usable = cells.where(F.col(checks) > 0)
+    cost = usable.where(F.col("algorithm") == anchor).groupBy(*on).agg(F.min(F.col(time) * lit(1.0 - fraction) / F.col(checks)).alias("per_check"))
+    c = usable.join(F.broadcast(cost), on)
+    verify = F.col(checks) * F.col("per_check")
+    search = F.col(time) - verify
+    return c.select(*cells.columns, r9(F.col("per_check")).alias("per_check"), r9(verify).alias("verification"), r9(search).alias("search"), r9(search / F.nullif(F.col(time), lit(0))).alias("search_share"), (search >= 0).alias("physical"))
 
 
 def timing_result(df: DataFrame, value: str, *by: str) -> DataFrame:

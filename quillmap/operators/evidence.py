@@ -103,13 +103,35 @@ def supervised_dataset(labels: DataFrame, coordinates: DataFrame, check: bool =
     return joins.one_to_one(labels, coordinates, "id", check).select("id", "px", "py", "label").orderBy("id")
 
 
-def prediction_verdict(classes: DataFrame, bins: DataFrame, share: float = 0.5, near: float = 500.0, ratio: float = 1.5) -> DataFrame:
-    """Three clauses and their conjunction: one class carries most of the squared error; near bins err more than far ones; the far ones' mean is under the overall."""
-    a = classes.agg((F.max("sse_share") >= share).alias("class_clause"))
-    n = lambda c: F.sum(F.when(c, F.col("mean_abs") * F.col("n"))) / F.nullif(F.sum(F.when(c, F.col("n"))), F.lit(0))
-    close, every = F.col("lower_m") < near, F.lit(True)
-    b = bins.agg(F.coalesce(n(close) >= ratio * n(~close), F.lit(False)).alias("proximity_clause"), F.coalesce(n(~close) <= n(every), F.lit(False)).alias("far_field_clause"))
-    return a.crossJoin(b).withColumn("verdict", F.when(F.col("class_clause") & F.col("proximity_clause") & F.col("far_field_clause"), "CONFIRMED").otherwise("REFUTED"))
+#: Fixed value: the rank correlation from which a candidate counts as an effect.
+RHO_FLOOR = 0.10
+
+
+def prediction_verdict(classes: DataFrame, bins: DataFrame, ranking: DataFrame, majority, boundary: str, cls: str = "cls", floor: float = RHO_FLOOR) -> DataFrame:
+    """Three clauses decided apart, and their conjunction.
+
+    ``class_effect``: the minority classes' rmse is above the majority's and their share of the squared error above their
+    share of rows. ``proximity_effect``: of all candidates, by the size of their correlation within labels, the boundary
+    distance is the strongest, negative, and at least the floor. ``small_elsewhere``: the open far bin's mean error isn't
+    above the least of the inner bins; ``bins`` are those of the majority class. No majority or no minority is an error.
+    """
+    rest = F.col(cls) != F.lit(majority)
+    sse = F.col("rmse") * F.col("rmse") * F.col("n")
+    a = classes.agg(
+        F.sqrt(F.sum(F.when(rest, sse)) / F.sum(F.when(rest, F.col("n")))).alias("minority_rmse"), F.max(F.when(~rest, F.col("rmse"))).alias("majority_rmse"),
+        F.sum(F.when(rest, F.col("row_share"))).alias("minority_row_share"), F.sum(F.when(rest, F.col("sse_share"))).alias("minority_sse_share"),
+    )
+    lacking = F.col("minority_rmse").isNull() | F.col("majority_rmse").isNull()
+    a = a.withColumn("class_effect", F.when(lacking, F.raise_error(F.lit("the classes have no minority or no majority")).cast("boolean")).otherwise((F.col("minority_rmse") > F.col("majority_rmse")) & (F.col("minority_sse_share") > F.col("minority_row_share"))))
+    last = bins.agg(F.max("lower_m").alias("last"))
+    b = bins.crossJoin(F.broadcast(last)).where("n > 0").agg(F.max(F.when(F.col("lower_m") == F.col("last"), F.col("mean_abs"))).alias("far_mean_abs"), F.min(F.when(F.col("lower_m") < F.col("last"), F.col("mean_abs"))).alias("least_inner_mean_abs"))
+    size = F.abs(F.col("within_rho"))
+    r = ranking.agg(F.max(F.when(F.col("candidate") == boundary, F.col("within_rho"))).alias("boundary_rho"), F.max_by("candidate", F.struct(F.coalesce(size, lit(-1)), F.col("candidate") == boundary)).alias("strongest"))
+    out = a.crossJoin(b).crossJoin(r)
+    near = (F.col("boundary_rho") < 0) & (F.abs(F.col("boundary_rho")) >= lit(floor)) & (F.col("strongest") == boundary)
+    out = out.withColumns({"proximity_effect": F.coalesce(near, F.lit(False)), "small_elsewhere": F.coalesce(F.col("far_mean_abs") <= F.col("least_inner_mean_abs"), F.lit(False))})
+    every = F.col("class_effect") & F.col("proximity_effect") & F.col("small_elsewhere")
+    return out.withColumn("verdict", F.when(every, "CONFIRMED").otherwise("REFUTED"))
 
 
 def clean_runs(runs: DataFrame, mode: str = "mode", default: str = "original", modes: tuple[str, ...] = ("original", "split")) -> DataFrame:
@@ -141,5 +163,6 @@ def nesting(samples: list[DataFrame], on: str) -> DataFrame:
 
 
 def inflation_gate(counters: DataFrame, limit: float = 3.0) -> DataFrame:
-    """The ratio of the inflated disc's entries to the disc's, and whether its 99th percentile stays within the limit."""
-    return agg.ratio_distribution(counters, "n_disk_infl", "n_disk_r").withColumn("passed", F.col("p99") <= limit)
+    """How far the box over-covers the inflated disc: scanned entries over the disc's, decided by the 99th percentile of rows."""
+    verdict = F.when(F.col("p99").isNull(), "undetermined").when(F.col("p99") <= limit, "disk_predicate_stays_off").otherwise("enable_disk_predicate")
+    return agg.ratio_distribution(counters, "entries_scanned", "n_disk_infl").select("of_sums", "p99", "max", verdict.alias("verdict"))

@@ -10,11 +10,22 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.scalars import WEIGHTS
+from ..operators.models import scenarios
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 #: Cells of the raster down and across: about 64 cells a customer.
 SIDE = "SELECT 8*CAST(ceil(sqrt(count(*))) AS BIGINT) FROM customer"
 
+
+
+def _weights() -> str:
+    """The 40 scenarios around the default weights, as literals, so that both engines read the same numbers."""
+    rows = ",\n  ".join(f"('{name}', '{family}', " + ", ".join(f"CAST('{w!r}' AS DOUBLE)" for w in weights) + ")" for name, family, *weights in scenarios(WEIGHTS))
+    return f"\nSELECT * FROM (VALUES {rows}) AS w(scenario, family, w_zone, w_water, w_abs, w_rel)"
+
+
 VIEWS = {
     "fx_points": """
 SELECT c_custkey AS id, CAST(c_custkey*7919 % 10007 AS DOUBLE) AS x, CAST(c_custkey*104729 % 10009 AS DOUBLE) AS y,
@@ -70,7 +81,8 @@ FROM lineitem""",
     "fx_counters": """
 SELECT o_orderkey AS property_id, o_totalprice AS distance, CAST(o_orderkey % 97 + 60 AS BIGINT) AS entries_scanned,
        CAST(o_orderkey % 23 AS BIGINT) AS n_true_r, CAST(o_orderkey % 23 + o_custkey % 7 AS BIGINT) AS n_disk_r,
-       CAST(o_orderkey % 23 + o_custkey % 7 + o_orderkey % 11 AS BIGINT) AS n_disk_infl, CAST(o_custkey % 64 AS BIGINT) AS seed_probes
+       CAST(o_orderkey % 23 + o_custkey % 7 + o_orderkey % 11 AS BIGINT) AS n_disk_infl,
+       CAST(o_orderkey % 23 + o_custkey % 7 + o_orderkey % 11 + o_custkey % 5 - 1 AS BIGINT) AS n_disk_unc, CAST(o_custkey % 64 AS BIGINT) AS seed_probes
 FROM orders""",
     # Predictions against labels, with a place in the plane and a class.
     "fx_predictions": """
@@ -79,11 +91,7 @@ SELECT o_orderkey AS id, CAST(o_orderkey*7919 % 10007 AS DOUBLE) AS x, CAST(o_or
        CAST(o_custkey*13 % 5000 AS DOUBLE) AS distance_m, o_orderpriority AS cls, CAST(o_orderkey % 3 AS INT) AS seed
 FROM orders""",
     # Weight scenarios of a composite of four components.
-    "fx_weights": """
-SELECT * FROM (VALUES ('baseline', 'baseline', CAST(0.40 AS DOUBLE), CAST(0.35 AS DOUBLE), CAST(0.15 AS DOUBLE), CAST(0.10 AS DOUBLE)),
-  ('equal', 'structured', CAST(0.25 AS DOUBLE), CAST(0.25 AS DOUBLE), CAST(0.25 AS DOUBLE), CAST(0.25 AS DOUBLE)),
-  ('zone_only', 'corner', CAST(1 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)),
-  ('water_up', 'structured', CAST(0.30 AS DOUBLE), CAST(0.50 AS DOUBLE), CAST(0.12 AS DOUBLE), CAST(0.08 AS DOUBLE))) AS w(scenario, family, w_zone, w_water, w_abs, w_rel)""",
+    "fx_weights": _weights(),
 }
 
 

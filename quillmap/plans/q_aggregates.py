@@ -94,19 +94,25 @@ def _(t):
     return A.ratio_distribution(t("fx_counters"), "n_disk_infl", "n_disk_r")
 
 
-@query("P17_hilbert_inflation", "SELECT round(quantile_cont(r, 0.99), 9) AS p99, round(quantile_cont(r, 0.99), 9) <= 3 AS passed FROM (SELECT n_disk_infl / nullif(CAST(n_disk_r AS DOUBLE), 0) AS r FROM fx_counters)")
+@query("P17_hilbert_inflation", "SELECT round(sum(entries_scanned) / CAST(sum(n_disk_infl) AS DOUBLE), 9) AS of_sums, round(quantile_cont(r, 0.99), 9) AS p99, round(max(r), 9) AS max, CASE WHEN quantile_cont(r, 0.99) <= 3 THEN 'disk_predicate_stays_off' ELSE 'enable_disk_predicate' END AS verdict FROM (SELECT *, entries_scanned / nullif(CAST(n_disk_infl AS DOUBLE), 0) AS r FROM fx_counters)")
 def _(t):
-    return inflation_gate(t("fx_counters")).select("p99", "passed")
+    return inflation_gate(t("fx_counters"))
 
 
-@query("agg_counter_invariants", "SELECT count(*) FILTER (WHERE n_true_r > n_disk_r) AS n_true_r_over_n_disk_r, count(*) FILTER (WHERE n_disk_r > n_disk_infl) AS n_disk_r_over_n_disk_infl, count(*) FILTER (WHERE n_disk_infl > entries_scanned) AS n_disk_infl_over_entries_scanned FROM fx_counters")
+
+_BROKEN = {"n_disk_r_gt_n_true_r": "n_disk_r > n_true_r", "n_true_r_lt_1": "n_true_r < 1", "n_true_r_gt_n_disk_infl": "n_true_r > n_disk_infl", "n_disk_infl_gt_n_decomp": "n_disk_infl > entries_scanned", "n_disk_unc_lt_n_disk_infl": "n_disk_unc < n_disk_infl"}
+
+
+@query("agg_counter_invariants", "SELECT " + ", ".join(f"count(*) FILTER (WHERE {c}) AS {n}" for n, c in _BROKEN.items()) + f", count(*) FILTER (WHERE {' OR '.join(_BROKEN.values())}) = 0 AS ordering_holds FROM fx_counters")
 def _(t):
-    return A.counter_invariants(t("fx_counters"), ["n_true_r", "n_disk_r", "n_disk_infl", "entries_scanned"])
+    return A.counter_invariants(t("fx_counters"))
 
 
-@query("agg_decile_profile", "SELECT decile, count(*) AS n, min(distance) AS min, max(distance) AS max, round(avg(n_disk_infl), 9) AS mean_num, round(avg(n_disk_r), 9) AS mean_den, round(sum(n_disk_infl) / CAST(sum(n_disk_r) AS DOUBLE), 9) AS ratio FROM (SELECT *, CAST(floor((row_number() OVER (ORDER BY distance, property_id) - 1) * 10 / count(*) OVER ()) AS INT) AS decile FROM fx_counters) GROUP BY decile")
+
+@query("agg_decile_profile", "SELECT decile, count(*) AS n, min(distance) AS min, max(distance) AS max, " + ", ".join(f"round(avg({c}), 9) AS mean_{c}" for c in ("n_true_r", "n_disk_infl", "n_disk_unc")) + ", " + ", ".join(f"round(sum({x}) / CAST(sum({y}) AS DOUBLE), 9) AS {z}" for x, y, z in (("n_disk_infl", "n_true_r", "inflation_capped"), ("n_disk_unc", "n_true_r", "inflation_uncapped"), ("entries_scanned", "n_disk_infl", "box_vs_disk"))) + " FROM (SELECT *, CAST(greatest(1, (10 * (row_number() OVER (ORDER BY distance, property_id) - 1) + count(*) OVER () - 2) // (count(*) OVER () - 1)) AS INT) AS decile FROM fx_counters) GROUP BY decile")
 def _(t):
-    return A.decile_profile(t("fx_counters"), "distance", "property_id", "n_disk_infl", "n_disk_r")
+    return A.decile_profile(t("fx_counters"), "distance", "property_id")
+
 
 
 _E = "(pred - label)"
@@ -153,13 +159,20 @@ def _(t):
 
 
 def _competitor(c: str) -> str:
-    inside = f"SELECT stratum, corr(ra, rb) AS rho, count(*) AS n FROM (SELECT stratum, {_rank(c, 'stratum')} AS ra, {_rank('pred', 'stratum')} AS rb FROM s) GROUP BY stratum HAVING count(*) >= 30"
-    return f"SELECT '{c}' AS candidate, (SELECT round(corr(ra, rb), 9) FROM (SELECT {_rank(c)} AS ra, {_rank('pred')} AS rb FROM s)) AS marginal_rho, round(sum(round(rho, 9) * n) / sum(n), 9) AS within_rho, count(*) AS strata_used FROM ({inside})"
+    inside = f"SELECT stratum, corr(ra, rb) AS rho, count(*) AS n FROM (SELECT stratum, {_rank(c, 'stratum')} AS ra, {_rank('pred', 'stratum')} AS rb FROM s WHERE {c} IS NOT NULL) GROUP BY stratum HAVING count(*) >= 30"
+    five = ", ".join(f"(SELECT quantile_cont({c}, {q}) FROM s) AS {n}" for q, n in ((0, "min"), (0.25, "p25"), (0.5, "median"), (0.75, "p75"), (1, "max")))
+    return f"SELECT '{c}' AS candidate, (SELECT count({c}) FROM s) AS n_finite, (SELECT round(corr(ra, rb), 9) FROM (SELECT {_rank(c)} AS ra, {_rank('pred')} AS rb FROM s WHERE {c} IS NOT NULL)) AS marginal_rho, round(sum(round(rho, 9) * n) / sum(n), 9) AS within_rho, count(*) AS strata_used, {five} FROM ({inside})"
 
 
-@query("agg_competitor_ranking", f"WITH s AS (SELECT *, {_STRATUM} AS stratum FROM fx_predictions, (SELECT {_EDGES} AS edges FROM fx_predictions)) " + _competitor("distance_m") + " UNION ALL " + _competitor("x"))
+_RANKING = "SELECT * EXCLUDE (distance_m), CASE WHEN distance_m < 4900 THEN distance_m END AS distance_m FROM fx_predictions"
+_RANKED = f"WITH s AS (SELECT *, {_STRATUM} AS stratum FROM ({_RANKING}), (SELECT {_EDGES} AS edges FROM fx_predictions)) " + _competitor("distance_m") + " UNION ALL " + _competitor("x")
+
+
+@query("agg_competitor_ranking", _RANKED)
 def _(t):
-    return A.competitor_ranking(t("fx_predictions"), ["distance_m", "x"], "pred", "label", strata=4)
+    """Some distances are infinite: those rows don't count for that candidate."""
+    d = t("fx_predictions").withColumn("distance_m", F.when(col("distance_m") < 4900, col("distance_m")).otherwise(float("inf")))
+    return A.competitor_ranking(d, ["distance_m", "x"], "pred", "label", strata=4)
 
 
 _METRICS = f"count(*) AS n, round(sqrt(avg({_E}*{_E})), 9) AS rmse, round(avg(abs{_E}), 9) AS mae, round(max(abs{_E}), 9) AS max_abs, round(1 - avg({_E}*{_E}) / var_pop(label), 9) AS r2, round(avg(label), 9) AS label_mean, round(avg(pred), 9) AS pred_mean, round(stddev_pop(label), 9) AS label_std, round(stddev_pop(pred), 9) AS pred_std, round(var_pop(pred) / var_pop(label), 9) AS variance_ratio"
@@ -176,10 +189,14 @@ def _(t):
     return A.regression_metrics(n).crossJoin(n.agg(F.round(F.avg(F.round("distance", 6)), 6).alias("mean_distance")))
 
 
-@query("agg_gate_report", "SELECT count(*) AS n, round(min(distance), 9) AS min, " + ", ".join(f"round(quantile_cont(distance, {q / 100}), 9) AS p{q}" for q in (0, 1, 5, 25, 50, 75, 95, 100)) + f", count(*) FILTER (WHERE distance < 50) AS violations, count(*) FILTER (WHERE distance < 50) = 0 AS passed FROM ({_NEAREST_SITE.format(p=POINTS)})")
+_GATE = f"SELECT n.distance, p.x, greatest(abs(floor(p.x / 500) - floor(s.sx / 500)), abs(floor(p.y / 500) - floor(s.sy / 500))) AS blocks FROM ({_NEAREST_SITE.format(p=POINTS)}) n JOIN fx_points p ON n.id = p.id JOIN fx_sites s ON n.sid = s.sid"
+
+
+@query("agg_gate_report", "SELECT count(*) AS n, round(min(distance), 9) AS min, " + ", ".join(f"round(quantile_cont(distance, {q / 100}), 9) AS p{q}" for q in (0, 1, 5, 25, 50, 75, 95, 100)) + f", count(*) FILTER (WHERE distance < 50) AS violations, round(count(*) FILTER (WHERE distance < 50) / CAST(count(*) AS DOUBLE), 9) AS violation_fraction, CAST(min(blocks) AS BIGINT) AS min_blocks, count(*) FILTER (WHERE blocks <= 1) AS grid_violations, count(*) > 0 AND count(*) FILTER (WHERE distance < 50) = 0 AS passed FROM ({_GATE})")
 def _(t):
-    d = J.nearest_point(points(t), sites(t)).select(F.round("distance", 6).alias("distance"))
-    return A.gate_report(d, "distance", 50.0)
+    n = J.nearest_point(points(t), sites(t), carry=("sx", "sy")).join(t("fx_points").select("id", "x", "y"), "id")
+    gap = [F.abs(F.floor(col(a) / 500) - F.floor(col(b) / 500)) for a, b in (("x", "sx"), ("y", "sy"))]
+    return A.gate_report(n.select(F.round("distance", 6).alias("distance"), F.greatest(*gap).cast("long").alias("blocks")), "distance", 50.0, "blocks")
 
 
 _AMB = "SELECT o_totalprice / CAST(100000 AS DOUBLE) AS label, o_custkey AS x, o_orderpriority AS y FROM orders"
@@ -235,7 +252,7 @@ def _(t):
 
 
 def _cells(keys: str) -> str:
-    return f"SELECT {keys}, count(*) AS n, min(computation_seconds) AS min, median(computation_seconds) AS median, max(computation_seconds) AS max, round((max(computation_seconds) - min(computation_seconds)) / median(computation_seconds), 9) AS spread, round(stddev_samp(computation_seconds), 9) AS std, round(CAST(1.2533141373155001 AS DOUBLE) * stddev_samp(computation_seconds) / sqrt(count(*)), 9) AS median_standard_error FROM fx_runs GROUP BY {keys}"
+    return f"SELECT {keys}, count(*) AS n, min(computation_seconds) AS min, median(computation_seconds) AS median, max(computation_seconds) AS max, round((max(computation_seconds) - min(computation_seconds)) / median(computation_seconds), 9) AS spread, round(stddev_samp(computation_seconds), 9) AS std, round(CAST(1.253 AS DOUBLE) * stddev_samp(computation_seconds) / sqrt(count(*)), 9) AS median_standard_error FROM fx_runs GROUP BY {keys}"
 
 
 @query("agg_benchmark_cells", f"SELECT *, true AS property_count_constant FROM ({_cells('workload, algorithm, seed_window')})")
@@ -253,12 +270,11 @@ def _(t):
     return A.memory_table(t("fx_runs"), ["workload"], "computation_seconds", "algorithm", "hilbert_binary")
 
 
-@query("agg_decomposition", f"SELECT c.workload, c.algorithm, c.median, e.entries, round(e.entries * CAST(0.001 AS DOUBLE), 9) AS verification, round(c.median - e.entries * CAST(0.001 AS DOUBLE), 9) AS search FROM ({_cells('workload, algorithm')}) c JOIN (SELECT workload, count(*) AS entries FROM fx_runs GROUP BY workload) e ON c.workload = e.workload")
+@query("agg_decomposition", f"WITH c AS (SELECT workload, algorithm, median, n AS checks FROM ({_cells('workload, algorithm')})), a AS (SELECT workload, median * (1.0 - CAST(0.006 AS DOUBLE)) / checks AS k FROM c WHERE algorithm = 'hilbert_binary') SELECT c.workload, c.algorithm, c.median, c.checks, round(k, 9) AS per_check, round(checks * k, 9) AS verification, round(median - checks * k, 9) AS search, round((median - checks * k) / median, 9) AS search_share, median - checks * k >= 0 AS physical FROM c JOIN a ON c.workload = a.workload")
 def _(t):
-    cells = A.benchmark_cells(t("fx_runs"), ["workload", "algorithm"], "computation_seconds").select("workload", "algorithm", "median")
-    entries = t("fx_runs").groupBy("workload").agg(F.count("*").alias("entries"))
-    joined = cells.join(entries, "workload")
-    return A.decomposition(joined, entries.select("workload"), ["workload"], 0.001)
+    cells = A.benchmark_cells(t("fx_runs"), ["workload", "algorithm"], "computation_seconds").select("workload", "algorithm", "median", col("n").alias("checks"))
+    return A.decomposition(cells, ["workload"], "hilbert_binary", "median", "checks")
+
 
 
 @query("timing_result_stats", "SELECT algorithm, median(computation_seconds) AS median, min(computation_seconds) AS min, max(computation_seconds) AS max, round(avg(computation_seconds), 9) AS mean, round(stddev_samp(computation_seconds), 9) AS std, round((max(computation_seconds) - min(computation_seconds)) / median(computation_seconds), 9) AS relative_spread FROM fx_runs GROUP BY algorithm")

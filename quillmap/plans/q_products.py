@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import aggregates as A, evidence as E, geometry as G, joins as J, learned as L, models as M, raster as R, splits as P, validation as V, windows as W
-from .q_aggregates import _BINNED, _CLASSES, _cells, _rank, binned, grid
+from .q_aggregates import _BINNED, _CLASSES, _RANKED, _cells, _rank, grid
 from .q_basic import LINES, POINTS, points
 from .q_joins import SITES, _nearest_sql, site_segments
 from .registry import query
@@ -79,18 +79,23 @@ def _(t):
     return out.select("id", "elevation", F.round("local_mean", 9).alias("local_mean"), F.round("relative", 9).alias("relative"))
 
 
-_SCORED = f"SELECT scenario, property_id, exposure AS idx, 100 * {_rank('exposure', 'scenario')} / count(*) OVER (PARTITION BY scenario) AS percentile FROM (SELECT w.scenario, c.property_id, round(w_zone*c_zone + w_water*c_water + w_abs*c_abs + w_rel*c_rel, 9) AS exposure FROM ({_COMPONENTS}) c, fx_weights w)"
+_SCORED = f"SELECT scenario, family, property_id, exposure AS idx, 100 * {_rank('exposure', 'scenario')} / count(*) OVER (PARTITION BY scenario) AS percentile FROM (SELECT w.scenario, w.family, c.property_id, round(w_zone*c_zone + w_water*c_water + w_abs*c_abs + w_rel*c_rel, 9) AS exposure FROM ({_COMPONENTS}) c, fx_weights w)"
 
 
-@query("P4_score_scenarios", f"SELECT scenario, property_id, round(idx, 6) AS index, round(percentile, 6) AS percentile FROM ({_SCORED})")
+@query("P4_score_scenarios", f"SELECT scenario, property_id, round(idx, 9) AS index, round(percentile, 6) AS percentile FROM ({_SCORED})")
 def _(t):
     scored, _, _ = E.sensitivity(t("fx_scoring"), t("fx_weights"))
-    return _round6(scored, "index", "percentile").select("scenario", "property_id", "index", "percentile")
+    return _round6(scored, "percentile").select("scenario", "property_id", "index", "percentile")
 
 
-_COMPARED = f"""SELECT s.scenario, round(corr(s.percentile, b.percentile), 9) AS rho, round(median(abs(s.percentile - b.percentile)), 9) AS median_shift, round(avg(abs(s.percentile - b.percentile)), 9) AS mean_shift, round(quantile_cont(abs(s.percentile - b.percentile), 0.95), 9) AS p95_shift, round(max(abs(s.percentile - b.percentile)), 9) AS max_shift,
- count(*) FILTER (WHERE abs(s.percentile - b.percentile) > 10) AS over_10, count(*) FILTER (WHERE abs(s.percentile - b.percentile) > 25) AS over_25, round(count(*) FILTER (WHERE s.percentile > 90 AND b.percentile > 90) / CAST(count(*) FILTER (WHERE s.percentile > 90 OR b.percentile > 90) AS DOUBLE), 9) AS tail_jaccard,
- round(count(*) FILTER (WHERE s.percentile > 90 AND b.percentile > 90) / CAST(least(count(*) FILTER (WHERE s.percentile > 90), count(*) FILTER (WHERE b.percentile > 90)) AS DOUBLE), 9) AS tail_overlap FROM sc s JOIN (SELECT * FROM sc WHERE scenario = 'baseline') b ON s.property_id = b.property_id GROUP BY s.scenario"""
+def _tail(at: int, name: str) -> str:
+    a, b = f"count(*) FILTER (WHERE b.percentile > {at})", f"count(*) FILTER (WHERE s.percentile > {at})"
+    both, either = f"count(*) FILTER (WHERE s.percentile > {at} AND b.percentile > {at})", f"count(*) FILTER (WHERE s.percentile > {at} OR b.percentile > {at})"
+    return f"{a} AS {name}_baseline_count, {b} AS {name}_scenario_count, {both} AS {name}_retained_count, round({both} / CAST(nullif({either}, 0) AS DOUBLE), 9) AS {name}_jaccard, round({both} / CAST(nullif(least({a}, {b}), 0) AS DOUBLE), 9) AS {name}_overlap_of_smaller"
+
+
+_COMPARED = f"""SELECT s.scenario, s.family, round(corr(s.percentile, b.percentile), 9) AS rho, round(median(abs(s.percentile - b.percentile)), 9) AS median_shift, round(avg(abs(s.percentile - b.percentile)), 9) AS mean_shift, round(quantile_cont(abs(s.percentile - b.percentile), 0.95), 9) AS p95_shift, round(max(abs(s.percentile - b.percentile)), 9) AS max_shift,
+ count(*) FILTER (WHERE abs(s.percentile - b.percentile) > 10) AS over_10, count(*) FILTER (WHERE abs(s.percentile - b.percentile) > 25) AS over_25, {_tail(90, "top_10pct")}, {_tail(95, "top_5pct")} FROM sc s JOIN (SELECT * FROM sc WHERE scenario = 'baseline') b ON s.property_id = b.property_id GROUP BY s.scenario, s.family"""
 
 
 @query("agg_scenario_compare", f"WITH sc AS ({_SCORED}) {_COMPARED}")
@@ -98,7 +103,7 @@ def _(t):
     return E.sensitivity(t("fx_scoring"), t("fx_weights"))[1]
 
 
-@query("agg_stability_verdict", f"WITH sc AS ({_SCORED}) SELECT min(rho) AS min_rho, arg_min(scenario, (rho, scenario)) AS rho_scenario, min(tail_jaccard) AS min_tail, arg_min(scenario, (tail_jaccard, scenario)) AS tail_scenario, CASE WHEN min(rho) >= 0.95 AND min(tail_jaccard) >= 0.8 THEN 'robust' WHEN min(rho) >= 0.85 AND min(tail_jaccard) >= 0.6 THEN 'moderate' ELSE 'sensitive' END AS verdict FROM ({_COMPARED}) WHERE scenario <> 'baseline'")
+@query("agg_stability_verdict", f"WITH sc AS ({_SCORED}) SELECT min(rho) AS min_rho, arg_min(scenario, (rho, scenario)) AS rho_scenario, min(o) AS min_tail, arg_min(scenario, (o, scenario)) AS tail_scenario, CASE WHEN min(rho) >= 0.95 AND min(o) >= 0.8 THEN 'stable' WHEN min(rho) >= 0.85 AND min(o) >= 0.6 THEN 'moderately_sensitive' ELSE 'highly_sensitive' END AS verdict FROM (SELECT *, top_10pct_overlap_of_smaller AS o FROM ({_COMPARED})) WHERE scenario <> 'baseline' AND family IN ('structured', 'perturbation')")
 def _(t):
     return E.sensitivity(t("fx_scoring"), t("fx_weights"))[2]
 
@@ -147,9 +152,23 @@ def _(t):
     return V.status_counts(checks).where("status = 'FAIL'")
 
 
-@query("P10_prediction_verdict", f"SELECT c.class_clause, b.proximity_clause, b.far_field_clause, CASE WHEN c.class_clause AND b.proximity_clause AND b.far_field_clause THEN 'CONFIRMED' ELSE 'REFUTED' END AS verdict FROM (SELECT max(sse_share) >= 0.5 AS class_clause FROM ({_CLASSES})) c, (SELECT coalesce(near >= CAST(1.5 AS DOUBLE) * far, false) AS proximity_clause, coalesce(far <= alls, false) AS far_field_clause FROM (SELECT sum(mean_abs*n) FILTER (WHERE lower_m < 500) / sum(n) FILTER (WHERE lower_m < 500) AS near, sum(mean_abs*n) FILTER (WHERE NOT lower_m < 500) / sum(n) FILTER (WHERE NOT lower_m < 500) AS far, sum(mean_abs*n) / sum(n) AS alls FROM ({_BINNED}))) b")
+_MAJORITY = "(SELECT cls FROM fx_predictions GROUP BY cls ORDER BY count(*) DESC, cls LIMIT 1)"
+_VERDICT = f"""WITH c AS (SELECT *, rmse * rmse * n AS sse, cls = {_MAJORITY} AS major FROM ({_CLASSES})),
+a AS (SELECT sqrt(sum(sse) FILTER (WHERE NOT major) / sum(n) FILTER (WHERE NOT major)) AS minority_rmse, max(rmse) FILTER (WHERE major) AS majority_rmse, sum(row_share) FILTER (WHERE NOT major) AS minority_row_share, sum(sse_share) FILTER (WHERE NOT major) AS minority_sse_share FROM c),
+b AS (SELECT max(mean_abs) FILTER (WHERE lower_m = 3000) AS far, min(mean_abs) FILTER (WHERE lower_m < 3000) AS inner_least FROM ({_BINNED.replace("WHERE distance_m NOT BETWEEN 500 AND 750", f"WHERE cls = {_MAJORITY}")}) WHERE n > 0),
+r AS (SELECT max(within_rho) FILTER (WHERE candidate = 'distance_m') AS rho, arg_max(candidate, (abs(within_rho), candidate = 'distance_m')) AS strongest FROM ({_RANKED}))
+SELECT round(minority_rmse, 6) AS minority_rmse, round(majority_rmse, 6) AS majority_rmse, round(far, 6) AS far_mean_abs, round(inner_least, 6) AS least_inner_mean_abs, round(rho, 6) AS boundary_rho, strongest,
+ minority_rmse > majority_rmse AND minority_sse_share > minority_row_share AS class_effect, rho < 0 AND abs(rho) >= 0.1 AND strongest = 'distance_m' AS proximity_effect, far <= inner_least AS small_elsewhere,
+ CASE WHEN minority_rmse > majority_rmse AND minority_sse_share > minority_row_share AND rho < 0 AND abs(rho) >= 0.1 AND strongest = 'distance_m' AND far <= inner_least THEN 'CONFIRMED' ELSE 'REFUTED' END AS verdict FROM a, b, r"""
+
+
+@query("P10_prediction_verdict", _VERDICT)
 def _(t):
-    return E.prediction_verdict(A.class_decomposition(t("fx_predictions")), binned(t))
+    p = t("fx_predictions")
+    major = A.majority(p, "cls").first()["value"]
+    ranked = A.competitor_ranking(p.withColumn("distance_m", F.when(col("distance_m") < 4900, col("distance_m"))), ["distance_m", "x"], "pred", "label", strata=4)
+    out = E.prediction_verdict(A.class_decomposition(p), A.bin_residuals(p.where(col("cls") == major)), ranked, major, "distance_m")
+    return _round6(out, "minority_rmse", "majority_rmse", "far_mean_abs", "least_inner_mean_abs", "boundary_rho").drop("minority_row_share", "minority_sse_share")
 
 
 _PARTS = " UNION ALL ".join(f"SELECT property_id, true AS adds_up, '{c}' AS component, round({c}, 6) AS score, CAST({w} AS DOUBLE) AS weight, round(CAST({w} AS DOUBLE) * {c}, 6) AS contribution FROM ({_INDEX}) WHERE property_id = 42" for c, w in (("c_zone", 0.4), ("c_water", 0.35), ("c_abs", 0.15), ("c_rel", 0.1)))

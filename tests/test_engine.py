@@ -289,10 +289,94 @@ def test_empty_bins_keep_a_row(spark):
 
 
 def test_tail_excludes_the_boundary(spark):
-    w = spark.createDataFrame([("baseline", 50.0), ("b", 50.0)], "scenario string, x double")
+    w = spark.createDataFrame([("baseline", "baseline"), ("b", "structured")], "scenario string, family string")
     df = w.crossJoin(spark.range(10).withColumnRenamed("id", "property_id")).withColumn("percentile", (F.col("property_id") + 1) * 10.0)
     got = {r["scenario"]: r for r in A.scenario_compare(df).collect()}
-    assert got["b"]["tail_jaccard"] == 1.0 and got["b"]["rho"] == 1.0
+    assert got["b"]["top_10pct_jaccard"] == 1.0 and got["b"]["rho"] == 1.0
+    assert (got["b"]["top_10pct_baseline_count"], got["b"]["top_5pct_retained_count"]) == (1, 1)
+
+
+def compared(spark, *rows):
+    return spark.createDataFrame([(n, f, r, o) for n, f, r, o in rows], "scenario string, family string, rho double, top_10pct_overlap_of_smaller double")
+
+
+@pytest.mark.parametrize("rho, overlap, want", [(0.95, 0.80, "stable"), (0.96, 0.79, "moderately_sensitive"), (0.85, 0.60, "moderately_sensitive"), (0.84, 0.9, "highly_sensitive")])
+def test_verdict_is_that_of_the_worst_plausible_scenario(spark, rho, overlap, want):
+    c = compared(spark, ("baseline", "baseline", 1.0, 1.0), ("equal", "structured", rho, 0.99), ("p", "perturbation", 0.99, overlap), ("zone_only", "reference_corner", 0.1, 0.1))
+    v = A.stability_verdict(c).first()
+    assert (v["verdict"], v["rho_scenario"], v["tail_scenario"]) == (want, "equal", "p")
+    with pytest.raises(Exception, match="no plausible scenario"):
+        A.stability_verdict(compared(spark, ("baseline", "baseline", 1.0, 1.0))).collect()
+
+
+def test_forty_scenarios_on_the_simplex():
+    rows = M.scenarios({"zone": 0.40, "water": 0.35, "terrain_absolute": 0.15, "terrain_relative": 0.10})
+    assert len(rows) == len({r[0] for r in rows}) == 40 and all(abs(sum(r[2:]) - 1) < 1e-12 for r in rows)
+    by = {r[0]: r[2:] for r in rows}
+    assert by["zone_emphasized"] == pytest.approx((0.8 / 1.4, 0.35 / 1.4, 0.15 / 1.4, 0.1 / 1.4))
+    assert by["terrain_family_deemphasized"] == pytest.approx((0.4 / 0.875, 0.35 / 0.875, 0.075 / 0.875, 0.05 / 0.875))
+    assert by["water_only"] == (0, 1, 0, 0) and sum(r[1] == "perturbation" for r in rows) == 24
+    assert M.scenarios({"a": 0.5, "b": 0.5}, draws=0)[0][2:] == (0.5, 0.5)
+
+
+def verdict_tables(spark, far=7.0, rho=-0.40, minority=45.0, rival=0.10):
+    majority, n = 6.0, (9000, 1000)
+    sse = (majority**2 * n[0], minority**2 * n[1])
+    classes = spark.createDataFrame([(v, k, m, k / 10000, s / sum(sse)) for v, k, m, s in zip(("X", "AE"), n, (majority, minority), sse)], "cls string, n long, rmse double, row_share double, sse_share double")
+    bins = spark.createDataFrame([(0, 0.0, 500, 15.0), (1, 100.0, 500, 9.0), (2, 3000.0, 500, far), (3, 50.0, 0, None)], "bin int, lower_m double, n long, mean_abs double")
+    ranking = spark.createDataFrame([("boundary", rho), ("roughness", rival), ("label", 0.05)], "candidate string, within_rho double")
+    return classes, bins, ranking
+
+
+@pytest.mark.parametrize("change, clauses, verdict", [
+    ({}, (True, True, True), "CONFIRMED"), ({"far": 18.0}, (True, True, False), "REFUTED"), ({"rho": 0.40}, (True, False, True), "REFUTED"), ({"rho": -0.04, "rival": 0.01}, (True, False, True), "REFUTED"),
+    ({"rho": -0.15, "rival": -0.30}, (True, False, True), "REFUTED"), ({"minority": 3.0}, (False, True, True), "REFUTED"),
+])
+def test_prediction_verdict(spark, change, clauses, verdict):
+    v = E.prediction_verdict(*verdict_tables(spark, **change), "X", "boundary").first()
+    assert (v["class_effect"], v["proximity_effect"], v["small_elsewhere"], v["verdict"]) == (*clauses, verdict)
+    assert v["strongest"] == {-0.15: "roughness", -0.04: "label"}.get(change.get("rho"), "boundary")
+    classes, bins, ranking = verdict_tables(spark)
+    with pytest.raises(Exception, match="no minority or no majority"):
+        E.prediction_verdict(classes.where("cls = 'X'"), bins, ranking, "X", "boundary").collect()
+
+
+def test_counters_and_the_gate(spark):
+    kind = "property_id long, distance double, entries_scanned long, n_disk_r long, n_true_r long, n_disk_infl long, n_disk_unc long"
+    good = spark.createDataFrame([(k, float(k), 20, 0, 2, 10, 12) for k in range(100)], kind)
+    one = A.counter_invariants(good).first()
+    assert one["ordering_holds"] and one["n_disk_unc_lt_n_disk_infl"] == 0
+    bad = A.counter_invariants(good.unionByName(spark.createDataFrame([(900, 1.0, 9, 3, 0, 10, 0)], kind))).first()
+    assert not bad["ordering_holds"] and [bad[c] for c in ("n_disk_r_gt_n_true_r", "n_true_r_lt_1", "n_true_r_gt_n_disk_infl", "n_disk_infl_gt_n_decomp", "n_disk_unc_lt_n_disk_infl")] == [1, 1, 0, 1, 1]
+    assert A.counter_invariants(good.withColumn("n_disk_unc", F.lit(0))).first()["n_disk_unc_lt_n_disk_infl"] is None
+    assert E.inflation_gate(good).first()["verdict"] == "disk_predicate_stays_off"
+    assert E.inflation_gate(good.withColumn("entries_scanned", F.lit(40))).first()["verdict"] == "enable_disk_predicate"
+    assert E.inflation_gate(good.limit(0)).first()["verdict"] == "undetermined"
+    deciles = A.decile_profile(good, "distance", "property_id").collect()
+    assert sorted(d["decile"] for d in deciles) == list(range(1, 11)) and all(d["n"] == 10 and d["inflation_capped"] == 5.0 and d["box_vs_disk"] == 2.0 for d in deciles)
+
+
+def test_decomposition_and_gates(spark):
+    cells = spark.createDataFrame([("w", "tree", 60.0, 9400.0), ("w", "curve", 66.0, 11000.0), ("w", "odd", 10.0, 9000.0), ("other", "curve", 5.0, 3.0)], "workload string, algorithm string, us double, checks double")
+    got = {r["algorithm"]: r for r in A.decomposition(cells, ["workload"], "tree", "us", "checks").collect()}
+    assert len(got) == 3 and got["tree"]["search"] == pytest.approx(0.36) and got["tree"]["search_share"] == pytest.approx(0.006)
+    assert got["curve"]["verification"] == pytest.approx(11000 * 60 * 0.994 / 9400) and not got["odd"]["physical"]
+    runs = spark.createDataFrame([("a", float(v)) for v in (1, 2, 3, 4)], "k string, v double")
+    assert A.benchmark_cells(runs, ["k"], "v").first()["median_standard_error"] == pytest.approx(1.253 * 1.2909944487358056 / 2)
+    gaps = spark.createDataFrame([(10.0, 1), (80.0, 2)], "d double, b int")
+    assert not A.gate_report(gaps.limit(0), "d", 5.0).first()["passed"]
+    g = A.gate_report(gaps, "d", 50.0, "b").first()
+    assert (g["violations"], g["violation_fraction"], g["min_blocks"], g["grid_violations"], g["passed"]) == (1, 0.5, 1, 1, False)
+
+
+def test_knn_of_far_and_of_few_points(spark):
+    far = spark.createDataFrame([(1, 0.0, 0.0), (2, 1e6, 0.0), (3, 0.0, 1e6)], "id long, px double, py double")
+    for cell in (1.0, None):
+        got = {(r["id"], r["other"]): r["distance"] for r in J.knn(far, 2, cell).collect()}
+        assert len(got) == 6 and got[2, 1] == got[3, 1] == 1e6 and (1, 2) in got
+    assert J.knn(far, 9).count() == 9 and J.knn(far.limit(0), 3).count() == 0
+    same = spark.createDataFrame([(k, 5.0, 5.0) for k in range(4)], "id long, px double, py double")
+    assert J.knn(same, 2).count() == 8
 
 
 # Splits, learned index, models.
