@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 LETTERS, DECAY = 3, 0.7
 #: Kernel values below this count as no likeness.
 LEAST = 0.1
+#: Units whose greatest value is less are left out of the training: the machine can't tell them from what is like nothing.
+MUCH = 0.25
 #: A unit is compared with a landmark if it has this part of the landmark's neighbouring letters in order, up to GAP apart:
 #: up to GAP - 1 letters between each two neighbours lose none of them.
 SCREEN, GAP = 0.6, 3
@@ -40,7 +42,7 @@ PURE = 0.75
 #: Bounds of the training sample: labelled rows, those with the least hash of their id, and bytes of a text.
 MAX_LABELLED, MAX_TEXT = 6_000, 1 << 16
 #: Units that a worker remembers.
-MEMORY = 400_000
+MEMORY = 100_000
 _drop = bytes(c for c in range(128) if not (97 <= c <= 122 or 65 <= c <= 90 or c in (9, 10, 11, 12, 13, 32)))
 _sentence_end = re.compile(rb"[.!?]+\s+|\n+")
 _lone = re.compile(rb"(?<![^\s])(?:[a-z]\s+){2,}[a-z](?![^\s])")
@@ -140,17 +142,27 @@ class Model:
             np.maximum.at(out, (owner[row], mark), np.where((own > 0) & (value >= LEAST), value, 0.0))
         return out
 
-    def alike(self, words: list[bytes], block: int = 5_000) -> tuple[list[bytes], np.ndarray]:
-        """The words that are like some landmark, and their kernel values; in blocks, so memory follows what is found."""
+    def alike(self, words: list[bytes], block: int = 2_000) -> tuple[list[bytes], np.ndarray]:
+        """The words that are much like some landmark, and their kernel values; in blocks, so memory follows what is found."""
         kept, rows = [], [np.zeros((0, len(self.landmarks)), dtype=np.float32)]
         for at in range(0, len(words), block):
             part = words[at : at + block]
             like = self.likeness(part).astype(np.float32)
-            on = np.flatnonzero(like.any(axis=1))
+            on = np.flatnonzero(like.max(axis=1) >= MUCH)
             kept += [part[k] for k in on]
             rows.append(like[on])
         return kept, np.concatenate(rows)
 
+    def closest(self, words: list[bytes], block: int = 2_000) -> tuple[list[bytes], list[float]]:
+        """The words that are like some landmark, and the greatest of their kernel values."""
+        kept, best = [], []
+        for at in range(0, len(words), block):
+            top = self.likeness(words[at : at + block]).max(axis=1)
+            on = np.flatnonzero(top)
+            kept += [words[at + k] for k in on]
+            best += top[on].tolist()
+        return kept, best
+
     def margin(self, like: np.ndarray) -> np.ndarray:
         return like @ self.weights + self.bias if len(self.landmarks) else np.full(len(like), self.bias)
 
@@ -187,19 +199,30 @@ def choose_landmarks(a: Counter, na: int, b: Counter, nb: int) -> list[bytes]:
     return sorted(good, key=lambda u: (tails[u], -a[u], u))[:TOXIC_LANDMARKS]
 
 
-def _svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
-    """Linear machine of squared hinge loss by primal Newton steps (Chapelle, 2007); the bias is a constant feature; c: cost of each row."""
-    z = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+def _svm(z: np.ndarray, y: np.ndarray, c: np.ndarray, ridge: float = 1.0, block: int = 4096) -> tuple[np.ndarray, float]:
+    """Linear machine of squared hinge loss by primal Newton steps (Chapelle, 2007); the last column is 1, for the bias; c: cost of each row.
+
+    The system is summed up by blocks of rows, so that memory is that of ``z``.
+    """
     w = np.zeros(z.shape[1])
 
+    def margins(w: np.ndarray) -> np.ndarray:
+        return np.concatenate([z[at : at + block] @ w for at in range(0, len(z), block)])
+
     def loss(w: np.ndarray) -> float:
-        return ridge * w @ w / 2 + float((c * np.maximum(0, 1 - y * (z @ w)) ** 2).sum())
+        return ridge * w @ w / 2 + float((c * np.maximum(0, 1 - y * margins(w)) ** 2).sum())
 
     now = loss(w)
     for _ in range(60):
-        on = y * (z @ w) < 1
-        zc = z[on] * (2 * c[on])[:, None]
-        step = np.linalg.solve(ridge * np.eye(len(w)) + zc.T @ z[on], zc.T @ y[on]) - w
+        on = np.flatnonzero(y * margins(w) < 1)
+        hess, right = ridge * np.eye(len(w)), np.zeros(len(w))
+        for at in range(0, len(on), block):
+            k = on[at : at + block]
+            rows = z[k].astype(float)
+            zc = rows * (2 * c[k])[:, None]
+            hess += zc.T @ rows
+            right += zc.T @ y[k]
+        step = np.linalg.solve(hess, right) - w
         size = 1.0
         while size > 1e-4 and loss(w + size * step) >= now:
             size /= 2
@@ -219,8 +242,8 @@ def train(texts: list[str], labels: list[int]) -> Model:
     bad = choose_landmarks(a, na, b, nb)
     if not bad:
         return Model()
-    near, close = Model(bad).alike(sorted(b))
-    close = dict(zip(near, close.max(axis=1).astype(float)))
+    near, close = Model(bad).closest(sorted(b))
+    close = dict(zip(near, close))
     model = Model(bad + sorted(near, key=lambda u: (-b[u] * close[u] ** 10, u))[:CLEAN_LANDMARKS])
     n = len(model.landmarks)
     gram = np.stack([kernel(model.rows, np.repeat(r[None, :], n, axis=0)) for r in model.rows]) / np.sqrt(model.norms[:, None] * model.norms[None, :])
@@ -239,9 +262,13 @@ def train(texts: list[str], labels: list[int]) -> Model:
     # Spellings that hide a word count as much as the word, shared among them; those that clean documents hold are left out.
     hidden = [(s, HIDDEN * min(witness[k], 100) / len(kind)) for k in rows if len(vocabulary[k]) >= STRETCH for kind in stretched(vocabulary[k]) for s in kind if s not in b]
     spelt = model.likeness([s for s, _ in hidden])
-    x = np.concatenate([like[rows], spelt, like[clean_rows], zero]) @ whiten
+    z = np.ones((len(rows) + len(spelt) + len(clean_rows) + 1, n + 1), dtype=np.float32)
+    at = 0
+    for part in (like[rows], spelt.astype(np.float32), *(like[clean_rows[k : k + 4096]] for k in range(0, len(clean_rows), 4096)), zero.astype(np.float32)):
+        z[at : at + len(part), :n] = part @ whiten
+        at += len(part)
     y = np.concatenate([np.ones(len(rows) + len(spelt)), -np.ones(len(clean_rows) + 1)])
-    w, model.bias = _svm(x, y, np.concatenate([[min(witness[k], 100) for k in rows], [c for _, c in hidden], np.minimum(cost, 100), [100]]))
+    w, model.bias = _svm(z, y, np.concatenate([[min(witness[k], 100) for k in rows], [c for _, c in hidden], np.minimum(cost, 100), [100]]))
     model.weights = whiten @ w
     # The logistic curve is fitted to what documents score, by Newton's method, with Platt's targets.
     score = model.margin(like)
@@ -268,8 +295,8 @@ class Scorer:
         """(score, number of units beyond the machine's margin) of each text."""
         bags = [set(units((t or "").lower().encode())) for t in texts]
         new = sorted(set().union(*bags) - self.none - self.margins.keys())
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
+        for at in range(0, len(new), 2_000):
+            part = new[at : at + 2_000]
             like = self.model.likeness(part)
             on = like.any(axis=1)
             self.margins |= {u: float(m) for u, m, x in zip(part, self.model.margin(like), on) if x}
