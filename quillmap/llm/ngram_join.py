@@ -42,7 +42,7 @@ BLOCK_ROWS = 8_192
 #: Bytes of sets that members of one block bring, where they bring them.
 BLOCK_BYTES = 1 << 22
 #: Forests of pairs that a tile proposes in the first round; what it cuts comes in later rounds.
-FORESTS = 16
+FORESTS = 256
 #: Members that one copy of a leader's set is compared with.
 STAR_ROWS = 1_000
 
