@@ -13,8 +13,8 @@ How a link can't be lost, for sets of distinct word shingles and a threshold g =
 * Sets with a kept signature in common are candidates. Each is first compared with the leader (the least id of a
   signature's sets) that it shares most signatures with. What stays apart meets at the leaders as parity bitmaps, in
   tiles of bounded size: differing bits bound the overlap from above. The few pairs that pass are intersected as
-  sorted arrays. A tile proposes some forests of such pairs, so at most a fixed number for each member; tiles that had
-  more go on in further rounds, unless all proposed pairs linked.
+  sorted arrays. A tile proposes some forests of such pairs, so at most a fixed number for each member; in tiles that
+  had more, and are still apart, the members then meet once again with their sets, and all that pass are intersected.
 
 Only connection is asked for, so a group of thousands of copies costs about one comparison a member, never all pairs.
 Sets are compared by 64-bit shingle hashes.
@@ -41,8 +41,10 @@ from .unionfind import components
 BLOCK_ROWS = 8_192
 #: Bytes of sets that members of one block bring, where they bring them.
 BLOCK_BYTES = 1 << 22
-#: Forests of pairs that a tile proposes in the first round; what it cuts comes in later rounds.
-FORESTS = 256
+#: Forests of pairs that a tile of bitmaps proposes; tiles that had more are gone through with the sets themselves.
+FORESTS = 16
+#: So many times wider are bitmaps where the sets are at hand too and the bitmaps needn't travel.
+WIDER = 8
 #: Members that one copy of a leader's set is compared with.
 STAR_ROWS = 1_000
 
@@ -326,7 +328,7 @@ def _sorted_tile(rows: list) -> tuple[np.ndarray, ...]:
     return order, ids[order], comp[order], block[order], n[order]
 
 
-def _proposed(rule: Jaccard, rows: list, between: bool, refuted: set, many: int) -> tuple[list[tuple[int, int]], bool]:
+def _proposed(rule: Jaccard, rows: list, between: bool, many: int) -> tuple[list[tuple[int, int]], bool]:
     """(pairs, cut): of a tile's pairs that may link, ``many`` forests over the components, so at most ``many`` a member.
 
     If all of the first forest link, all that may link here is connected. ``cut`` says that pairs were left out.
@@ -335,11 +337,8 @@ def _proposed(rule: Jaccard, rows: list, between: bool, refuted: set, many: int)
     forests, out, cut = _Forests(many), [], False
     for x, ys in _meeting(rule, comp, n, [np.frombuffer(rows[k][4], dtype=U64) for k in order], block if between else None):
         for y in ys:
-            a, b = sorted((int(ids[x]), int(ids[y])))
-            if (a, b) in refuted:
-                continue
             if forests.takes(int(comp[x]), int(comp[y])):
-                out.append((b, a))
+                out.append((max(int(ids[x]), int(ids[y])), min(int(ids[x]), int(ids[y]))))
             else:
                 cut = True
     return out, cut
@@ -350,7 +349,7 @@ def _proven(rule: Jaccard, rows: list, between: bool) -> list[tuple[int, int]]:
     order, ids, comp, block, n = _sorted_tile(rows)
     sets = [rows[k][4] for k in order]
     lab, out = comp.copy(), []
-    for x, ys in _meeting(rule, lab, n, [bitmap(h, width_of(len(h), rule)) for h in sets], block if between else None):
+    for x, ys in _meeting(rule, lab, n, [bitmap(h, WIDER * width_of(len(h), rule)) for h in sets], block if between else None):
         for y in ys:
             if lab[x] == lab[y]:
                 continue
@@ -360,23 +359,23 @@ def _proven(rule: Jaccard, rows: list, between: bool) -> list[tuple[int, int]]:
     return out
 
 
-def _tiled(rule: Jaccard, decode: Callable, inside: bool, many: int):
-    """Rows sorted by (leader, i, j, other): a tile's members and refuted pairs are gathered, which are bounded, and compared.
+def _tiled(rule: Jaccard, decode: Callable, inside: bool):
+    """Rows sorted by (leader, i, j): a tile's members are gathered, which are bounded, and compared.
 
     (id, leader, cut): pairs, and a row with only the tile's leader where some were cut. ``inside``: members bring their
     sets in place of bitmaps, and the pairs are links.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, refuted = None, [], set()
+        key, rows = None, []
 
         def done() -> list[tuple[int | None, int, bool]]:
             if len(rows) < 2:
                 return []
             if inside:
-                sets = decode([r[4] for r in rows])
+                sets = list(_decoded([r[4] for r in rows], decode))
                 return [(a, b, False) for a, b in _proven(rule, [[r[0], r[1], r[2], len(h), h] for r, h in zip(rows, sets)], key[1] != key[2])]
-            pairs, cut = _proposed(rule, rows, key[1] != key[2], refuted, many)
+            pairs, cut = _proposed(rule, rows, key[1] != key[2], FORESTS)
             return [(a, b, False) for a, b in pairs] + ([(None, key[0], True)] if cut else [])
 
         def batch_of(found: list) -> pa.RecordBatch:
@@ -384,14 +383,11 @@ def _tiled(rule: Jaccard, decode: Callable, inside: bool, many: int):
 
         for batch in batches:
             found = []
-            for leader, i, j, other, *row in zip(*(batch.column(c).to_pylist() for c in ("leader", "i", "j", "other", "id", "comp", "block", "n", "bits"))):
+            for leader, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("leader", "i", "j", "id", "comp", "block", "n", "bits"))):
                 if key != (leader, i, j):
                     found += done() if key else []
-                    key, rows, refuted = (leader, i, j), [], set()
-                if other is None:
-                    rows.append(row)
-                else:
-                    refuted.add((min(row[0], other), max(row[0], other)))
+                    key, rows = (leader, i, j), []
+                rows.append(row)
             yield batch_of(found)
         yield batch_of(done() if key else [])
 
@@ -451,9 +447,8 @@ def connect(sets_of: Callable, shared: Table, rule: Jaccard, decode: Callable, i
     ``sets_of`` takes a broadcast id filter and gives (id, h), at least for the ids that pass; it may repeat a row in
     another task. It may add (n, bits), the size and bitmap of each set. ``decode`` makes of a list of such bytes h the
     sorted distinct 64-bit shingle hashes of each. ``inside``: the members of a tile bring h itself and are intersected
-    there, which is best where h is hardly larger than a bitmap; ``shared`` then has a column size, the bytes of h. Else
-    tiles propose pairs from bitmaps, at most FORESTS for each member; the tiles that had more go on in further rounds
-    with more of them, if a proposed pair doesn't link.
+    there, which is best where h is hardly larger than a bitmap; ``shared`` then has a column size, the bytes of h. Else tiles propose pairs from bitmaps first, at most
+    FORESTS for each member, and only those that had more and aren't one component then bring h.
     """
     ids = shared.df.select("id").union(shared.df.select("leader")).distinct()
     sets = written(sets_of(id_filter(ids)), "sets")
@@ -461,65 +456,57 @@ def connect(sets_of: Callable, shared: Table, rule: Jaccard, decode: Callable, i
     # First against the one leader with most signatures in common. Dealt by id once, both counts follow.
     pairs = shared.df.where("id > leader").select("id", "leader").repartition("id").groupBy("id", "leader").count()
     pairs = pairs.groupBy("id").agg(F.min_by("leader", F.struct(-F.col("count"), F.col("leader"))).alias("leader"))
-    links = [_verified(written(pairs, "pairs").df, sets, rule, decode)]
+    links = [_verified(written(pairs, "pairs").df, sets, rule, decode).where("linked").select("a", "b")]
 
     # Then whatever shares a signature and isn't connected: those with signatures of one leader meet there.
-    size = F.col("size") if inside else F.lit(0)
-    met = written(shared.df.select("leader", "id", size.cast("long").alias("size")).distinct(), "met")
-    none = F.lit(None).cast("long")
-    maps, proven, refuted, cut, many = None, None, None, None, FORESTS
-    while True:
-        comp = components(_links_of(links))
-        known = met.df if cut is None else met.df.join(cut, "leader", "left_semi")
-        known = written(known.join(comp.df, "id", "left").select("leader", "id", "size", F.coalesce("component", "id").alias("comp")), "known")
-        mixed = known.df.groupBy("leader").agg(F.count("*").alias("rows"), F.sum("size").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-        blocks = F.ceil(F.greatest(F.col("rows") / F.lit(BLOCK_ROWS), F.col("size") / F.lit(BLOCK_BYTES))).cast("int")
-        mixed = written(mixed.select("leader", blocks.alias("blocks")), "mixed")
-        member = known.df.join(mixed.df, "leader").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        tiles = member.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("q")).select("leader", F.least("block", "q").alias("i"), F.greatest("block", "q").alias("j"), "id", "comp", "block")
-        tiles = written(tiles, "tiles")
-        if maps is None:
-            if inside:
-                maps = sets.df.select("id", F.lit(0).cast("long").alias("n"), F.col("h").alias("bits")).dropDuplicates(["id"])
-            else:
-                maps = written(sets.df.select("id", "n", "bits").dropDuplicates(["id"]), "maps").df
-        rows = tiles.df.join(maps, "id").select("leader", "i", "j", none.alias("other"), "id", "comp", "block", "n", "bits")
-        if refuted is not None:
-            at = tiles.df.select("leader", "i", "j", "id")
-            known_false = refuted.select(F.col("a").alias("id"), F.col("b").alias("other")).join(at, "id").join(at.withColumnRenamed("id", "other"), ["leader", "i", "j", "other"])
-            rows = rows.unionByName(known_false.select("leader", "i", "j", "other", "id", none.alias("comp"), F.lit(None).cast("int").alias("block"), none.alias("n"), F.lit(None).cast("binary").alias("bits")))
-        rows = rows.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
-        found = written(rows.mapInArrow(_tiled(rule, decode, inside, many), "id long, leader long, cut boolean"), "found")
-        for table in (comp, known, mixed, tiles):
-            table.drop()
-        if inside:
-            proven = found.df.select(F.col("id").alias("a"), F.col("leader").alias("b"))
-            break
-        links.append(_verified(found.df.where("not cut").select("id", "leader").distinct(), sets, rule, decode))
-        false = links[-1].df.where("not linked").select("a", "b")
-        cut = written(found.df.where("cut").select("leader").distinct(), "cut").df
-        found.drop()
-        if cut.isEmpty() or false.isEmpty():
-            break
-        refuted = false if refuted is None else refuted.unionByName(false)
-        many *= 16
+    met = written(shared.df.select("leader", "id", *["size"] * inside).distinct(), "met")
+    leaders = None
+    if not inside:
+        found = _meet(met.df, links, sets, rule, decode, False)
+        links.append(_verified(found.df.where("not cut").select("id", "leader").distinct(), sets, rule, decode).where("linked").select("a", "b"))
+        leaders = found.df.where("cut").select("leader").distinct()
+    if inside or not leaders.isEmpty():
+        sizes = sets.df.select("id", F.octet_length("h").alias("size")).dropDuplicates(["id"])
+        rest = met.df if inside else met.df.join(leaders, "leader", "left_semi").join(sizes, "id")
+        links.append(_meet(rest, links, sets, rule, decode, True).df.select(F.col("id").alias("a"), F.col("leader").alias("b")))
     for table in (sets, met):
         table.drop()
-    return _links_of(links) if proven is None else _links_of(links).unionByName(proven)
+    return _all(links)
 
 
-def _links_of(links: list[Table]) -> DataFrame:
-    out = links[0].df
-    for table in links[1:]:
-        out = out.unionByName(table.df)
-    return out.where("linked").select("a", "b")
+def _meet(met: DataFrame, links: list[DataFrame], sets: Table, rule: Jaccard, decode: Callable, inside: bool) -> Table:
+    """What ``_tiled`` finds where the members (leader, id, with size if ``inside``) of a leader meet, unless ``links`` make them one component."""
+    comp = components(_all(links))
+    size = F.col("size") if inside else F.lit(0)
+    known = written(met.join(comp.df, "id", "left").select("leader", "id", size.cast("long").alias("size"), F.coalesce("component", "id").alias("comp")), "known")
+    mixed = known.df.groupBy("leader").agg(F.count("*").alias("rows"), F.sum("size").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    blocks = F.ceil(F.greatest(F.col("rows") / F.lit(BLOCK_ROWS), F.col("size") / F.lit(BLOCK_BYTES))).cast("int")
+    mixed = written(mixed.select("leader", blocks.alias("blocks")), "mixed")
+    member = known.df.join(mixed.df, "leader").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    tiles = member.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("q")).select("leader", F.least("block", "q").alias("i"), F.greatest("block", "q").alias("j"), "id", "comp", "block")
+    tiles = written(tiles, "tiles")
+    what = [F.lit(0).cast("long").alias("n"), F.col("h").alias("bits")] if inside else ["n", "bits"]
+    maps = sets.df.join(tiles.df.select("id").distinct(), "id", "left_semi").select("id", *what).dropDuplicates(["id"])
+    rows = tiles.df.join(maps, "id").select("leader", "i", "j", "id", "comp", "block", "n", "bits")
+    rows = rows.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
+    found = written(rows.mapInArrow(_tiled(rule, decode, inside), "id long, leader long, cut boolean"), "found")
+    for table in (comp, known, mixed, tiles):
+        table.drop()
+    return found
+
+
+def _all(links: list[DataFrame]) -> DataFrame:
+    out = links[0]
+    for more in links[1:]:
+        out = out.unionByName(more)
+    return out
 
 
-def _verified(pairs: DataFrame, sets: Table, rule: Jaccard, decode: Callable) -> Table:
+def _verified(pairs: DataFrame, sets: Table, rule: Jaccard, decode: Callable) -> DataFrame:
     """(a, b, linked) of pairs (id, leader): sets are intersected, a leader's with its members' as they pass by."""
     sizes = pairs.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(STAR_ROWS)).cast("int").alias("parts"))
     members = pairs.join(sizes, "leader").select("id", "leader", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"))
     leaders = sizes.select(F.col("leader").alias("id"), "leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
     # Roles are narrow; the sets move once to their ids and once to their leaders.
     star = leaders.unionByName(members).join(sets.df.select("id", "h"), "id").repartition("leader", "part").sortWithinPartitions("leader", "part", "role")
-    return written(star.mapInArrow(_star(rule, decode), "a long, b long, linked boolean"), "verified")
+    return written(star.mapInArrow(_star(rule, decode), "a long, b long, linked boolean"), "verified").df
