@@ -48,7 +48,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """What is left of the documents after all stages. A stage's table goes as soon as the next one's is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name).df
+        table = written(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            last.drop()
+        docs, last = table.df, table
     return docs
