@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _own_dir: str | None = None
 
+#: Deletes the shuffle files of an execution when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a temporary one only where that is unset and Spark runs in one process (tests)."""
@@ -47,11 +50,19 @@ class Table:
 def written(df: DataFrame, name: str) -> Table:
     """Write ``df`` to the shared folder and read it from there: lost executors then cost no recomputation.
 
-    The files go when the application ends, or earlier with ``drop``.
+    The files go when the application ends, or earlier with ``drop``. What the write has shuffled goes at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillmap-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     fs, jpath = _fs(spark, path)
     fs.deleteOnExit(jpath)
     return Table(spark, path, df.schema)
