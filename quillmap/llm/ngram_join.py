@@ -136,7 +136,7 @@ def bitmap(h: np.ndarray, bits: int) -> np.ndarray:
 
 def overlap_bound(a: np.ndarray, n: int, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Upper bounds on the overlap of one set with many, from bitmaps of equal width."""
-    return (n + sizes - np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)) // 2
+    return (n + sizes - np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int32)) // 2
 
 
 def intersection(a: np.ndarray, b: np.ndarray) -> int:
@@ -280,19 +280,23 @@ def _meeting(rule: Jaccard, lab: np.ndarray, n: np.ndarray, bits: list[np.ndarra
     for w in np.unique(words):
         xs = np.flatnonzero(words == w)
         top = int(np.searchsorted(n, n[xs[-1]] * rule.den // rule.num, side="right"))
-        # Wider bitmaps belong to larger sets; all that a set of this width can link with, at this width.
-        maps = np.concatenate([folded(bits[y][None, :], w) for y in range(xs[0], top)])
+        # Wider bitmaps belong to larger sets; all that a set of this width can link with, at this width, a column each.
+        maps = np.ascontiguousarray(np.concatenate([folded(bits[y][None, :], w) for y in range(xs[0], top)]).T)
+        size = n[xs[0] : top]
         for x in xs:
             high = int(np.searchsorted(n, n[x] * rule.den // rule.num, side="right"))
             apart = lab[x + 1 : high] != lab[x]
             if block is not None:
                 apart &= block[x + 1 : high] != block[x]
-            ys = np.flatnonzero(apart) + x + 1
+            ys = np.flatnonzero(apart)
             if len(ys):
-                bound = overlap_bound(maps[x - xs[0]], int(n[x]), maps[ys - xs[0]], n[ys])
-                ys = ys[bound >= -(-rule.num * (n[x] + n[ys]) // (rule.num + rule.den))]
+                # Columns next to each other are compared where they lie, unless few of them count.
+                cols = slice(x + 1 - xs[0], high - xs[0]) if 4 * len(ys) > len(apart) else ys + (x + 1 - xs[0])
+                bound = overlap_bound(maps[:, x - xs[0]], int(n[x]), maps[:, cols].T, size[cols])
+                passing = bound >= rule.least_overlap(int(n[x]), size[cols])
+                ys = np.flatnonzero(passing & apart) if isinstance(cols, slice) else ys[passing]
                 if len(ys):
-                    yield int(x), ys
+                    yield int(x), ys + x + 1
 
 
 class _Forests:
@@ -307,19 +311,18 @@ class _Forests:
             x = parent[x]
         return x
 
-    def takes(self, a: int, b: int) -> bool:
-        low, high = 0, len(self.parents)
+    def takes(self, a: int, b: int) -> int:
+        """The forest that now holds the pair, which the last one doesn't connect."""
+        low, high = 0, len(self.parents) - 1
         while low < high:
             mid = (low + high) // 2
             if self._root(self.parents[mid], a) == self._root(self.parents[mid], b):
                 low = mid + 1
             else:
                 high = mid
-        if low == len(self.parents):
-            return False
         r, t = self._root(self.parents[low], a), self._root(self.parents[low], b)
         self.parents[low][max(r, t)] = min(r, t)
-        return True
+        return low
 
 
 def _sorted_tile(rows: list) -> tuple[np.ndarray, ...]:
@@ -331,16 +334,19 @@ def _sorted_tile(rows: list) -> tuple[np.ndarray, ...]:
 def _proposed(rule: Jaccard, rows: list, between: bool, many: int) -> tuple[list[tuple[int, int]], bool]:
     """(pairs, cut): of a tile's pairs that may link, ``many`` forests over the components, so at most ``many`` a member.
 
-    If all of the first forest link, all that may link here is connected. ``cut`` says that pairs were left out.
+    If all of the first forest link, all that may link here is connected. ``cut`` says that pairs may have been left out:
+    what the last forest connects isn't compared any more.
     """
     order, ids, comp, block, n = _sorted_tile(rows)
-    forests, out, cut = _Forests(many), [], False
-    for x, ys in _meeting(rule, comp, n, [np.frombuffer(rows[k][4], dtype=U64) for k in order], block if between else None):
+    forests, lab, out, cut = _Forests(many), comp.copy(), [], False
+    for x, ys in _meeting(rule, lab, n, [np.frombuffer(rows[k][4], dtype=U64) for k in order], block if between else None):
         for y in ys:
-            if forests.takes(int(comp[x]), int(comp[y])):
-                out.append((max(int(ids[x]), int(ids[y])), min(int(ids[x]), int(ids[y]))))
-            else:
+            if lab[x] == lab[y]:
+                continue
+            out.append((max(int(ids[x]), int(ids[y])), min(int(ids[x]), int(ids[y]))))
+            if forests.takes(int(comp[x]), int(comp[y])) == many - 1:
                 cut = True
+                lab[lab == max(lab[x], lab[y])] = min(lab[x], lab[y])
     return out, cut
 
 
