@@ -45,6 +45,8 @@ BLOCK_BYTES = 1 << 22
 FORESTS = 16
 #: So many times wider are bitmaps where the sets are at hand too and the bitmaps needn't travel.
 WIDER = 8
+#: Passes over the texts in which their signatures are dealt, a part of the hash space each; what one has dealt is gone from disk before the next.
+PASSES = 2
 #: Members that one copy of a leader's set is compared with.
 STAR_ROWS = 1_000
 
@@ -188,8 +190,8 @@ def _passing(whole: pa.RecordBatch, filter_, want: bool) -> pa.RecordBatch:
     return whole.filter(pa.array((on if want else ~on) & valid))
 
 
-def _signed(rule: Jaccard, filter_, want: bool):
-    """(id, t, c, sigs), a row a tile, of the texts whose id the filter lets pass, or of the others."""
+def _signed(rule: Jaccard, filter_, want: bool, part: int):
+    """(id, t, c, sigs), a row a tile, with this part of all signatures, of the texts whose id the filter lets pass, or of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -197,7 +199,8 @@ def _signed(rule: Jaccard, filter_, want: bool):
                 sets = shingle_sets(_texts(batch.column("text")), rule.width)
                 rows = [(i, *x) for i, h in zip(batch.column("id").to_pylist(), sets) for x in signatures(h, rule)]
                 kinds = (pa.int64(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([*(pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)), _lists([r[3] for r in rows])], ["id", "t", "c", "sigs"])
+                sigs = _lists([r[3][r[3] % U64(PASSES) == part] for r in rows])
+                yield pa.RecordBatch.from_arrays([*(pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)), sigs], ["id", "t", "c", "sigs"])
 
     return run
 
@@ -419,15 +422,14 @@ def jaccard_components(docs: DataFrame, rule: Jaccard, id_col: str = "doc_id", t
     # others are looked up, so no signature moves before it is dealt by its value.
     copies = written(classed.df.where("id <> class_id").select("id").union(keyed.groupBy("id").count().where("count > 1").select("id")), "copies")
     filter_ = id_filter(copies.df)
-    kind = "id long, t int, c int, sigs array<long>"
-    sure = base.mapInArrow(_signed(rule, filter_, False), kind)
-    some = base.mapInArrow(_signed(rule, filter_, True), kind).join(classed.df.where("id = class_id").select("id"), "id", "left_semi").dropDuplicates(["id", "t"])
-    sigs = sure.unionByName(some).select("id", "t", "c", F.explode("sigs").alias("sig"))
-    by_sig = Window.partitionBy("sig")
-    often = sigs.withColumns({"often": F.count("*").over(by_sig), "leader": F.min("id").over(by_sig)}).where("often > 1")
-    own = Window.partitionBy("id", "t")
-    kept = often.withColumns({"found": F.count("*").over(own), "place": F.row_number().over(own.orderBy(F.desc("often"), "sig"))}).where("found >= c and place >= c")
+    parts = [written(_often(base, rule, filter_, classed.df.where("id = class_id").select("id"), part), "often") for part in range(PASSES)]
+    own = Window.partitionBy("id", "tile")
+    often = _all([p.df for p in parts]).withColumns({"found": F.count("*").over(own), "place": F.row_number().over(own.orderBy(F.desc("often"), "sig"))})
+    # A tile is 2 c + t, so that fewer columns move.
+    kept = often.withColumn("c", F.shiftright("tile", 1)).where("found >= c and place >= c")
     shared = written(kept.select("sig", "id", "leader"), "shared")
+    for table in parts:
+        table.drop()
     links = connect(lambda wanted: base.mapInArrow(_packed(rule, wanted), "id long, h binary, n long, bits binary"), shared, rule, partial(_unpacked, rule.width))
     comp = components(links)
     for table in (shared, classes, copies):
@@ -437,6 +439,16 @@ def jaccard_components(docs: DataFrame, rule: Jaccard, id_col: str = "doc_id", t
     return full.unionByName(none)
 
 
+def _often(base: DataFrame, rule: Jaccard, filter_, firsts: DataFrame, part: int) -> DataFrame:
+    """(id, tile, sig, often, leader): a part of the signatures that several classes have."""
+    kind = "id long, t int, c int, sigs array<long>"
+    sure = base.mapInArrow(_signed(rule, filter_, False, part), kind)
+    some = base.mapInArrow(_signed(rule, filter_, True, part), kind).join(firsts, "id", "left_semi").dropDuplicates(["id", "t"])
+    sigs = sure.unionByName(some).select("id", (2 * F.col("c") + F.col("t")).alias("tile"), F.explode("sigs").alias("sig"))
+    by_sig = Window.partitionBy("sig")
+    return sigs.withColumns({"often": F.count("*").over(by_sig), "leader": F.min("id").over(by_sig)}).where("often > 1")
+
+
 def one_of_each(docs: DataFrame, rule: Jaccard, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component, that of the least id. Documents without words stay, rows without an id too."""
     found = written(jaccard_components(docs, rule, id_col, text_col).select("id", "component_id"), "found")
