@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .store import worker_store
 from .textkit import CHUNK, U64, mix
 
 Q = 8
@@ -153,7 +154,7 @@ def _find(index: Index, codes: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 #: The indexes of the blocks that a worker has met, by broadcast: the tasks of one worker share them. At most two are kept.
-_known: dict[int, list[Index]] = {}
+_known: dict[int, tuple[list, list[Index]]] = worker_store()
 
 
 def _indexes(shared, q: int, rate: float) -> list[Index]:
@@ -161,8 +162,8 @@ def _indexes(shared, q: int, rate: float) -> list[Index]:
     if id(block) not in _known:
         while len(_known) > 1:
             _known.pop(next(iter(_known)))
-        _known[id(block)] = indexes(block, q, rate)
-    return _known[id(block)]
+        _known[id(block)] = block, indexes(block, q, rate)  # the block stays, so its id is no other's
+    return _known[id(block)][1]
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:

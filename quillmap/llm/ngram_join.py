@@ -33,7 +33,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .store import Table, id_filter, may_hold, without_ids, written
+from .store import Table, forget, id_filter, may_hold, without_ids, written
 from .textkit import U64, mix, shingle_sets
 from .unionfind import components
 
@@ -174,6 +174,7 @@ def _profile(rule: Jaccard):
     """(id, n, k1, k2) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for whole in batches:
             for batch in _slices(whole, "text"):
                 sets = shingle_sets(_texts(batch.column("text")), rule.width)
@@ -209,6 +210,7 @@ def _packed(rule: Jaccard, filter_):
     """(id, h, n, bits) of the texts whose id the filter lets pass, an id once a task: the packed text, a third of its hashes' size, the size of its set and the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         seen: set[int] = set()
         for whole in batches:
             whole = _passing(whole, filter_, True)
@@ -376,6 +378,7 @@ def _tiled(rule: Jaccard, decode: Callable, inside: bool):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         key, rows = None, []
 
         def done() -> list[tuple[int | None, int, bool]]:

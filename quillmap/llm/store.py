@@ -14,6 +14,22 @@ _own_dir: str | None = None
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: What the tasks of one worker share: each operator's own store, emptied when an operator that needs none begins.
+KEPT: list[dict] = []
+
+
+def worker_store() -> dict:
+    """A store that outlives a task in its worker, until ``forget``."""
+    KEPT.append({})
+    return KEPT[-1]
+
+
+def forget() -> None:
+    """Give back what earlier operators' tasks keep in this worker."""
+    for store in KEPT:
+        store.clear()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a temporary one only where that is unset and Spark runs in one process (tests)."""
     global _own_dir

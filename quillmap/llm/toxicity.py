@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .store import worker_store
+
 #: Letters in a subsequence, and the decay for each letter it spans.
 LETTERS, DECAY = 3, 0.7
 #: Kernel values below this count as no likeness.
@@ -311,7 +313,7 @@ class Scorer:
 
 
 #: The scorer of the model that a worker has met last; the tasks of one worker share what it remembers.
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[int, Scorer] = worker_store()
 
 
 def _scorer(shared) -> Scorer:
