@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .store import worker_store
+from .store import trim, worker_store
 from .textkit import CHUNK, U64, mix
 
 Q = 8
@@ -194,6 +194,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, q:
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            trim()
             index = _indexes(shared, q, rate)
             for batch in batches:
                 rows = [(i, *hit) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for hit in find(index, text)]

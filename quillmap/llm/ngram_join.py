@@ -45,6 +45,8 @@ BLOCK_BYTES = 1 << 22
 FORESTS = 16
 #: So many times wider are bitmaps where the sets are at hand too and the bitmaps needn't travel.
 WIDER = 8
+#: Words of bitmaps that are compared at once, 8 bytes each.
+BOUND_WORDS = 1 << 17
 #: Passes over the texts in which their signatures are dealt, a part of the hash space each; what one has dealt is gone from disk before the next.
 PASSES = 2
 #: Members that one copy of a leader's set is compared with.
@@ -138,7 +140,9 @@ def bitmap(h: np.ndarray, bits: int) -> np.ndarray:
 
 def overlap_bound(a: np.ndarray, n: int, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Upper bounds on the overlap of one set with many, from bitmaps of equal width."""
-    return (n + sizes - np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int32)) // 2
+    step = max(1, BOUND_WORDS // len(a))
+    differ = [np.bitwise_count(a ^ b[at : at + step]).sum(axis=1, dtype=np.int32) for at in range(0, len(b), step)]
+    return (n + sizes - np.concatenate([np.zeros(0, np.int32), *differ])) // 2
 
 
 def intersection(a: np.ndarray, b: np.ndarray) -> int:
@@ -286,7 +290,9 @@ def _meeting(rule: Jaccard, lab: np.ndarray, n: np.ndarray, bits: list[np.ndarra
         xs = np.flatnonzero(words == w)
         top = int(np.searchsorted(n, n[xs[-1]] * rule.den // rule.num, side="right"))
         # Wider bitmaps belong to larger sets; all that a set of this width can link with, at this width, a column each.
-        maps = np.ascontiguousarray(np.concatenate([folded(bits[y][None, :], w) for y in range(xs[0], top)]).T)
+        maps = np.empty((w, top - xs[0]), dtype=U64)
+        for y in range(xs[0], top):
+            maps[:, y - xs[0]] = folded(bits[y][None, :], w)[0]
         size = n[xs[0] : top]
         for x in xs:
             high = int(np.searchsorted(n, n[x] * rule.den // rule.num, side="right"))

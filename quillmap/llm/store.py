@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -25,9 +26,19 @@ def worker_store() -> dict:
 
 
 def forget() -> None:
-    """Give back what earlier operators' tasks keep in this worker."""
+    """Give back what earlier operators' tasks keep in this worker, to the system too."""
     for store in KEPT:
         store.clear()
+    trim()
+
+
+def trim() -> None:
+    """Give memory that this worker has freed back to the system, which allocators keep otherwise."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -141,6 +152,7 @@ def _passing(filter_, id_col: str, want: bool):
     def run(batches):
         import pyarrow as pa
 
+        forget()
         for batch in batches:
             ids = batch.column(id_col).cast(pa.int64())
             on = may_hold(filter_.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
