@@ -91,3 +91,8 @@ def test_the_fit_takes_sums_of_tiles(spark, monkeypatch):
     """The model's variogram is made of sums; no pair leaves a task."""
     monkeypatch.setattr(J, "radius_pairs", None)
     assert QUERIES["agg_exp_fit"](spark, SF).count() == 1
+
+
+def test_pairs_of_points_and_boxes_are_made_by_many_tasks(spark):
+    """The points are one small file; all pairs came from one task."""
+    assert QUERIES["fn_bbox_dist2"](spark, SF).rdd.getNumPartitions() >= 8
