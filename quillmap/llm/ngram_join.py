@@ -1,15 +1,13 @@
-"""N-gram Jaccard self-join: size-banded tiles, hashed bitmaps that bound the overlap, exact sorted-array intersection.
+"""N-gram Jaccard self-join: rare shingles find candidates, hashed bitmaps bound their overlap, sorted arrays are intersected.
 
 How a link can't be lost, for sets of distinct word shingles and a threshold g = num/den:
 
-* Linked sets have sizes within a factor g of each other and differ in at most (1-g)/(1+g) of their summed sizes.
-  Sizes are cut into bands; a tile is one band with what reaches into it from below, so each linked pair shares a tile
-  whose largest size gives the bound k on their symmetric difference.
-* A tile cuts the hash space into m > k parts of equal width. Two linked sets agree on at least m - k parts. A part with
-  fewer than two shingles says little, so it gives no signature - unless the set has m - k or more of such parts, then
-  all of its parts give one. Linked sets therefore share at least c = m - k - weak parts signatures, and at least one.
-* So a set that shares fewer than c with any others drops out, and the c - 1 most shared ones of the rest aren't needed:
-  the rarest one that two linked sets share is among what both keep. That rids the search of common passages.
+* A set of n shingles shares at least c = ceil(g n) of them with each set that it links with. So a set of which more than
+  n - c shingles occur nowhere else links with nothing. A screen counts those in a piece of the hash space, twice as
+  wide as 1 - g, which suffices for most texts that have no near copy; whoever it drops needn't be counted any further.
+* The shingles of the others are all dealt by their value, their signatures. A set that shares fewer than c with any
+  others drops out, and the c - 1 most shared ones of the rest aren't needed: the rarest shingle that two linked sets
+  share is among what both keep. That rids the search of common passages.
 * Sets with a kept signature in common are candidates. Each is first compared with the leader (the least id of a
   signature's sets) that it shares most signatures with. What stays apart meets at the leaders as parity bitmaps, in
   tiles of bounded size: differing bits bound the overlap from above. The few pairs that pass are intersected as
@@ -47,8 +45,8 @@ FORESTS = 16
 WIDER = 8
 #: Words of bitmaps that are compared at once, 8 bytes each.
 BOUND_WORDS = 1 << 17
-#: Passes over the texts in which their signatures are dealt, a part of the hash space each; what one has dealt is gone from disk before the next.
-PASSES = 2
+#: Passes in which the signatures are dealt if the screen drops nothing, a piece of the hash space each; what one has dealt is gone from disk before the next.
+PASSES = 4
 #: Members that one copy of a leader's set is compared with.
 STAR_ROWS = 1_000
 
@@ -68,6 +66,10 @@ class Jaccard:
         """The smallest intersection that links sizes a and b."""
         return -(-self.num * (a + b) // (self.num + self.den))
 
+    def least_shared(self, n):
+        """The smallest intersection of a set of n shingles with any that it links with."""
+        return -(-self.num * n // self.den)
+
 
 @lru_cache(maxsize=4096)
 def _band(n: int, rule: Jaccard) -> tuple[int, int, int]:
@@ -102,27 +104,16 @@ def _tiles(n: int, rule: Jaccard) -> list[tuple[int, int, int]]:
     return out
 
 
-@lru_cache(maxsize=1024)
-def _cuts(m: int) -> np.ndarray:
-    return np.array([(p << 64) // m for p in range(1, m)], dtype=U64)
+def signatures(h: np.ndarray, rule: Jaccard) -> list[tuple[int, int, np.ndarray]]:
+    """(0, c, signatures) of a sorted set of shingle hashes: all of them, of which it shares c with each set that it links with."""
+    c = rule.least_shared(len(h))
+    # Otherwise only equal sets link, and those are one class.
+    return [(0, c, h)] if c < len(h) or len(h) * rule.den // rule.num > len(h) else []
 
 
-def signatures(h: np.ndarray, rule: Jaccard) -> list[tuple[int, int, np.ndarray]]:
-    """(0 for its own tile or 1 for the next, c, signatures) of a sorted set of shingle hashes."""
-    out = []
-    if len(h):
-        with np.errstate(over="ignore"):
-            total = np.concatenate([np.zeros(1, dtype=U64), np.cumsum(mix(h, 3))])
-            for t, (tile, k, m) in enumerate(_tiles(len(h), rule)):
-                if not k:
-                    continue  # only equal sets link, and those are one class
-                at = np.concatenate([[0], np.searchsorted(h, _cuts(m)), [len(h)]])
-                sums, counts = total[at[1:]] - total[at[:-1]], np.diff(at)
-                sig = mix(sums * U64(3) + counts.astype(U64), 11) ^ mix(np.arange(m, dtype=U64) * U64(1 << 20) + U64(tile), 13)
-                strong = counts >= 2
-                c = m - k - (m - int(np.count_nonzero(strong)))
-                out.append((t, max(1, c), mix(sig if c < 1 else sig[strong], 17)))
-    return out
+def piece(h: np.ndarray, low: int, high: int) -> np.ndarray:
+    """The hashes from ``low`` to below ``high``, at most 2**64, of a sorted array."""
+    return h[int(np.searchsorted(h, U64(low))) : int(np.searchsorted(h, U64(high))) if high < 1 << 64 else len(h)]
 
 
 def set_keys(h: np.ndarray) -> tuple[int, int]:
@@ -195,17 +186,17 @@ def _passing(whole: pa.RecordBatch, filter_, want: bool) -> pa.RecordBatch:
     return whole.filter(pa.array((on if want else ~on) & valid))
 
 
-def _signed(rule: Jaccard, filter_, want: bool, part: int):
-    """(id, t, c, sigs), a row a tile, with this part of all signatures, of the texts whose id the filter lets pass, or of the others."""
+def _signed(rule: Jaccard, filters: list, low: int, high: int):
+    """(id, c, sigs) with a piece of the signatures, of the texts whose id each filter lets pass, or denies, as it is wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _slices(_passing(whole, filter_, want), "text"):
+            for filter_, want in filters:
+                whole = _passing(whole, filter_, want)
+            for batch in _slices(whole, "text"):
                 sets = shingle_sets(_texts(batch.column("text")), rule.width)
-                rows = [(i, *x) for i, h in zip(batch.column("id").to_pylist(), sets) for x in signatures(h, rule)]
-                kinds = (pa.int64(), pa.int32(), pa.int32())
-                sigs = _lists([r[3][r[3] % U64(PASSES) == part] for r in rows])
-                yield pa.RecordBatch.from_arrays([*(pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)), sigs], ["id", "t", "c", "sigs"])
+                rows = [(i, c, piece(sigs, low, high)) for i, h in zip(batch.column("id").to_pylist(), sets) for _, c, sigs in signatures(h, rule)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), _lists([r[2] for r in rows])], ["id", "c", "sigs"])
 
     return run
 
@@ -431,29 +422,46 @@ def jaccard_components(docs: DataFrame, rule: Jaccard, id_col: str = "doc_id", t
     # others are looked up, so no signature moves before it is dealt by its value.
     copies = written(classed.df.where("id <> class_id").select("id").union(keyed.groupBy("id").count().where("count > 1").select("id")), "copies")
     filter_ = id_filter(copies.df)
-    parts = [written(_often(base, rule, filter_, classed.df.where("id = class_id").select("id"), part), "often") for part in range(PASSES)]
-    own = Window.partitionBy("id", "tile")
+    near = written(_screened(base, rule, filter_, classed.df.where("id = class_id").groupBy("id").agg(F.max("n").alias("n"))), "near")
+    near_filter, ids = id_filter(near.df), near.df.select("id")
+    total, left = (df.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for df in (classes.df, near.df))
+    many = max(1, -(-PASSES * left // max(1, total)))
+    cuts = [(k << 64) // many for k in range(many + 1)]
+    parts = [written(_often(_dealt(base, rule, filter_, [(near_filter, True)], ids, low, high)), "often") for low, high in zip(cuts, cuts[1:])]
+    own = Window.partitionBy("id")
     often = _all([p.df for p in parts]).withColumns({"found": F.count("*").over(own), "place": F.row_number().over(own.orderBy(F.desc("often"), "sig"))})
-    # A tile is 2 c + t, so that fewer columns move.
-    kept = often.withColumn("c", F.shiftright("tile", 1)).where("found >= c and place >= c")
-    shared = written(kept.select("sig", "id", "leader"), "shared")
+    shared = written(often.where("found >= c and place >= c").select("sig", "id", "leader"), "shared")
     for table in parts:
         table.drop()
     links = connect(lambda wanted: base.mapInArrow(_packed(rule, wanted), "id long, h binary, n long, bits binary"), shared, rule, partial(_unpacked, rule.width))
     comp = components(links)
-    for table in (shared, classes, copies):
+    for table in (shared, near, classes, copies):
         table.drop()
     full = classed.df.join(comp.df.withColumnRenamed("id", "class_id"), "class_id", "left").select("id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
     none = profile.df.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("class_id"), F.col("id").alias("component_id"))
     return full.unionByName(none)
 
 
-def _often(base: DataFrame, rule: Jaccard, filter_, firsts: DataFrame, part: int) -> DataFrame:
-    """(id, tile, sig, often, leader): a part of the signatures that several classes have."""
-    kind = "id long, t int, c int, sigs array<long>"
-    sure = base.mapInArrow(_signed(rule, filter_, False, part), kind)
-    some = base.mapInArrow(_signed(rule, filter_, True, part), kind).join(firsts, "id", "left_semi").dropDuplicates(["id", "t"])
-    sigs = sure.unionByName(some).select("id", (2 * F.col("c") + F.col("t")).alias("tile"), F.explode("sigs").alias("sig"))
+def _dealt(base: DataFrame, rule: Jaccard, copies, filters: list, firsts: DataFrame, low: int, high: int) -> DataFrame:
+    """(id, c, sig): a piece of the signatures of the ids in ``firsts``, each once, and maybe of others that are first in their class too."""
+    kind = "id long, c int, sigs array<long>"
+    sure = base.mapInArrow(_signed(rule, [(copies, False), *filters], low, high), kind)
+    some = base.mapInArrow(_signed(rule, [(copies, True), *filters], low, high), kind).join(firsts, "id", "left_semi").dropDuplicates(["id"])
+    return sure.unionByName(some).select("id", "c", F.explode("sigs").alias("sig"))
+
+
+def _screened(base: DataFrame, rule: Jaccard, copies, firsts: DataFrame) -> DataFrame:
+    """Of ``firsts`` (id, n) those that may link: not more of their shingles in a piece of the hash space occur once than a link allows."""
+    high = min(1 << 64, (1 << 65) * (rule.den - rule.num) // rule.den)
+    sigs = _dealt(base, rule, copies, [], firsts.select("id"), 0, high).select("id", "sig")
+    # Most occur once, so nothing is counted before they are dealt.
+    alone = sigs.repartition("sig").groupBy("sig").agg(F.count("*").alias("often"), F.min("id").alias("id")).where("often = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    least = F.expr(f"(n * {rule.num} + {rule.den - 1}) div {rule.den}")
+    return firsts.join(alone, "id", "left").where(F.coalesce("alone", F.lit(0)) <= F.col("n") - least).select("id", "n")
+
+
+def _often(sigs: DataFrame) -> DataFrame:
+    """(id, c, sig, often, leader): the signatures that several classes have."""
     by_sig = Window.partitionBy("sig")
     return sigs.withColumns({"often": F.count("*").over(by_sig), "leader": F.min("id").over(by_sig)}).where("often > 1")
 

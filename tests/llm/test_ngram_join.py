@@ -139,3 +139,25 @@ def test_giant_family_of_near_copies(spark):
         assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == want
     finally:
         ngram_join.BLOCK_ROWS, ngram_join.FORESTS, ngram_join.STAR_ROWS = held
+
+
+def test_texts_around_one_passage_do_not_meet(spark, monkeypatch):
+    """Seven tenths of each text are a passage that all have; too few for a link, so none is a candidate."""
+    from quillmap.llm import ngram_join
+
+    met = {}
+
+    def seen(df, name, written=ngram_join.written):
+        table = written(df, name)
+        met[name] = met.get(name, 0) + table.df.count()
+        return table
+
+    monkeypatch.setattr(ngram_join, "written", seen)
+    r = random.Random(9)
+    passage = [f"p{k}" for k in range(210)]
+    rows = [(i, " ".join(passage + [f"x{r.random()}" for _ in range(90)])) for i in range(60)]
+    rows += [(100, rows[0][1] + " end"), (101, rows[1][1].replace("p7 ", "q7 "))]  # two links among them
+    rule = Jaccard(5, 80, 100)
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), rule)
+    assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute(rows, rule)
+    assert met["shared"] < 1000 and met["sets"] == 4 and met["tiles"] <= 4
